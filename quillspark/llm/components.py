@@ -11,20 +11,21 @@ from .common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of any orderable id type -> ``(a, root)``: one row per id that has an edge; ids of a component share ``root``.
 
-    Each round maps every id to the neighbour of least hashed priority and
-    contracts the edges; priorities change with the round, so chains and stars
-    alike lose a constant share of their ids each time. Rounds are written to
-    the shared folder. Self loops and repeated edges are harmless; no edges
-    give an empty table.
+    Each round maps every id to the best of itself and its neighbours, by
+    degree, then by a hash that changes with the round, and contracts the
+    edges: stars fall together at once, chains lose a constant share of their
+    ids each time. Rounds are written to the shared folder. Self loops and
+    repeated edges are harmless; no edges give an empty table.
     """
     edges = stored(edges.select("a", "b").filter("a <> b").distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         level = F.lit(len(maps))
-        rank = lambda c, level=level: F.struct(F.xxhash64(c, level).alias("h"), F.col(c).alias("id"))
+        rank = lambda c, n, level=level: F.struct((-F.col(n)).alias("n"), F.xxhash64(c, level).alias("h"), F.col(c).alias("id"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        maps.append(stored(nearest.select("a", F.least(rank("a"), F.col("m"))["id"].alias("root"))))
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        nearest = both.join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min(rank("b", "m")).alias("best"))
+        maps.append(stored(nearest.select("a", F.least(rank("a", "n"), F.col("best"))["id"].alias("root"))))
         to = maps[-1]
         moved = (
             edges.join(to.withColumnRenamed("root", "ra"), "a")
