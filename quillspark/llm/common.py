@@ -55,3 +55,35 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names (in any case) the operator is about to give."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def hashed_sample(df: DataFrame, key: str, size: int, salt: int = 17) -> DataFrame:
+    """``size`` rows at most, those with the least hash of ``key``.
+
+    A threshold on the hash, from the row count, leaves about 1.3 times as
+    many rows before the exact limit, so that no task hands on ``size`` rows.
+    """
+    n = df.count()
+    rank = F.xxhash64(key, F.lit(salt))
+    if n > 1.3 * size:
+        df = df.filter(F.pmod(rank, F.lit(1 << 30)) < int(1.3 * size / n * (1 << 30)) + 1)
+    return df.orderBy(F.pmod(rank, F.lit(1 << 30)), key).limit(size)
+
+
+def most_frequent(counts: DataFrame, size: int, key: str = "word", count: str = "n") -> DataFrame:
+    """The rows with the highest counts, ``size`` at most: all counts from an eighth of a power of two on that leaves no more.
+
+    The histogram of those steps, a few hundred rows, sets the least step, so
+    no task hands on more rows than are wanted; where the top step alone is
+    too large, those of it with the least hash are taken.
+    """
+    step = F.floor(F.log2(count) * 8).cast("int")
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in histogram:
+        if total + r["rows"] > size:
+            break
+        least, total = r["step"], total + r["rows"]
+    if least is None:
+        return hashed_sample(counts.filter(step == histogram[0]["step"]), key, size) if histogram else counts.limit(0)
+    return counts.filter(step >= least)

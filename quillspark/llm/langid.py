@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, stored, table, without
+from .common import held_out, map_batches, most_frequent, stored, table, without
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -132,8 +132,8 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
     languages = sorted(totals)
 
     def top(counts: DataFrame, k: int) -> list:
-        by_word = counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return by_word.orderBy(F.desc("n"), "word").limit(k).collect()
+        by_word = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")))
+        return sorted(most_frequent(by_word, k).collect(), key=lambda r: (-r["n"], r["word"]))
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)

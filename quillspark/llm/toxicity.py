@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, stored, table
+from .common import hashed_sample, held_out, map_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lexicon voters: plain English lists of insults by kind.
@@ -212,8 +212,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: F.Column) -> Data
     """
     known = labels.filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known)
-    order = (F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"))
-    picked = [known.filter(F.col("toxic") == y).orderBy(*order).limit(LABELLED_SAMPLE) for y in (0, 1)]
+    picked = [hashed_sample(known.filter(F.col("toxic") == y), "doc_id", LABELLED_SAMPLE) for y in (0, 1)]
     sample = F.broadcast(stored(picked[0].unionByName(picked[1])))  # at most twice LABELLED_SAMPLE ids
     learned = learn_words(docs.select("doc_id", "text").join(sample, "doc_id"))
     rows = stored(features(docs, learned))
@@ -223,7 +222,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: F.Column) -> Data
     if not patterns:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"), "votes")
     label_model = fit_label_model(patterns)
-    some = rows.filter(learn).orderBy(*order).limit(CLASSIFIER_SAMPLE).select("votes", "x").collect()
+    some = hashed_sample(rows.filter(learn), "doc_id", CLASSIFIER_SAMPLE).select("votes", "x").collect()
     bits = lambda values: np.array([[b >> v & 1 for v in range(len(VOTERS))] for b in values], dtype=int).reshape(-1, len(VOTERS))
     if some:
         linear = fit_linear(np.array([r["x"] for r in some], dtype=float), label_model.posterior(bits([r["votes"] for r in some])))
