@@ -53,21 +53,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, dict[str, int]] = {}
     for batch in batches:
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = counts.setdefault(lang, {})
+            padded = f"_{word}_"
             for k in range(1, LONGEST_GRAM + 1):
-                for g in grams(word, k):
-                    counts[lang, g] += n
-        if len(counts) >= FLUSH:
+                for i in range(len(padded) - k + 1):
+                    g = padded[i : i + k]
+                    own[g] = own.get(g, 0) + n
+        if sum(map(len, counts.values())) >= FLUSH:
             yield _gram_rows(counts)
-            counts = Counter()
+            counts = {}
     if counts:
         yield _gram_rows(counts)
 
 
-def _gram_rows(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+def _gram_rows(counts: dict[str, dict[str, int]]) -> pa.RecordBatch:
+    langs = [lang for lang, c in counts.items() for _ in c]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([g for c in counts.values() for g in c], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], ["lang", "word", "n"])
 
 
 @dataclass
@@ -80,34 +84,35 @@ class LanguageModel:
     gram_rows: dict[str, int]
     gram_scores: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams of which any is known; zeros if none is."""
+    def unseen(self, word: str) -> list[int]:
+        """The rows of the longest n-grams of which any is known; none if none is."""
         for n in range(LONGEST_GRAM, 0, -1):
             rows = [self.gram_rows[g] for g in grams(word, n) if g in self.gram_rows]
             if rows:
-                return BACKOFF * self.gram_scores[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return rows
+        return []
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str | None, cache: dict[str, list[int]]) -> tuple[str, float]:
+        """Language and posterior: each known word counts its log frequency, each other one the mean of its n-grams', less."""
         found = Counter(WORD.findall(text.lower())) if text else None
         if not found or not self.languages:
             return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        rows, times = [], []
+        rows, times, gram_rows, gram_times = [], [], [], []
         for word, n in found.items():
             row = self.words.get(word)
             if row is not None:
                 rows.append(row)
                 times.append(n)
                 continue
-            score = cache.get(word)
-            if score is None:
-                score = self.unseen(word[:64])
+            of = cache.get(word)
+            if of is None:
+                of = self.unseen(word[:64])
                 if len(cache) < FLUSH:
-                    cache[word] = score
-            total += n * score
-        if rows:
-            total += np.array(times, dtype=float) @ self.word_scores[rows]
+                    cache[word] = of
+            if of:
+                gram_rows += of
+                gram_times += [BACKOFF * n / len(of)] * len(of)
+        total = np.array(times, dtype=float) @ self.word_scores[np.array(rows, dtype=int)] + np.array(gram_times, dtype=float) @ self.gram_scores[np.array(gram_rows, dtype=int)]
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.languages[best], float(odds[best] / odds.sum())
@@ -150,7 +155,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        cache: dict[str, list[int]] = {}
         for batch in batches:
             found = [shared.value.predict(t, cache) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
