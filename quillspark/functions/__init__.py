@@ -1 +1 @@
-
+"""Functions of record analyses."""

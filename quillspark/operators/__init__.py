@@ -1 +1 @@
-
+"""Operators of record analyses."""

@@ -1 +1 @@
-
+"""Plans of record analyses."""

@@ -1,4 +1,8 @@
-"""Named queries over the driver's tables, each with its SQL oracle."""
+"""Named queries over the driver's tables, each with its SQL oracle.
+
+The tables stand for records: an order or a document is a record, its lines'
+supplier nations are its addresses, the parts of its basket its keywords.
+"""
 
 from __future__ import annotations
 
@@ -7,40 +11,587 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import entities, lexicon as lx, text as tx
+from quillspark.operators import audit, classify, collab, dedup, graph, keywords, metrics
+from quillspark.plans.fixture import RECORDS_SQL, records
 from quillspark.session import table
 
-YEARS = (1995, 2001)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def yearly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("category"),
-        F.year("o_orderdate").cast("long").alias("year"),
-        F.col("o_totalprice").alias("amount"),
-    )
-    spine = orders.select("category").distinct().withColumn("year", F.explode(F.sequence(F.lit(YEARS[0]), F.lit(YEARS[1])).cast("array<bigint>")))
-    stats = orders.groupBy("category", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("tc"))
-    n, tc = F.coalesce("n", F.lit(0)), F.coalesce("tc", F.lit(0.0))
-    return spine.join(stats, ["category", "year"], "left").select(
-        "category",
-        "year",
-        n.alias("n"),
-        F.round(tc, 2).alias("tc"),
-        F.round(F.when(n > 0, tc / n).otherwise(F.lit(0.0)), 4).alias("impact"),
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"yearly_growth": yearly_growth}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "yearly_growth": """
-WITH o AS (SELECT o_orderpriority AS category, CAST(year(o_orderdate) AS BIGINT) AS year, o_totalprice AS amount FROM orders),
+    return dict(_SQL)
+
+
+YEARS = (1995, 2001)
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+# Shared shapes
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("author"), F.col("o_orderpriority").alias("category"),
+        F.col("o_orderstatus").alias("orientation"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_totalprice").alias("amount"),
+    )
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their line count as citations."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count(F.lit(1)).alias("cites"))
+    return _orders(spark, sf_dir).join(lines, "doc", "left").fillna(0, ["cites"])
+
+
+def _collab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the sorted nations of their lines, the first line's nation and the status."""
+    nations = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").join(nations, "l_suppkey")
+    sets = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_set("n_name")).alias("countries"), F.min_by("n_name", F.struct("l_linenumber", "l_suppkey", "l_partkey")).alias("leader"))
+    joined = _orders(spark, sf_dir).join(sets, "doc", "left")
+    return joined.withColumn("collab", collab.status(F.coalesce(F.size("countries"), F.lit(0))))
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item"), F.col("p_brand").alias("brand"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_partkey", F.col("l_quantity").alias("quantity")).join(parts, "l_partkey").select("doc", "item", "brand", "quantity")
+
+
+_O = "o AS (SELECT o_orderkey AS doc, o_custkey AS author, o_orderpriority AS category, o_orderstatus AS orientation, CAST(year(o_orderdate) AS BIGINT) AS year, o_totalprice AS amount FROM orders)"
+_C = _O + ",\nc AS (SELECT o.*, coalesce(n, 0) AS cites FROM o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = doc)"
+_F = _C + ",\nf AS (SELECT 'Full Corpus' AS grp, * FROM c UNION ALL SELECT category AS grp, * FROM c)"
+_K = _O + """,
+ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ld AS (SELECT l_orderkey, n_name AS leader FROM ln QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) = 1),
+cn AS (SELECT l_orderkey, count(DISTINCT n_name) AS k FROM ln GROUP BY 1),
+k AS (SELECT o.*, leader, coalesce(k, 0) AS k, CASE WHEN k > 1 THEN 'MCP' WHEN k = 1 THEN 'SCP' ELSE 'Unresolved' END AS collab FROM o LEFT JOIN ld ON ld.l_orderkey = doc LEFT JOIN cn ON cn.l_orderkey = doc)"""
+_B = "b AS (SELECT l_orderkey AS doc, p_name AS item, p_brand AS brand, l_quantity AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _h(rows: str, keys: str, cites: str) -> str:
+    """The h-index the long way: ranks of all documents."""
+    return f"(SELECT {keys}, CAST(sum(CASE WHEN v >= rn THEN 1 ELSE 0 END) AS BIGINT) AS h_index FROM (SELECT *, floor({cites}) AS v, row_number() OVER (PARTITION BY {keys} ORDER BY floor({cites}) DESC) AS rn FROM {rows}) GROUP BY {keys})"
+
+
+# Growth, citations, indices
+
+
+@query(f"""WITH {_O},
 s AS (SELECT category, y.year FROM (SELECT DISTINCT category FROM o), (SELECT CAST(unnest(range(1995, 2002)) AS BIGINT) AS year) y),
 a AS (SELECT category, year, count(*) AS n, sum(amount) AS tc FROM o GROUP BY ALL)
-SELECT s.category, s.year, coalesce(n, 0) AS n, round(coalesce(tc, 0.0), 2) AS tc,
-  round(CASE WHEN coalesce(n, 0) > 0 THEN tc / n ELSE 0.0 END, 4) AS impact
-FROM s LEFT JOIN a ON s.category = a.category AND s.year = a.year""",
-    }
+SELECT s.category, s.year, coalesce(n, 0) AS n, round(coalesce(tc, 0.0), 2) AS tc, round(CASE WHEN coalesce(n, 0) > 0 THEN tc / n ELSE 0.0 END, 4) AS impact
+FROM s LEFT JOIN a ON s.category = a.category AND s.year = a.year""")
+def yearly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.yearly(_orders(spark, sf_dir), "category", "year", "amount", *YEARS).select("category", "year", "n", F.round("tc", 2).alias("tc"), F.round("impact", 4).alias("impact"))
+
+
+@query(f"""WITH {_O}, a AS (SELECT category, year, count(*) AS n FROM o GROUP BY ALL)
+SELECT category, year, n, CAST(sum(n) OVER (PARTITION BY category ORDER BY year) AS BIGINT) AS cumulative FROM a""")
+def cumulative_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.cumulative(_orders(spark, sf_dir).groupBy("category", "year").agg(F.count(F.lit(1)).alias("n")), "category", "year", "n")
+
+
+@query(f"""WITH {_F}, y AS (SELECT grp, year, count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT grp, year AS peak_year FROM y QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, year) = 1),
+g AS (SELECT grp, arg_min(n, year) AS n0, arg_max(n, year) AS n1, min(year) AS y0, max(year) AS y1 FROM y GROUP BY grp),
+t AS (SELECT grp, count(*) AS documents, CAST(sum(cites) AS DOUBLE) AS tc, CAST(sum(CASE WHEN cites > 0 THEN 1 ELSE 0 END) AS BIGINT) AS ncp FROM f GROUP BY grp)
+SELECT t.grp AS category, documents, tc, h_index, round(CASE WHEN y1 > y0 THEN (pow(n1 / n0, 1.0 / (y1 - y0)) - 1) * 100 ELSE 0.0 END, 4) AS growth,
+  round(tc / documents, 4) AS ac, ncp, round(100.0 * ncp / documents, 4) AS pct_cited, round(CASE WHEN ncp > 0 THEN tc / ncp ELSE 0.0 END, 4) AS ccp, y0 AS first_year, peak_year
+FROM t JOIN p ON t.grp = p.grp JOIN g ON t.grp = g.grp JOIN {_h('f', 'grp', 'cites')} h ON t.grp = h.grp""")
+def main_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.main_metrics(_cited(spark, sf_dir), "category", "year", "cites")
+    return out.withColumns({c: F.round(c, 4) for c in ("growth", "ac", "pct_cited", "ccp")})
+
+
+@query(f"SELECT * FROM {_h('lineitem', 'l_suppkey', 'l_quantity')}")
+def h_index_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.h_index(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
+
+
+@query("""SELECT CAST(sum(CASE WHEN v >= rn THEN 1 ELSE 0 END) AS BIGINT) AS h_index FROM (SELECT floor(l_quantity) AS v, row_number() OVER (ORDER BY floor(l_quantity) DESC) AS rn FROM lineitem)""")
+def h_index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.h_index(table(spark, sf_dir, "lineitem").select("l_quantity", F.lit(0).alias("all")), ["all"], "l_quantity").select("h_index")
+
+
+@query(f"""WITH {_C} SELECT s.category, s.author, pubs, citations, h_index FROM (SELECT category, author, count(*) AS pubs, CAST(sum(cites) AS BIGINT) AS citations FROM c GROUP BY ALL) s
+JOIN {_h('c', 'category, author', 'cites')} h ON s.category = h.category AND s.author = h.author""")
+def author_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cited(spark, sf_dir)
+    stats = rows.groupBy("category", "author").agg(F.count(F.lit(1)).alias("pubs"), F.sum("cites").alias("citations"))
+    return stats.join(metrics.h_index(rows, ["category", "author"], "cites"), ["category", "author"])
+
+
+@query(f"""WITH {_K}, v AS (SELECT author, leader, count(*) AS n, min(doc) AS first FROM k WHERE leader IS NOT NULL GROUP BY ALL)
+SELECT author, leader, n FROM v QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, first) = 1""")
+def majority_affiliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.majority(_collab(spark, sf_dir), ["author"], "leader", "doc")
+
+
+@query(f"""WITH d AS (SELECT source, floor(n_chars / 1000) AS cites FROM documents), s AS (SELECT source, count(*) AS articles, CAST(sum(cites) AS DOUBLE) AS tc FROM d GROUP BY 1),
+t AS (SELECT *, row_number() OVER (ORDER BY articles DESC, source) AS rank FROM s QUALIFY rank <= 20)
+SELECT rank, t.source, articles, tc, round(tc / articles, 4) AS cpp, h_index FROM t JOIN {_h('d', 'source', 'cites')} h ON t.source = h.source""")
+def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.floor(F.col("n_chars") / 1000).alias("cites"))
+    return metrics.source_table(docs, "source", "cites").withColumn("cpp", F.round("cpp", 4))
+
+
+@query(f"""WITH {_F}, s AS (SELECT grp, author, count(*) AS n FROM f GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS t, sum(n) OVER (PARTITION BY grp ORDER BY n DESC, author ROWS UNBOUNDED PRECEDING) - n AS before FROM s),
+z AS (SELECT *, CASE WHEN 3 * before < t THEN 1 WHEN 3 * before < 2 * t THEN 2 ELSE 3 END AS z FROM w)
+SELECT grp AS category, CAST(max(t) AS BIGINT) AS total_articles, CAST(sum(CASE WHEN z = 1 THEN 1 ELSE 0 END) AS BIGINT) AS zone1_journals, CAST(sum(CASE WHEN z = 1 THEN n ELSE 0 END) AS BIGINT) AS zone1_articles,
+  CAST(sum(CASE WHEN z = 2 THEN 1 ELSE 0 END) AS BIGINT) AS zone2_journals, CAST(sum(CASE WHEN z = 2 THEN n ELSE 0 END) AS BIGINT) AS zone2_articles,
+  CAST(sum(CASE WHEN z = 3 THEN 1 ELSE 0 END) AS BIGINT) AS zone3_journals, CAST(sum(CASE WHEN z = 3 THEN n ELSE 0 END) AS BIGINT) AS zone3_articles FROM z GROUP BY grp""")
+def bradford_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bradford(_orders(spark, sf_dir), "category", "author")
+
+
+@query(f"""WITH {_B}, x AS (SELECT brand, CAST(year(o_orderdate) AS BIGINT) AS year FROM b JOIN orders ON doc = o_orderkey), t AS (SELECT brand FROM x GROUP BY 1 ORDER BY count(*) DESC, brand LIMIT 10)
+SELECT brand, year, count(*) AS n FROM x WHERE brand IN (SELECT brand FROM t) GROUP BY ALL""")
+def top_source_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _baskets(spark, sf_dir).select("doc", "brand").join(_orders(spark, sf_dir).select("doc", "year"), "doc").groupBy("brand", "year").agg(F.count(F.lit(1)).alias("n"))
+    top = metrics.top_k(rows.groupBy("brand").agg(F.sum("n").alias("total")), 10, [F.desc("total"), F.asc("brand")])
+    return rows.join(F.broadcast(top.select("brand")), "brand", "left_semi")  # ten rows
+
+
+# Collaboration
+
+
+@query(f"WITH {_K} SELECT category, collab, count(*) AS n FROM k GROUP BY ALL")
+def collab_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collab(spark, sf_dir).groupBy("category", "collab").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_K}, a AS (SELECT n_name AS country, count(DISTINCT l_orderkey) AS documents FROM ln WHERE l_orderkey IN (SELECT doc FROM o) GROUP BY 1), l AS (SELECT leader AS country, count(*) AS led FROM k WHERE leader IS NOT NULL GROUP BY 1)
+SELECT a.country, documents, coalesce(led, 0) AS led, round(100.0 * documents / (SELECT count(*) FROM o), 4) AS percent FROM a LEFT JOIN l ON a.country = l.country""")
+def country_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.contributions(_collab(spark, sf_dir), "countries", "leader").withColumn("percent", F.round("percent", 4))
+
+
+def _pivot_sql(where: str, limit: str) -> str:
+    cells = ", ".join(f"CAST(sum(CASE WHEN category = '{g}' AND collab = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{g}_{c}\"" for g in PRIORITIES for c in ("SCP", "MCP"))
+    return f"""WITH {_K} SELECT leader AS country, {cells}, CAST(sum(CASE WHEN collab = 'SCP' THEN 1 ELSE 0 END) AS BIGINT) AS total_scp, CAST(sum(CASE WHEN collab = 'MCP' THEN 1 ELSE 0 END) AS BIGINT) AS total_mcp, count(*) AS total
+FROM k WHERE leader IS NOT NULL AND {where} GROUP BY leader {limit}"""
+
+
+FIXED_ORDER = ["CHINA", "FRANCE", "GERMANY", "JAPAN", "UNITED KINGDOM", "UNITED STATES", "NATION_1", "NATION_2", "NATION_3"]
+
+
+@query(_pivot_sql("true", "ORDER BY total DESC, leader LIMIT 12"))
+def collab_pivot_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.pivot(_collab(spark, sf_dir), "leader", "category", "collab", PRIORITIES, k=12)
+
+
+@query(_pivot_sql("leader IN (" + ", ".join(f"'{x}'" for x in FIXED_ORDER) + ")", ""))
+def collab_fixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.pivot(_collab(spark, sf_dir), "leader", "category", "collab", PRIORITIES, only=FIXED_ORDER)
+
+
+@query(f"""WITH {_K}, t AS (SELECT CAST(sum(CASE WHEN collab = 'SCP' THEN 1 ELSE 0 END) AS BIGINT) AS scp, CAST(sum(CASE WHEN collab = 'MCP' THEN 1 ELSE 0 END) AS BIGINT) AS mcp, count(*) AS total, count(leader) AS identifiable, CAST(sum(CASE WHEN collab = 'Unresolved' THEN 1 ELSE 0 END) AS BIGINT) AS unresolved FROM k),
+s AS (SELECT CAST(sum(n) AS BIGINT) AS shown FROM (SELECT count(*) AS n FROM k WHERE leader IS NOT NULL GROUP BY leader ORDER BY n DESC, leader LIMIT 12))
+SELECT scp, mcp, total, identifiable, unresolved, shown, round(shown / identifiable, 6) AS coverage, total - shown AS not_shown FROM t, s""")
+def collab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.summary(_collab(spark, sf_dir), "leader", "collab")
+
+
+@query(f"""WITH {_K}, n AS (SELECT leader, category, count(*) AS documents, CAST(sum(CASE WHEN collab = 'MCP' THEN 1 ELSE 0 END) AS BIGINT) AS mcp FROM k WHERE collab <> 'Unresolved' GROUP BY ALL HAVING count(*) >= 10),
+w AS (SELECT *, mcp / documents AS p, 1.96 AS z FROM n)
+SELECT leader, category, documents, mcp, round(p, 6) AS proportion,
+  round(greatest(0.0, (p + z * z / (2 * documents) - z * sqrt(p * (1 - p) / documents + z * z / (4.0 * documents * documents))) / (1 + z * z / documents)), 6) AS low,
+  round(least(1.0, (p + z * z / (2 * documents) + z * sqrt(p * (1 - p) / documents + z * z / (4.0 * documents * documents))) / (1 + z * z / documents)), 6) AS high FROM w""")
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collab.mcp_rates(_collab(spark, sf_dir), ["leader", "category"], "collab")
+    return out.withColumns({c: F.round(c, 6) for c in ("proportion", "low", "high")})
+
+
+@query(f"""WITH {_K}, n AS (SELECT collab, leader AS country, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT * FROM n WHERE country IS NOT NULL QUALIFY row_number() OVER (PARTITION BY collab ORDER BY n DESC, country) <= 10)
+SELECT * FROM t UNION ALL SELECT collab, 'Others / unresolved', CAST(sum(n) AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.collab = n.collab AND t.country = n.country) GROUP BY 1""")
+def donut_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.residual(_collab(spark, sf_dir), "leader", "collab").select("collab", "country", "n")
+
+
+_RCA = """n AS (SELECT n_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+r AS (SELECT n_name, sum(n) AS row_n FROM n GROUP BY 1 HAVING sum(n) >= 10), s AS (SELECT c_mktsegment, sum(n) AS column_n FROM n GROUP BY 1), t AS (SELECT sum(n) AS total FROM n)"""
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
+
+
+@query(f"""WITH {_RCA} SELECT r.n_name, s.c_mktsegment, CAST(row_n AS BIGINT) AS row_n, coalesce(n, 0) AS n, round((coalesce(n, 0) / row_n) / (column_n / total), 6) AS rca
+FROM r CROSS JOIN s CROSS JOIN t LEFT JOIN n ON n.n_name = r.n_name AND n.c_mktsegment = s.c_mktsegment""")
+def rca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rca(_customers(spark, sf_dir), "n_name", "c_mktsegment").withColumn("rca", F.round("rca", 6))
+
+
+@query()
+def rca_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rca_bootstrap(_customers(spark, sf_dir), "n_name", "c_mktsegment", "c_custkey")
+
+
+# Counts and shares
+
+
+@query(f"""WITH {_O} SELECT year, CAST(sum(CASE WHEN orientation = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN orientation = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, CAST(sum(CASE WHEN orientation = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS p FROM o GROUP BY year""")
+def orientation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _orders(spark, sf_dir).groupBy("year").pivot("orientation", ["F", "O", "P"]).count().fillna(0)
+    return wide.select("year", *[F.col(c).alias(c.lower()) for c in ("F", "O", "P")])
+
+
+@query(f"WITH {_O}, n AS (SELECT year, orientation, category, count(*) AS n FROM o GROUP BY ALL) SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY year), 4) AS percent FROM n")
+def row_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _orders(spark, sf_dir).groupBy("year", "orientation", "category").agg(F.count(F.lit(1)).alias("n"))
+    years = counts.groupBy("year").agg(F.sum("n").alias("total"))
+    return counts.join(years, "year").select("year", "orientation", "category", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("percent"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("SELECT lang, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def group_counts_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).groupBy("lang", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 2) AS percent FROM documents GROUP BY lang")
+def percent_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.percent_of_total(counts, "n").withColumn("percent", F.round("percent", 2))
+
+
+@query("""SELECT source, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic, round(100 * avg(quality), 4) AS good_percent, round(100 * avg(toxic), 4) AS toxic_percent FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def flag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("source").agg(F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.round(100 * F.avg("quality"), 4).alias("good_percent"), F.round(100 * F.avg("toxic"), 4).alias("toxic_percent"))
+
+
+# Terms and classes on documents, with lists of words that occur in them
+
+DOC_VR, DOC_AR, DOC_MR, DOC_XR = ["the ", "that"], [" de ", "que "], ["stupid", " und "], [" los ", "nicht"]
+DOC_TECHNICAL, DOC_PEDAGOGICAL = ["tion", "ing ", "token", "license", "ver"], ["ed ", "er ", "ment", "eau", "keit", "ción"]
+
+
+def _like(terms: list[str], text: str = "t") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{x}')" for x in terms) + ")"
+
+
+def _score(terms: list[str], text: str = "t") -> str:
+    return "(" + " + ".join(f"CAST(contains({text}, '{x}') AS INT)" for x in terms) + ")"
+
+
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", tx.joined_lower(["text"], padded=True).alias("t"))
+
+
+_D = "d AS (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS t FROM documents)"
+
+
+@query(f"WITH {_D} SELECT doc_id FROM d WHERE {_like(DOC_VR + DOC_XR)}")
+def thematic_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.thematic(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], DOC_VR + DOC_XR).select("doc_id")
+
+
+@query(f"WITH {_D} SELECT doc_id, concat_ws('; ', {', '.join(f'''CASE WHEN contains(t, '{x}') THEN '{x.strip()}' END''' for x in DOC_TECHNICAL + DOC_PEDAGOGICAL)}) AS terms FROM d")
+def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir).select("doc_id", tx.matched_terms("t", DOC_TECHNICAL + DOC_PEDAGOGICAL).alias("terms"))
+
+
+@query(f"""WITH {_D} SELECT doc_id, CASE WHEN {_like(DOC_MR)} THEN 'MR' WHEN {_like(DOC_XR)} THEN 'XR' WHEN {_like(DOC_VR)} AND {_like(DOC_AR)} THEN 'Hybrid/Multi-technology' WHEN {_like(DOC_AR)} THEN 'AR' WHEN {_like(DOC_VR)} THEN 'VR' END AS category FROM d""")
+def priority_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir).select("doc_id", classify.technology(F.col("t"), DOC_VR, DOC_AR, DOC_MR, DOC_XR).alias("category"))
+
+
+@query(f"""WITH {_D} SELECT doc_id, {_score(DOC_TECHNICAL)} AS technical, {_score(DOC_PEDAGOGICAL)} AS pedagogical, CASE WHEN {_score(DOC_PEDAGOGICAL)} >= {_score(DOC_TECHNICAL)} THEN 'Pedagogical' ELSE 'Technical' END AS orientation FROM d""")
+def orientation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir).select("doc_id", tx.term_score("t", DOC_TECHNICAL).alias("technical"), tx.term_score("t", DOC_PEDAGOGICAL).alias("pedagogical"), classify.orientation(F.col("t"), DOC_TECHNICAL, DOC_PEDAGOGICAL).alias("orientation"))
+
+
+# The record fixture: every rule with the fixed term lists
+
+
+def _quoted(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _q(terms: list[str], text: str = "t") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{_quoted(x)}')" for x in terms) + ")"
+
+
+_R = f"r AS ({RECORDS_SQL}),\nt AS (SELECT *, ' ' || lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) || ' ' AS t, lower(concat_ws(' ', title, abstract, author_keywords)) AS s FROM r)"
+
+
+@query(f"""WITH {_R}, c AS (SELECT *, CASE WHEN {_q(lx.MR_TERMS)} THEN 'MR' WHEN {_q(lx.XR_TERMS)} THEN 'XR' WHEN {_q(lx.VR_TERMS)} AND {_q(lx.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(lx.AR_TERMS)} THEN 'AR' WHEN {_q(lx.VR_TERMS)} THEN 'VR' END AS category FROM t)
+SELECT row_id, category, CASE WHEN category IS NOT NULL THEN CASE WHEN {'+'.join(f"CAST(contains(t, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(t, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END END AS orientation FROM c""")
+def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classified(records(spark)).select(F.col("_row_id").alias("row_id"), F.col("Tech_Category").alias("category"), F.col("Orientation").alias("orientation"))
+
+
+def _labels_sql(patterns: dict[str, str]) -> str:
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{_quoted(k)}' END" for k, p in patterns.items()) + ")"
+
+
+def _any_sql(patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches(s, '{p}')" for p in patterns) + ")"
+
+
+_SUBSTANTIVE = [p for k, p in lx.EDUCATION_PATTERNS.items() if k not in lx.GENERIC_LEARNING_LABELS]
+
+
+@query(f"""WITH {_R}, e AS (SELECT *, {_any_sql(_SUBSTANTIVE)} OR ({_any_sql(lx.EDUCATION_PATTERNS.values())} AND NOT {_any_sql(lx.MACHINE_LEARNING_PATTERNS)}) AS cue FROM t)
+SELECT row_id, cue, {_any_sql(lx.CLINICAL_PATTERNS.values())} AS clinical, CASE WHEN cue THEN {_labels_sql(lx.EDUCATION_PATTERNS)} ELSE '' END AS education_cues, {_labels_sql(lx.CLINICAL_PATTERNS)} AS clinical_cues, CASE WHEN cue THEN 'include_algorithm' ELSE 'exclude_algorithm' END AS disposition FROM e""")
+def record_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify.screened(records(spark), ["Title", "Abstract", "Author Keywords"])
+    return out.select(F.col("_row_id").alias("row_id"), F.col("Has_Education_Cue").alias("cue"), F.col("Has_Clinical_Use_Cue").alias("clinical"), F.col("Matched_Education_Cues").alias("education_cues"), F.col("Matched_Clinical_Use_Cues").alias("clinical_cues"), F.col("Education_Screen_Disposition").alias("disposition"))
+
+
+@query(f"""WITH {_R} SELECT row_id, {', '.join(f'''concat_ws('; ', {', '.join(f"CASE WHEN contains(t, '{_quoted(x)}') THEN '{_quoted(x.strip())}' END" for x in terms)}) AS {name}''' for name, terms in (('vr_terms', lx.VR_TERMS), ('ar_terms', lx.AR_TERMS), ('hardware_terms', lx.HARDWARE_TERMS), ('exclusion_terms', lx.EXCLUSION_TERMS)))} FROM t""")
+def record_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classification_trace(records(spark)).select(F.col("_row_id").alias("row_id"), *[F.col(c).alias(c.lower()) for c in ("VR_terms", "AR_terms", "Hardware_terms", "Exclusion_terms")])
+
+
+@query(f"""WITH {_R} SELECT CAST(sum(CAST({_q(lx.EDUCATION_SIGNALS, 's')} AS INT)) AS BIGINT) AS education, CAST(sum(CAST({_q(lx.HEALTH_SIGNALS, 's')} AS INT)) AS BIGINT) AS health, count(*) AS n FROM t""")
+def scope_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = records(spark).withColumn("s", tx.joined_lower(["Title", "Abstract", "Author Keywords"]))
+    flags = classify.scope_signals(F.col("s"))
+    return text.agg(F.sum(flags["Education_signal"].cast("long")).alias("education"), F.sum(flags["Health_or_clinical_signal"].cast("long")).alias("health"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_R} SELECT row_id, trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title_key,
+regexp_replace(coalesce(trim(lower(doi)), ''), '^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '') AS doi_key FROM r""")
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), tx.title_key("Title").alias("title_key"), tx.doi_key("DOI").alias("doi_key"))
+
+
+_ALIAS = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lx.COUNTRY_ALIASES.items()) + " ELSE array_to_string(list_transform(string_split(k, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END"
+
+
+@query(f"""WITH {_R}, g AS (SELECT row_id, generate_subscripts(string_split(coalesce(affiliations, ''), ';'), 1) AS pos, unnest(string_split(coalesce(affiliations, ''), ';')) AS seg FROM r),
+p AS (SELECT row_id, pos, list_filter(list_transform(string_split(seg, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM g),
+k AS (SELECT row_id, pos, CASE WHEN len(parts) > 0 THEN regexp_replace(lower(parts[-1]), '\\s+', ' ', 'g') END AS k FROM p),
+c AS (SELECT row_id, pos, CASE WHEN k IS NOT NULL AND k NOT IN ('nan', 'none', 'null', 'n/a') THEN {_ALIAS} END AS c FROM k)
+SELECT row_id, coalesce(array_to_string(list_sort(list_distinct(list(c) FILTER (c IS NOT NULL))), '; '), '') AS countries, max(CASE WHEN pos = 1 THEN c END) AS leader FROM c GROUP BY row_id""")
+def record_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.countries("Affiliations"), "; ").alias("countries"), entities.leading_country("Affiliations").alias("leader"))
+
+
+@query()
+def record_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.institutions("Affiliations"), "; ").alias("institutions"), entities.display_institution("Affiliations").alias("label"), entities.standard_affiliations("Affiliations").alias("standard"))
+
+
+@query(f"""WITH {_R}, n AS (SELECT row_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(trim(x)), '\\s+', ' ', 'g'), ',\\s*', ', ', 'g'), '\\.([A-Za-z])', '. \\1', 'g') AS name, pos FROM (SELECT row_id, unnest(string_split(authors, ';')) AS x, generate_subscripts(string_split(authors, ';'), 1) AS pos FROM r WHERE authors IS NOT NULL) WHERE trim(x) <> '')
+SELECT row_id, string_agg(name, '; ' ORDER BY pos) AS authors FROM n GROUP BY row_id""")
+def record_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), entities.standard_authors("Authors").alias("authors")).filter("authors <> ''")
+
+
+@query()
+def record_cited_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), F.explode(entities.cited_authors("References")).alias("author"))
+
+
+@query()
+def record_pipeline_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.plans import corpus
+
+    return corpus.audit(records(spark))
+
+
+# Deduplication
+
+
+@query("SELECT text, lang, min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id").select("text", "lang", "doc_id")
+
+
+_T = "t AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM documents),\nx AS (SELECT *, CASE WHEN title = '' THEN '' ELSE sha256(title) END AS k FROM t)"
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as titles; their keys are shuffled as digests."""
+    titled = table(spark, sf_dir, "documents").withColumn("title", tx.title_key("text"))
+    return titled.withColumn("k", F.when(F.col("title") == "", "").otherwise(F.sha2("title", 256)))
+
+
+@query(f"WITH {_T} SELECT doc_id, title FROM t")
+def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titled(spark, sf_dir).select("doc_id", "title")
+
+
+@query(f"WITH {_T} SELECT doc_id FROM x WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY n_chars DESC, doc_id) = 1 UNION ALL SELECT doc_id FROM x WHERE k = ''")
+def keyed_survivor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keyed(_titled(spark, sf_dir).select("doc_id", "k", "n_chars"), "k", F.col("n_chars"), "doc_id").select("doc_id")
+
+
+@query(f"""WITH {_T}, c AS (SELECT *, CASE WHEN source IN ('src1', 'src2', 'src3') THEN '' ELSE source END AS doi FROM x), n AS (SELECT *, count(DISTINCT nullif(doi, '')) OVER (PARTITION BY k, lang) AS dois FROM c WHERE k <> '')
+SELECT doc_id FROM n QUALIFY row_number() OVER (PARTITION BY k, lang, CASE WHEN dois > 1 THEN doi ELSE '' END ORDER BY n_chars DESC, doc_id) = 1 UNION ALL SELECT doc_id FROM c WHERE k = ''""")
+def guarded_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _titled(spark, sf_dir).select("doc_id", "k", "lang", "n_chars", F.when(F.col("source").isin("src1", "src2", "src3"), "").otherwise(F.col("source")).alias("doi"))
+    return dedup.guarded(docs, ["k", "lang"], "doi", F.col("n_chars"), "doc_id").select("doc_id")
+
+
+@query("SELECT page_id, regexp_replace(trim(lower(url)), '^https?://(www\\.)?', '') AS address FROM pages")
+def url_prefix_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(tx.strip(F.lower("url")), r"^https?://(www\.)?", "").alias("address"))
+
+
+# Keywords
+
+
+@query(f"""WITH {_B}, j AS (SELECT doc, string_agg(DISTINCT item, '; ' ORDER BY item) AS kw FROM b GROUP BY doc)
+SELECT doc, array_to_string(list_sort(list_filter(list_transform(string_split(kw, ';'), lambda x: lower(trim(x))), lambda x: length(x) > 2)), '; ') AS keywords FROM j""")
+def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _baskets(spark, sf_dir).groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("item")), "; ").alias("kw"))
+    return joined.select("doc", F.array_join(F.sort_array(entities.keywords("kw")), "; ").alias("keywords"))
+
+
+@query(f"WITH {_B}, n AS (SELECT item AS keyword, count(*) AS n FROM (SELECT DISTINCT doc, item FROM b) GROUP BY 1) SELECT row_number() OVER (ORDER BY n DESC, keyword) AS rank, keyword, n FROM n QUALIFY rank <= 10")
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _baskets(spark, sf_dir).select("doc", "item").distinct()
+    return keywords.top_keywords(rows, F.array("item")).select("rank", "keyword", "n")
+
+
+@query(f"WITH {_B}, n AS (SELECT brand, item AS keyword, count(*) AS n FROM (SELECT DISTINCT doc, brand, item FROM b) GROUP BY ALL) SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY n DESC, keyword) AS rank, keyword, n FROM n QUALIFY rank <= 10")
+def keyword_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _baskets(spark, sf_dir).select("doc", "brand", "item").distinct()
+    return keywords.top_keywords(rows, F.array("item"), 10, ["brand"]).select("brand", "rank", "keyword", "n")
+
+
+@query(f"""WITH {_B}, a AS (SELECT item AS w, count(*) AS n FROM (SELECT DISTINCT doc, item FROM b) GROUP BY 1), o AS (SELECT item AS w, count(*) AS n FROM b GROUP BY 1),
+x AS (SELECT row_number() OVER (ORDER BY n DESC, w) AS rank, w, n FROM a QUALIFY rank <= 10), y AS (SELECT row_number() OVER (ORDER BY n DESC, w) AS rank, w, n FROM o QUALIFY rank <= 10)
+SELECT rank, x.w AS left_keyword, x.n AS left_n, y.w AS right_keyword, y.n AS right_n FROM x FULL JOIN y USING (rank)""")
+def rank_aligned_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies by document against raw occurrences."""
+    rows = _baskets(spark, sf_dir).select("doc", "item")
+    return keywords.rank_aligned(keywords.top_keywords(rows.distinct(), F.array("item")), keywords.top_keywords(rows, F.array("item")))
+
+
+@query(f"""WITH {_B}, u AS (SELECT DISTINCT doc, item FROM b), t AS (SELECT item FROM u GROUP BY 1 ORDER BY count(*) DESC, item LIMIT 10), v AS (SELECT u.* FROM u JOIN t USING (item))
+SELECT x.item AS "row", y.item AS "column", count(*) AS n FROM v x JOIN v y ON x.doc = y.doc GROUP BY ALL""")
+def keyword_pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.matrix(_baskets(spark, sf_dir), "doc", "item")
+
+
+@query()
+def fuzzy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = keywords.merged_spellings(_baskets(spark, sf_dir).select("doc", "item").distinct(), F.array("item"))
+    return spark.createDataFrame(sorted(merged.items()), "spelling string, chosen string")
+
+
+# Networks
+
+_E = _B + """,
+u AS (SELECT DISTINCT doc, item FROM b), f AS (SELECT item AS id, count(*) AS freq FROM u GROUP BY 1),
+e AS (SELECT x.item AS src, y.item AS dst, count(*) AS weight FROM u x JOIN u y ON x.doc = y.doc AND x.item < y.item GROUP BY ALL),
+mx AS (SELECT avg(weight) + stddev_pop(weight) AS m FROM e), g AS (SELECT e.* FROM e, mx WHERE weight >= m)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _baskets(spark, sf_dir).select("doc", "item")
+    _, edges = graph.network(rows, "doc", "item", 1, 1)
+    return edges.crossJoin(F.broadcast(edges.agg((F.avg("weight") + F.stddev_pop("weight")).alias("m")))).filter("weight >= m").drop("m")  # one row
+
+
+@query(f"WITH {_E} SELECT src, dst, weight FROM e")
+def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.network(_baskets(spark, sf_dir).select("doc", "item"), "doc", "item", 1, 1)[1]
+
+
+@query("""WITH u AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS id FROM lineitem), f AS (SELECT id FROM u GROUP BY 1 HAVING count(*) >= 15), v AS (SELECT u.* FROM u JOIN f USING (id))
+SELECT x.id AS src, y.id AS dst, count(*) AS weight FROM v x JOIN v y ON x.doc = y.doc AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2""")
+def cocitation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("cited"))
+    return graph.network(rows, "doc", "cited", 15, 2)[1]
+
+
+@query(f"WITH {_E} SELECT id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT src AS id, weight FROM g UNION ALL SELECT dst, weight FROM g) GROUP BY id")
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_E}, n AS (SELECT count(DISTINCT id) AS nodes FROM (SELECT src AS id FROM g UNION ALL SELECT dst FROM g)) SELECT nodes, (SELECT count(*) FROM g) AS edges, round(2.0 * (SELECT count(*) FROM g) / (nodes * (nodes - 1)), 6) AS density FROM n")
+def degree_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.size_and_density(_edges(spark, sf_dir)).withColumn("density", F.round("density", 6))
+
+
+@query(f"""WITH RECURSIVE {_E}, l AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g), w AS (SELECT DISTINCT a AS id, a AS seen FROM l UNION SELECT w.id, l.b FROM w JOIN l ON w.seen = l.a)
+SELECT id, min(seen) AS component FROM w GROUP BY id""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_edges(spark, sf_dir))
+
+
+@query()
+def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.louvain(_edges(spark, sf_dir))
+
+
+def _fixed_partition(edges: DataFrame, by: int) -> DataFrame:
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ids.select("id", (F.length("id") % by).cast("long").alias("cluster"))
+
+
+@query(f"""WITH {_E}, p AS (SELECT src, dst, weight, length(src) % 4 AS a, length(dst) % 4 AS b FROM g), m AS (SELECT sum(weight) AS m FROM p),
+d AS (SELECT c, sum(weight) AS d FROM (SELECT a AS c, weight FROM p UNION ALL SELECT b, weight FROM p) GROUP BY c), i AS (SELECT a AS c, sum(weight) AS w FROM p WHERE a = b GROUP BY 1)
+SELECT round(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM d LEFT JOIN i USING (c), m""")
+def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    return graph.modularity(edges, _fixed_partition(edges, 4)).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(f"""WITH {_E}, i AS (SELECT DISTINCT id FROM (SELECT src AS id FROM g UNION ALL SELECT dst FROM g)), p AS (SELECT length(id) % 4 AS x, length(id) % 3 AS y FROM i),
+t AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM t), r AS (SELECT sum(n * (n - 1) / 2) AS r FROM (SELECT sum(n) AS n FROM t GROUP BY x)), c AS (SELECT sum(n * (n - 1) / 2) AS c FROM (SELECT sum(n) AS n FROM t GROUP BY y))
+SELECT round((s - r * c / (t * (t - 1) / 2)) / ((r + c) / 2 - r * c / (t * (t - 1) / 2)), 6) AS ari FROM s, r, c""")
+def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    return graph.adjusted_rand(_fixed_partition(edges, 4), _fixed_partition(edges, 3)).select(F.round("ari", 6).alias("ari"))
+
+
+GRID = [(1, 1), (1, 30), (1, 45), (500, 45), (900, 45), (900, 55)]
+
+
+@query(f"""WITH {_E}, q(min_freq, min_edge) AS (VALUES {', '.join(f'(CAST({a} AS BIGINT), CAST({b} AS BIGINT))' for a, b in GRID)}),
+x AS (SELECT min_freq, min_edge, src, dst FROM q, e JOIN f a ON a.id = src JOIN f b ON b.id = dst WHERE weight >= min_edge AND a.freq >= min_freq AND b.freq >= min_freq),
+n AS (SELECT min_freq, min_edge, count(*) AS nodes FROM q, f WHERE freq >= min_freq GROUP BY ALL), l AS (SELECT min_freq, min_edge, count(DISTINCT id) AS linked FROM (SELECT min_freq, min_edge, src AS id FROM x UNION ALL SELECT min_freq, min_edge, dst FROM x) GROUP BY ALL),
+k AS (SELECT min_freq, min_edge, count(*) AS edges FROM x GROUP BY ALL)
+SELECT q.min_freq, q.min_edge, coalesce(nodes, 0) AS nodes, coalesce(linked, 0) AS linked, coalesce(edges, 0) AS edges, round(CASE WHEN linked > 1 THEN 2.0 * edges / (linked * (linked - 1)) ELSE 0.0 END, 6) AS density
+FROM q LEFT JOIN n ON n.min_freq = q.min_freq AND n.min_edge = q.min_edge LEFT JOIN l ON l.min_freq = q.min_freq AND l.min_edge = q.min_edge LEFT JOIN k ON k.min_freq = q.min_freq AND k.min_edge = q.min_edge""")
+def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sensitivity(_baskets(spark, sf_dir).select("doc", "item"), "doc", "item", GRID).withColumn("density", F.round("density", 6))
+
+
+# Audit and sampling
+
+
+@query("""WITH s AS (SELECT 0 AS stage_no, 'loaded' AS stage, count(*) AS records FROM documents UNION ALL SELECT 1, 'long', count(*) FROM documents WHERE n_chars >= 500
+UNION ALL SELECT 2, 'english', count(*) FROM documents WHERE n_chars >= 500 AND lang = 'en' UNION ALL SELECT 3, 'lines', count(*) FROM documents WHERE n_chars >= 500 AND lang = 'en' AND contains(text, chr(10)))
+SELECT *, coalesce(lag(records) OVER (ORDER BY stage_no), records) AS before, coalesce(lag(records) OVER (ORDER BY stage_no), records) - records AS removed FROM s""")
+def stage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.funnel(table(spark, sf_dir, "documents"), [("long", F.col("n_chars") >= 500), ("english", F.col("lang") == "en"), ("lines", F.contains("text", F.lit("\n")))])
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY (doc_id * 7919 + 20260929) % 100003, doc_id) <= 50")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.struct((F.col("doc_id") * 7919 + 20260929) % 100003, "doc_id")
+    return metrics.stratified(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", rank, 50).select("source", "doc_id")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {y}, '{_quoted(t)}')" for c, v in lx.MILESTONES.items() for y, t in v) + ") v(category, year, milestone)")
+def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c, y, t) for c, v in lx.MILESTONES.items() for y, t in v], "category string, year int, milestone string")

@@ -1 +1 @@
-
+"""Reserved for incremental variants; the record analyses are batch work."""
