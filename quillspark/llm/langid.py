@@ -20,6 +20,8 @@ UNDETERMINED = "und"
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 LONGEST_GRAM = 4
+#: Longer words are never known ones but always scored by their n-grams: bounds the model's and the cache's memory.
+LONGEST_WORD = 64
 #: Partial counts that a worker holds before it hands them on.
 FLUSH = 200_000
 #: Weight of a backed-off word against a known one.
@@ -106,8 +108,8 @@ class LanguageModel:
                 continue
             of = cache.get(word)
             if of is None:
-                of = self.unseen(word[:64])
-                if len(cache) < FLUSH:
+                of = self.unseen(word)
+                if len(cache) < FLUSH and len(word) <= LONGEST_WORD:
                     cache[word] = of
             if of:
                 gram_rows += of
@@ -142,7 +144,7 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)
-    return LanguageModel(languages, *_scores(top(words, max_words), languages, sums), *_scores(top(gram_counts, max_grams), languages, sums * 5))
+    return LanguageModel(languages, *_scores(top(words.filter(F.length("word") <= LONGEST_WORD), max_words), languages, sums), *_scores(top(gram_counts, max_grams), languages, sums * 5))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

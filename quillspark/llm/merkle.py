@@ -42,18 +42,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
     """Paths (section, paragraph) at which two trees differ: only sections whose digests differ are opened."""
-    sections = F.arrays_zip(a.alias("a"), section_digests(a).alias("da"), b.alias("b"), section_digests(b).alias("db"))
-    indexed = F.transform(sections, lambda s, i: F.struct(i.alias("i"), F.coalesce(s["0"], F.array().cast("array<string>")).alias("a"), s["1"].alias("da"), F.coalesce(s["2"], F.array().cast("array<string>")).alias("b"), s["3"].alias("db")))
-    opened = F.filter(indexed, lambda s: ~s["da"].eqNullSafe(s["db"]))
-    return F.flatten(
-        F.transform(
-            opened,
-            lambda s: F.filter(
-                F.transform(F.arrays_zip(s["a"], s["b"]), lambda p, j: F.when(~p["0"].eqNullSafe(p["1"]), F.struct(s["i"].alias("section"), j.alias("paragraph")))),
-                lambda x: x.isNotNull(),
-            ),
-        )
-    )
+    da, db, none = section_digests(a), section_digests(b), F.array().cast("array<string>")
+
+    def opened(i: Column) -> Column:
+        left, right = F.coalesce(F.get(a, i), none), F.coalesce(F.get(b, i), none)
+        paths = F.transform(F.sequence(F.lit(0), F.greatest(F.size(left), F.size(right)) - 1), lambda j: F.when(~F.get(left, j).eqNullSafe(F.get(right, j)), F.struct(i.alias("section"), j.alias("paragraph"))))
+        return F.filter(paths, lambda x: x.isNotNull())
+
+    sections = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
+    return F.flatten(F.transform(F.filter(sections, lambda i: ~F.get(da, i).eqNullSafe(F.get(db, i))), opened))
 
 
 def with_next(docs: DataFrame, key: str, rows_a_bucket: int = 2000) -> DataFrame:
@@ -76,7 +73,7 @@ def with_next(docs: DataFrame, key: str, rows_a_bucket: int = 2000) -> DataFrame
         bucket = F.when(at == 0, F.lit(0)).otherwise((at - 1) * side + F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), lambda c: c <= F.col(key))))
     else:
         bucket = F.lit(0)
-    docs = docs.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    docs = docs.withColumn("_bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket))
     firsts = sorted((r["_bucket"], r["k"]) for r in docs.groupBy("_bucket").agg(F.min(key).alias("k")).collect())  # a row for each range
     before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
     if not firsts:

@@ -132,7 +132,7 @@ def training_rows(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str, str
     for _ in range(n):
         before, after = f"{word()} {word()} ", rng.choice((" ", ", ", ". ", ""))
         sep = rng.choice((" ", "-", "."))
-        case = rng.randrange(12)
+        case = rng.randrange(13)
         if case == 0:
             rows.append(("phone", f"({number(3)}) {number(3)}-{number(4)}", before, after, 1))
         elif case == 1:
@@ -155,6 +155,8 @@ def training_rows(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str, str
             rows.append(("phone", f"{number(3)} {number(3)} {number(3)}", before, after, 0))
         elif case == 10:
             rows.append(("phone", f"{number(2)}{sep}{number(2)}{sep}{number(4)}", before + rng.choice(("date: ", "")), after, 0))
+        elif case == 11:
+            rows.append(("phone", f"{rng.randint(1950, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}{rng.choice((' ', '-'))}{number(2)}{sep}{number(2)}" + rng.choice(("", f"{sep}{number(2)}")), before + rng.choice(("", "on ", "date ")), after, 0))
         else:
             rows.append(("card", grouped(number(16), "/"), before + rng.choice(("id ", "no ")), after, 0))
     return rows
