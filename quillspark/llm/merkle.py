@@ -12,6 +12,8 @@ from .common import table, without
 #: Code points of a leaf below a paragraph, where no sentence ends before.
 LEAF_CHARS = 24
 LEAF = rf"[^\n.!?]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+"
+#: Ranges of the key, squared: bounds the table of first rows that is broadcast.
+MAX_SIDE = 200
 SECTION_BREAK = r"\n[ \t]*\n"
 
 
@@ -62,7 +64,7 @@ def with_next(docs: DataFrame, key: str, rows_a_bucket: int = 2000) -> DataFrame
     spark = docs.sparkSession
     n = docs.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    side = max(1, math.ceil(math.sqrt(max(n / rows_a_bucket, 8 * parts))))
+    side = min(MAX_SIDE, max(1, math.ceil(math.sqrt(max(n / rows_a_bucket, 8 * parts)))))
     wanted = [i / (side * side) for i in range(1, side * side)]
     cuts = sorted(set((docs.agg(F.percentile_approx(key, wanted, 100 * side * side).alias("c")).first()["c"] or []) if wanted else []))
     groups = [cuts[i : i + side] for i in range(0, len(cuts), side)] or [[]]
