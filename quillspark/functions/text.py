@@ -49,8 +49,9 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(c: ColumnLike) -> Column:
-    """Accents and other nonspacing marks removed, without leaving the JVM."""
-    return F.translate(F.regexp_replace(col(c), r"\p{Mn}+", ""), *_accents())
+    """Accents and other nonspacing marks removed, without leaving the JVM; texts of ASCII only are passed through."""
+    text = col(c)
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *_accents())).otherwise(text)
 
 
 def joined_lower(fields: list[ColumnLike], padded: bool = False) -> Column:

@@ -27,10 +27,10 @@ def survivors(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
 
 
 def keyed(df: DataFrame, key: str, quality: Column, row: str = "_row_id") -> DataFrame:
-    """Of rows with one key the richest, ties by ``row``; rows with a blank key all stay and are not shuffled by it."""
-    whole = df.withColumn("_quality", quality)
-    kept = survivors(whole.filter(present(key)), [key], [F.desc("_quality"), F.asc(row)])
-    return kept.unionByName(whole.filter(~present(key))).drop("_quality")
+    """Of rows with one key the richest, ties by ``row``; rows with a blank key all stay, each a partition of its own."""
+    whole = df.withColumn("_quality", quality).withColumn("_alone", F.when(~present(key), F.col(row)))
+    whole = whole.withColumn("_key", F.when(F.col("_alone").isNull(), F.col(key)))
+    return survivors(whole, ["_key", "_alone"], [F.desc("_quality"), F.asc(row)]).drop("_quality", "_alone", "_key")
 
 
 def order_after_key(key: str, quality: Column, row: str = "_row_id") -> Column:
@@ -45,8 +45,9 @@ def guarded(df: DataFrame, keys: list[str], doi: str, quality: Column, order: st
     Rows with a blank key stay. ``doi`` is a normalised column, empty if absent.
     """
     complete = reduce(lambda a, b: a & b, [present(F.col(k).cast("string")) for k in keys])
-    whole = df.withColumn("_complete", complete).withColumn("_quality", quality)
-    tried = whole.filter("_complete").withColumn("_dois", F.size(F.collect_set(F.when(F.col(doi) != "", F.col(doi))).over(Window.partitionBy(*keys))))
+    whole = df.withColumn("_quality", quality).withColumn("_alone", F.when(~complete, F.col(order)))
+    group = Window.partitionBy(*keys, "_alone")
+    tried = whole.withColumn("_dois", F.size(F.collect_set(F.when(F.col(doi) != "", F.col(doi))).over(group)))
     tried = tried.withColumn("_sub", F.when(F.col("_dois") > 1, F.col(doi)).otherwise(F.lit("")))
-    kept = survivors(tried, [*keys, "_sub"], [F.desc("_quality"), F.asc(order)]).drop("_dois", "_sub")
-    return kept.unionByName(whole.filter("not _complete")).drop("_complete", "_quality")
+    # the second window's keys hold the first one's, so rows are shuffled once
+    return survivors(tried, [*keys, "_alone", "_sub"], [F.desc("_quality"), F.asc(order)]).drop("_dois", "_sub", "_quality", "_alone")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FULL = "Full Corpus"
+#: Cells that the bootstrap takes to the driver.
+MAX_CELLS = 1_000_000
 
 
 def with_full(df: DataFrame, group: str, full: str = FULL) -> DataFrame:
@@ -120,41 +120,57 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
 
 
-def rca(df: DataFrame, row: str, column: str, least: int = 10, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+def rca(df: DataFrame, row: str, column: str, least: int = 10) -> DataFrame:
     """Comparative advantage of every row and column value: the share in the row over the share in all; 0 where absent.
 
     ``least`` hides rows with fewer documents, after all shares are taken.
     """
-    by = by or []
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, row, column).agg(n.alias("n"))
-    of_row = cells.groupBy(*by, row).agg(F.sum("n").alias("row_n"))
-    of_column = cells.groupBy(*by, column).agg(F.sum("n").alias("column_n"))
-    total = of_row.groupBy(*by).agg(F.sum("row_n").alias("total"))
-    grid = of_row.filter(F.col("row_n") >= least)
-    grid = grid.join(of_column, by).join(total, by) if by else grid.crossJoin(F.broadcast(of_column)).crossJoin(F.broadcast(total))  # a row for each column value, and one row
+    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
+    of_row = cells.groupBy(row).agg(F.sum("n").alias("row_n"))
+    of_column = cells.groupBy(column).agg(F.sum("n").alias("column_n"))
+    total = of_row.agg(F.sum("row_n").alias("total"))
+    grid = of_row.filter(F.col("row_n") >= least).crossJoin(of_column).crossJoin(F.broadcast(total))  # the whole grid is the result; the total is one row
     share = (F.coalesce("n", F.lit(0)) / F.col("row_n")) / (F.col("column_n") / F.col("total"))
-    return grid.join(cells, [*by, row, column], "left").select(*by, row, column, "row_n", F.coalesce("n", F.lit(0)).alias("n"), share.alias("rca"))
+    return grid.join(cells, [row, column], "left").select(row, column, "row_n", F.coalesce("n", F.lit(0)).alias("n"), share.alias("rca"))
 
 
-def rca_bootstrap(df: DataFrame, row: str, column: str, key: str, replicates: int = 1000, least: int = 10, seed: int = 20260929) -> DataFrame:
+def rca_bootstrap(df: DataFrame, row: str, column: str, replicates: int = 1000, least: int = 10, seed: int = 20260929) -> DataFrame:
     """95 % bounds of ``rca`` from resampled documents.
 
-    Each document has a Poisson(1) weight in each replicate, by a hash of key
-    and replicate. Documents are thinned to (row, column, replicate) sums by
-    partial aggregation, so the shuffle holds cells, not documents.
+    Drawing documents with replacement makes the cells' counts multinomial, so
+    replicates are drawn from the table of cells, whose size is checked: the
+    work does not grow with the documents. Replicates are spread over tasks,
+    each with a generator of its own.
     """
-    unit = F.pmod(F.xxhash64(F.lit(seed), key, "rep"), F.lit(1 << 30)) / float(1 << 30)
-    steps, weight, p, total = [], F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        steps.append(total)
-        p /= k
-        total += p
-    weight = reduce(lambda a, s: a + (unit >= s).cast("long"), steps, F.lit(0).cast("long"))
-    spread = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).select(row, column, key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("_w", weight).filter("_w > 0")
-    each = rca(spread, row, column, 0, "_w", ["rep"])
-    bounds = each.groupBy(row, column).agg(F.percentile("rca", 0.025).alias("low"), F.percentile("rca", 0.975).alias("high"), F.count(F.lit(1)).alias("replicates"))
-    return rca(df, row, column, least).join(bounds, [row, column], "left")
+    import numpy as np
+    import pandas as pd
+
+    estimate = rca(df, row, column, least)
+    counted = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
+    cells = sorted(counted.limit(MAX_CELLS + 1).collect())
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} combinations of {row} and {column}")
+    if not cells:
+        return estimate.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "replicates": F.lit(0).cast("long")})
+    rows, columns = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+    table = np.zeros((len(rows), len(columns)))
+    for r, c, n in cells:
+        table[rows.index(r), columns.index(c)] = n
+    total = int(table.sum())
+
+    def draw(batches):
+        for batch in batches:
+            for rep in batch["id"]:
+                drawn = np.random.default_rng([seed, int(rep)]).multinomial(total, (table / total).ravel()).reshape(table.shape).astype(float)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    share = (drawn / drawn.sum(axis=1, keepdims=True)) / (drawn.sum(axis=0) / total)
+                at = np.argwhere(np.isfinite(share))
+                yield pd.DataFrame({row: [rows[i] for i, _ in at], column: [columns[j] for _, j in at], "_share": share[at[:, 0], at[:, 1]]})
+
+    kinds = dict(df.dtypes)
+    each = df.sparkSession.range(replicates).mapInPandas(draw, f"`{row}` {kinds[row]}, `{column}` {kinds[column]}, _share double")
+    bounds = each.groupBy(row, column).agg(F.percentile("_share", 0.025).alias("low"), F.percentile("_share", 0.975).alias("high"), F.count(F.lit(1)).alias("replicates"))
+    return estimate.join(bounds, [row, column], "left")
 
 
 def stratified(df: DataFrame, stratum: str, rank: Column, k: int) -> DataFrame:

@@ -241,7 +241,7 @@ def rca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rca_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rca_bootstrap(_customers(spark, sf_dir), "n_name", "c_mktsegment", "c_custkey")
+    return metrics.rca_bootstrap(_customers(spark, sf_dir), "n_name", "c_mktsegment")
 
 
 # Counts and shares

@@ -54,7 +54,7 @@ def test_wilson_bounds(spark):
 
 def test_bootstrap_holds_the_estimate(spark):
     df = spark.createDataFrame([(i, "x" if i % 3 else "y", "p" if i % 2 else "q") for i in range(300)], "id long, r string, c string")
-    for row in metrics.rca_bootstrap(df, "r", "c", "id", 200).collect():
+    for row in metrics.rca_bootstrap(df, "r", "c", 200).collect():
         assert row["low"] < row["rca"] < row["high"]
 
 
