@@ -214,3 +214,33 @@ def matrix(items: DataFrame, doc: str, item: str, k: int = 10) -> DataFrame:
     return pairs.select(F.col("src").alias("row"), F.col("dst").alias("column"), F.col("weight").alias("n")).unionByName(turned).unionByName(top.select(F.col("id").alias("row"), F.col("id").alias("column"), F.col("freq").alias("n")))
 
 
+
+
+def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int]], baseline: tuple[int, int]) -> DataFrame:
+    """Communities, modularity and agreement with the baseline's communities for every (min_freq, min_edge).
+
+    Pairs are counted once; each configuration's graph is one Louvain task.
+    Agreement is the adjusted Rand index on shared linked nodes, null for fewer than two.
+    """
+    spark = items.sparkSession
+    grid = sorted({*grid, baseline})
+    params = F.broadcast(spark.createDataFrame([(f"{a}/{b}", a, b) for a, b in grid], "config string, min_freq long, min_edge long"))  # a row for each configuration
+    nodes = eligible(frequencies(items, doc, item), min(f for f, _ in grid))
+    edges = pair_counts(items, doc, item, nodes).filter(F.col("weight") >= min(e for _, e in grid))
+    known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
+    fit = _cut(known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("config", "src", "dst", "weight"))
+    labels = _cut(louvain(fit, "config"))
+    placed = fit.join(labels.select("config", F.col("id").alias("src"), F.col("cluster").alias("cs")), ["config", "src"]).join(labels.select("config", F.col("id").alias("dst"), F.col("cluster").alias("cd")), ["config", "dst"])
+    ends = placed.select("config", F.explode(F.array("cs", "cd")).alias("c"), "weight").groupBy("config", "c").agg(F.sum("weight").alias("d"))
+    inside = placed.filter("cs = cd").groupBy("config", F.col("cs").alias("c")).agg(F.sum("weight").alias("w"))
+    whole = placed.groupBy("config").agg(F.sum("weight").cast("double").alias("m"))
+    parts = ends.join(inside, ["config", "c"], "left").join(whole, "config")
+    quality = parts.groupBy("config").agg(F.count(F.lit(1)).alias("communities"), F.sum(F.coalesce("w", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
+    base = labels.filter(F.col("config") == f"{baseline[0]}/{baseline[1]}").select("id", F.col("cluster").alias("y"))
+    table = labels.select("config", "id", F.col("cluster").alias("x")).join(base, "id").groupBy("config", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    chosen = lambda df, name: df.groupBy("config").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
+    sums = chosen(table, "s").join(chosen(table.groupBy("config", "x").agg(F.sum("n").alias("n")), "r"), "config").join(chosen(table.groupBy("config", "y").agg(F.sum("n").alias("n")), "c"), "config")
+    counted = sums.join(table.groupBy("config").agg(F.sum("n").alias("t")), "config").filter("t >= 2")
+    expected, most = F.col("r") * F.col("c") / (F.col("t") * (F.col("t") - 1) / 2), (F.col("r") + F.col("c")) / 2
+    agreement = counted.select("config", F.when(most == expected, F.lit(1.0)).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
+    return params.join(quality, "config", "left").join(agreement, "config", "left").select("min_freq", "min_edge", F.coalesce("communities", F.lit(0)).alias("communities"), "modularity", "ari")

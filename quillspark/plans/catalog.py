@@ -576,6 +576,11 @@ def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sensitivity(_baskets(spark, sf_dir).select("doc", "item"), "doc", "item", GRID).withColumn("density", F.round("density", 6))
 
 
+@query()
+def sensitivity_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.community_grid(_baskets(spark, sf_dir).select("doc", "item"), "doc", "item", GRID, GRID[2])
+
+
 # Audit and sampling
 
 

@@ -137,3 +137,30 @@ def test_csv_dialect(spark, tmp_path):
 
 def test_markdown(spark):
     assert sinks.markdown(spark.createDataFrame([(1, "a|b")], "x int, y string")) == "| x | y |\n| --- | --- |\n| 1 | a\\|b |\n"
+
+
+def test_community_grid_agrees_with_its_baseline(spark):
+    rng = random.Random(11)
+    docs = [(d, f"{'ab'[d % 2]}{rng.randrange(6)}") for d in range(300) for _ in range(3)]
+    items = spark.createDataFrame(docs, "d int, i string")
+    rows = {(r["min_freq"], r["min_edge"]): r for r in graph.community_grid(items, "d", "i", [(1, 1), (1, 10_000)], (1, 1)).collect()}
+    assert rows[1, 1]["ari"] == 1.0 and rows[1, 1]["communities"] == 2 and rows[1, 1]["modularity"] == pytest.approx(0.5, abs=0.02)
+    assert rows[1, 10_000]["communities"] == 0 and rows[1, 10_000]["ari"] is None
+
+
+def test_command_line_writes_every_table(spark, tmp_path):
+    import csv
+
+    from quillspark import cli
+    from quillspark.plans.fixture import COLUMNS, ROWS
+
+    with (tmp_path / "in.csv").open("w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(COLUMNS)
+        out.writerows(["" if v is None else v for v in r] for r in ROWS)
+    cli.main(["--input", str(tmp_path / "in.csv"), "--results-dir", str(tmp_path / "out"), "--skip", "rca"])
+    written = {p.name for p in (tmp_path / "out").iterdir()}
+    assert written == {"classified_corpus", *cli.PARTS} - {"rca"}
+    assert spark.read.parquet(str(tmp_path / "out/classified_corpus")).count() == corpus.corpus(records(spark)).count()
+    with pytest.raises(SystemExit):
+        cli.parse(["--input", "x", "--results-dir", "y", "--skip", "nothing"])
