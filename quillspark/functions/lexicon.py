@@ -20,6 +20,8 @@ PEDAGOGICAL_TERMS = ['learning', 'education', 'teaching', 'instruction', 'curric
  'constructivism', 'problem-based', 'project-based', 'inquiry-based', 'self-regulated', 'metacognition', 'comprehension', 'retention',
  'academic performance']
 CLASSIFICATION_FIELDS = ['Title', 'Abstract', 'Author Keywords', 'Index Keywords']
+SCREEN_FIELDS = ['Title', 'Abstract', 'Author Keywords']
+SCREEN_STATUS = {True: 'Included — education/training cue detected', False: 'Excluded — no qualifying education/training cue'}
 EDUCATION_PATTERNS = {'education/educational': '\\beducation(?:al)?\\b',
  'teaching': '\\bteaching\\b',
  'teacher(s)': '\\bteachers?\\b',

@@ -39,20 +39,19 @@ def orientation(text: Column, technical: list[str] = lx.TECHNICAL_TERMS, pedagog
     return F.when(term_score(text, pedagogical) >= term_score(text, technical), "Pedagogical").otherwise("Technical")
 
 
-def classified(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """``Tech_Category`` and, where there is one, ``Orientation``. The text is built once."""
-    fields = [f for f in (fields or lx.CLASSIFICATION_FIELDS) if f in df.columns]
-    text = df.withColumn("_text", joined_lower(fields, padded=True)).withColumn("Tech_Category", technology(F.col("_text")))
-    return text.withColumn("Orientation", F.when(F.col("Tech_Category").isNotNull(), orientation(F.col("_text")))).drop("_text")
+def texts(df: DataFrame, padded: bool) -> DataFrame:
+    """``_class_text`` of all classification fields and ``_screen_text`` without the index keywords, each built once."""
+    known = lambda names: [f for f in names if f in df.columns]
+    return df.withColumns({"_class_text": joined_lower(known(lx.CLASSIFICATION_FIELDS), padded), "_screen_text": joined_lower(known(lx.SCREEN_FIELDS), padded)})
 
 
-def dashboard_class(text: Column) -> Column:
-    """The four-class dialect: MR and XR are one, and exclusion phrases hold unless hardware is named."""
-    bare = F.when(any_term(text, lx.MR_TERMS + lx.XR_TERMS), "MR/XR").when(any_term(text, lx.VR_TERMS) & any_term(text, lx.AR_TERMS), "Hybrid").when(any_term(text, lx.AR_TERMS), "AR").when(any_term(text, lx.VR_TERMS), "VR")
-    return F.when(any_term(text, lx.EXCLUSION_TERMS) & ~any_term(text, lx.HARDWARE_TERMS), F.lit(None)).otherwise(bare)
+def classified(df: DataFrame) -> DataFrame:
+    """``Tech_Category`` and, where there is one, ``Orientation``, which does not read the index keywords."""
+    placed = texts(df, padded=True).withColumn("Tech_Category", technology(F.col("_class_text")))
+    return placed.withColumn("Orientation", F.when(F.col("Tech_Category").isNotNull(), orientation(F.col("_screen_text")))).drop("_class_text", "_screen_text")
 
 
-def screened(df: DataFrame, fields: list[str]) -> DataFrame:
+def screened(df: DataFrame, fields: list[str] = lx.SCREEN_FIELDS) -> DataFrame:
     """The education screen: cues with labels, the machine-learning safeguard, status and disposition.
 
     A clinical cue is reported and never vetoes. Where a machine-learning
@@ -68,23 +67,22 @@ def screened(df: DataFrame, fields: list[str]) -> DataFrame:
             "Has_Clinical_Use_Cue": any_of(lx.CLINICAL_PATTERNS.values()),
             "Matched_Education_Cues": F.when(cue, matched_labels("_screen", lx.EDUCATION_PATTERNS)).otherwise(F.lit("")),
             "Matched_Clinical_Use_Cues": matched_labels("_screen", lx.CLINICAL_PATTERNS),
-            "Education_Screen_Status": F.when(cue, "education_cue").otherwise("no_education_cue"),
+            "Education_Screen_Status": F.when(cue, lx.SCREEN_STATUS[True]).otherwise(lx.SCREEN_STATUS[False]),
             "Education_Screen_Disposition": F.when(cue, "include_algorithm").otherwise("exclude_algorithm"),
-            "Education_Screen_Fields": F.lit("; ".join(fields)),
+            "Education_Screen_Fields": F.lit(", ".join(fields)),
         }
     ).drop("_screen")
 
 
-def classification_trace(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Per record: the matched terms of every list."""
-    fields = [f for f in (fields or lx.CLASSIFICATION_FIELDS) if f in df.columns]
-    lists = {
-        "VR_terms": lx.VR_TERMS, "AR_terms": lx.AR_TERMS, "MR_terms": lx.MR_TERMS, "XR_terms": lx.XR_TERMS,
-        "Exclusion_terms": lx.EXCLUSION_TERMS, "Hardware_terms": lx.HARDWARE_TERMS,
-        "Technical_terms": lx.TECHNICAL_TERMS, "Pedagogical_terms": lx.PEDAGOGICAL_TERMS,
+def classification_trace(df: DataFrame) -> DataFrame:
+    """Per record: the matched terms of every list. Texts are not padded here, so a padded term at either end is no match."""
+    signals = {
+        "Matched_VR_terms": lx.VR_TERMS, "Matched_AR_terms": lx.AR_TERMS, "Matched_MR_terms": lx.MR_TERMS, "Matched_XR_terms": lx.XR_TERMS,
+        "Matched_Exclusion_terms": lx.EXCLUSION_TERMS, "Matched_Hardware_rescue_terms": lx.HARDWARE_TERMS,
     }
-    text = df.withColumn("_text", joined_lower(fields, padded=True))
-    return text.withColumns({n: matched_terms("_text", t) for n, t in lists.items()}).drop("_text")
+    leanings = {"Matched_Technical_terms": lx.TECHNICAL_TERMS, "Matched_Pedagogical_terms": lx.PEDAGOGICAL_TERMS}
+    found = {n: matched_terms("_class_text", t) for n, t in signals.items()} | {n: matched_terms("_screen_text", t) for n, t in leanings.items()}
+    return texts(df, padded=False).withColumns(found).drop("_class_text", "_screen_text")
 
 
 def scope_signals(text: Column) -> dict[str, Column]:

@@ -337,7 +337,7 @@ _R = f"r AS ({RECORDS_SQL}),\nt AS (SELECT *, ' ' || lower(concat_ws(' ', title,
 
 
 @query(f"""WITH {_R}, c AS (SELECT *, CASE WHEN {_q(lx.MR_TERMS)} THEN 'MR' WHEN {_q(lx.XR_TERMS)} THEN 'XR' WHEN {_q(lx.VR_TERMS)} AND {_q(lx.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(lx.AR_TERMS)} THEN 'AR' WHEN {_q(lx.VR_TERMS)} THEN 'VR' END AS category FROM t)
-SELECT row_id, category, CASE WHEN category IS NOT NULL THEN CASE WHEN {'+'.join(f"CAST(contains(t, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(t, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END END AS orientation FROM c""")
+SELECT row_id, category, CASE WHEN category IS NOT NULL THEN CASE WHEN {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END END AS orientation FROM c""")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classified(records(spark)).select(F.col("_row_id").alias("row_id"), F.col("Tech_Category").alias("category"), F.col("Orientation").alias("orientation"))
 
@@ -360,9 +360,17 @@ def record_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_row_id").alias("row_id"), F.col("Has_Education_Cue").alias("cue"), F.col("Has_Clinical_Use_Cue").alias("clinical"), F.col("Matched_Education_Cues").alias("education_cues"), F.col("Matched_Clinical_Use_Cues").alias("clinical_cues"), F.col("Education_Screen_Disposition").alias("disposition"))
 
 
-@query(f"""WITH {_R} SELECT row_id, {', '.join(f'''concat_ws('; ', {', '.join(f"CASE WHEN contains(t, '{_quoted(x)}') THEN '{_quoted(x.strip())}' END" for x in terms)}) AS {name}''' for name, terms in (('vr_terms', lx.VR_TERMS), ('ar_terms', lx.AR_TERMS), ('hardware_terms', lx.HARDWARE_TERMS), ('exclusion_terms', lx.EXCLUSION_TERMS)))} FROM t""")
+_TRACED = {"vr": ("u", lx.VR_TERMS), "ar": ("u", lx.AR_TERMS), "exclusion": ("u", lx.EXCLUSION_TERMS), "hardware_rescue": ("u", lx.HARDWARE_TERMS), "technical": ("s", lx.TECHNICAL_TERMS), "pedagogical": ("s", lx.PEDAGOGICAL_TERMS)}
+
+
+def _terms_sql(text: str, terms: list[str]) -> str:
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN contains({text}, '{_quoted(x)}') THEN '{_quoted(x.strip())}' END" for x in terms) + ")"
+
+
+@query(f"""WITH {_R}, u AS (SELECT *, lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) AS u FROM t)
+SELECT row_id, {', '.join(f'{_terms_sql(text, terms)} AS matched_{name}_terms' for name, (text, terms) in _TRACED.items())} FROM u""")
 def record_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classification_trace(records(spark)).select(F.col("_row_id").alias("row_id"), *[F.col(c).alias(c.lower()) for c in ("VR_terms", "AR_terms", "Hardware_terms", "Exclusion_terms")])
+    return classify.classification_trace(records(spark)).select(F.col("_row_id").alias("row_id"), *[F.col(f"matched_{n}_terms").alias(f"matched_{n}_terms") for n in _TRACED])
 
 
 @query(f"""WITH {_R} SELECT CAST(sum(CAST({_q(lx.EDUCATION_SIGNALS, 's')} AS INT)) AS BIGINT) AS education, CAST(sum(CAST({_q(lx.HEALTH_SIGNALS, 's')} AS INT)) AS BIGINT) AS health, count(*) AS n FROM t""")

@@ -9,8 +9,6 @@ from quillspark.functions import entities, lexicon as lx
 from quillspark.functions.text import doi_key, title_key
 from quillspark.operators import classify, dedup
 
-SCREEN_FIELDS = ["Title", "Abstract", "Author Keywords"]
-
 
 def _column(df: DataFrame, name: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
@@ -42,9 +40,9 @@ def stages(df: DataFrame) -> list[tuple[str, DataFrame]]:
     titled = out[-1][1].withColumn("_title", title_key(_column(df, "Title"))).withColumn("_author", entities.first_author_key(_column(df, "Author(s) ID"), _column(df, names)))
     add("4_title_deduplication", dedup.guarded(titled, ["_title", "Year", "_author"], "_doi", quality, "_ord").drop("_title", "_author"))
     add("5_missing_metadata", classify.essential(out[-1][1]))
-    add("6_thematic_screening", classify.thematic(out[-1][1], [c for c in SCREEN_FIELDS if c in df.columns]))
+    add("6_thematic_screening", classify.thematic(out[-1][1], [c for c in lx.SCREEN_FIELDS if c in df.columns]))
     add("7_year_filter", classify.within_years(out[-1][1]))
-    judged = classify.screened(classify.classified(out[-1][1]), [*SCREEN_FIELDS, "Index Keywords"])
+    judged = classify.screened(classify.classified(out[-1][1]))
     add("8_education_screen", judged.filter("Education_Screen_Disposition = 'include_algorithm'"))
     add("9_classification", out[-1][1].filter("Tech_Category is not null"))
     return out

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as lx
 from quillspark.functions.text import strip
 
-#: Other headers under which exports give the same column.
+#: Other headers under which exports give the same column, first the most usual.
+# The column that fills a field depends on each entry and on the order given.
 COLUMN_ALIASES = {
-    "Title": ["document title", "article title"],
-    "Year": ["publication year", "pubyear"],
-    "Source title": ["source", "journal", "publication title"],
-    "Abstract": ["abstracts"],
-    "Author Keywords": ["keywords", "de"],
-    "Index Keywords": ["keywords plus", "id"],
-    "Authors": ["author", "au"],
-    "Affiliations": ["addresses", "affiliation"],
-    "Cited by": ["citations", "times cited", "cited_by"],
-    "DOI": ["doi link"],
+    "Title": ["document title", "article title", "paper title", "ti"],
+    "Abstract": ["summary", "description", "ab"],
+    "Author Keywords": ["author keyword", "keywords", "keywords (author)", "de"],
+    "Index Keywords": ["index keyword", "keywords plus", "id"],
+    "Year": ["publication year", "pub year", "py", "date"],
+    "DOI": ["digital object identifier"],
+    "Affiliations": ["affiliation", "author affiliations", "c1"],
+    "Authors": ["author", "creator", "au"],
+    "Source title": ["journal", "journal title", "publication name", "so"],
+    "Cited by": ["citations", "times cited", "tc"],
 }
 
 
