@@ -7,12 +7,13 @@ supplier nations are its addresses, the parts of its basket its keywords.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import entities, lexicon as lx, text as tx
-from quillspark.operators import audit, classify, collab, dedup, graph, keywords, metrics
+from quillspark.operators import audit, classify, collab, dedup, dialect, graph, keywords, metrics
 from quillspark.plans.fixture import RECORDS_SQL, records
 from quillspark.session import table
 
@@ -608,3 +609,59 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {y}, '{_quoted(t)}')" for c, v in lx.MILESTONES.items() for y, t in v) + ") v(category, year, milestone)")
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, y, t) for c, v in lx.MILESTONES.items() for y, t in v], "category string, year int, milestone string")
+
+
+# The dashboard dialect
+
+
+_DR = f"r AS ({RECORDS_SQL}),\nt AS (SELECT *, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''))) AS s, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''), ' ', coalesce(index_keywords, ''))) AS t FROM r)"
+
+
+@query(f"""WITH {_DR} SELECT row_id, CASE WHEN {_q(dialect.EXCLUSION_TERMS)} AND NOT {_q(dialect.ANCHOR_TERMS)} THEN NULL WHEN {_q(dialect.MR_TERMS)} THEN 'MR/XR' WHEN {_q(dialect.VR_TERMS)} AND {_q(dialect.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(dialect.AR_TERMS)} THEN 'AR' WHEN {_q(dialect.VR_TERMS)} THEN 'VR' END AS category,
+CASE WHEN {_score(dialect.PEDAGOGICAL_TERMS, 's')} >= {_score(dialect.TECHNICAL_TERMS, 's')} THEN 'Pedagogical' ELSE 'Technical' END AS orientation FROM t""")
+def dashboard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = records(spark).fillna("", lx.CLASSIFICATION_FIELDS)
+    texts = whole.select(F.col("_row_id").alias("row_id"), tx.joined_lower(lx.CLASSIFICATION_FIELDS).alias("t"), tx.joined_lower(lx.SCREEN_FIELDS).alias("s"))
+    return texts.select("row_id", dialect.technology(F.col("t")).alias("category"), dialect.orientation(F.col("s")).alias("orientation"))
+
+
+_LISTED = "CASE regexp_replace(lower(trim(string_split(x, ',')[-1])), '[.\\s0-9]+$', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dialect.COUNTRY_NAMES.items()) + " END"
+
+
+@query(f"""WITH r AS ({RECORDS_SQL}), g AS (SELECT row_id, generate_subscripts(string_split(coalesce(affiliations, ''), ';'), 1) AS pos, unnest(string_split(coalesce(affiliations, ''), ';')) AS x FROM r), c AS (SELECT row_id, pos, {_LISTED} AS c FROM g),
+f AS (SELECT row_id, c, min(pos) AS pos FROM c WHERE c IS NOT NULL GROUP BY ALL)
+SELECT r.row_id, coalesce((SELECT string_agg(c, '; ' ORDER BY pos) FROM f WHERE f.row_id = r.row_id), '') AS countries, (SELECT c FROM c WHERE c.row_id = r.row_id AND pos = 1) AS leader FROM r""")
+def dashboard_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(dialect.countries("Affiliations"), "; ").alias("countries"), dialect.leading_country("Affiliations").alias("leader"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM documents)
+SELECT doc_id FROM d QUALIFY k = '' OR row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1""")
+def dashboard_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", dialect.title_key("text").alias("k"))
+    return dialect.first_of_key(docs, F.col("k"), "doc_id").select("doc_id")
+
+
+@query(f"""WITH {_O}, s AS (SELECT author, count(*) AS n FROM o GROUP BY 1), w AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (ORDER BY n DESC, author ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+z AS (SELECT n, CASE WHEN 3 * upto <= t THEN 1 WHEN 3 * upto <= 2 * t THEN 2 ELSE 3 END AS zone FROM w)
+SELECT v.zone, count(n) AS sources, CAST(coalesce(sum(n), 0) AS BIGINT) AS documents FROM (VALUES (1), (2), (3)) v(zone) LEFT JOIN z ON z.zone = v.zone GROUP BY v.zone""")
+def dashboard_bradford(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.bradford(_orders(spark, sf_dir).select("author"), "author")
+
+
+@query(f"""WITH {_K}, m AS (SELECT leader, category, CASE WHEN k > 1 THEN 'MCP' ELSE 'SCP' END AS status FROM k WHERE leader IS NOT NULL)
+SELECT leader AS country, {', '.join(f"CAST(sum(CASE WHEN category = '{g}' AND status = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{g}_{c}\"" for g in PRIORITIES for c in ('SCP', 'MCP'))}, count(*) AS total FROM m GROUP BY leader ORDER BY total DESC, leader LIMIT 12""")
+def dashboard_collab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.collaboration(_collab(spark, sf_dir), "leader", F.size("countries"), "category", PRIORITIES)
+
+
+@query(f"""WITH {_C}, g AS (SELECT unnest([{', '.join(f"'{x}'" for x in ['All', *PRIORITIES])}]) AS card)
+SELECT card, count(doc) AS records, CAST(coalesce(sum(cites), 0) AS DOUBLE) AS citations, round(100.0 * count(doc) / (SELECT count(*) FROM c), 1) AS share FROM g LEFT JOIN c ON card = 'All' OR card = category GROUP BY card""")
+def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.cards(_cited(spark, sf_dir), "category", "cites", PRIORITIES)
+
+
+@query()
+def dashboard_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(dialect.stages(records(spark)))]
+    return audit.with_removed(reduce(DataFrame.unionByName, counts))
