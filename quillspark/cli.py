@@ -1,48 +1,79 @@
-"""``python -m quillspark.cli --input records.csv --results-dir out [--skip metrics ...]``"""
+"""``python -m quillspark.cli --input records.csv --results-dir out [--skip a3,a5]``"""
 
 from __future__ import annotations
 
 import argparse
+import sys
+import time
+import traceback
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import entities
-from quillspark.operators import collab, metrics
-from quillspark.plans import corpus
+from quillspark.plans import corpus, modules
 from quillspark.session import get_session
 from quillspark.sources import records, sinks
 
-PARTS = ("audit", "yearly", "metrics", "sources", "bradford", "countries", "rca")
-
 
 def parse(args: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--input", required=True)
     parser.add_argument("--results-dir", required=True)
-    parser.add_argument("--skip", nargs="*", default=[], choices=PARTS)
-    return parser.parse_args(args)
+    parser.add_argument("--skip", default="", help=f"modules to skip, separated by commas: {', '.join(modules.MODULES)}")
+    options = parser.parse_args(args)
+    options.skip = {s.strip().lower() for s in options.skip.split(",") if s.strip()}
+    if unknown := options.skip - modules.MODULES.keys():
+        parser.error(f"unknown modules to skip: {', '.join(sorted(unknown))}")
+    return options
+
+
+def write(tables: dict[str, modules.Table], folder: str) -> None:
+    for name, table in tables.items():
+        rows = table.rows.orderBy(*table.order) if table.order else table.rows
+        if not table.small:
+            rows.write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+            continue
+        sinks.write_table(rows, f"{folder}/{name}")
+        if table.markdown:
+            sinks.write_text(rows.sparkSession, sinks.markdown(rows), f"{folder}/{name}.md")
+
+
+def class_counts(df: DataFrame) -> str:
+    """The report on the classes, a line for each."""
+    rows = df.groupBy("Tech_Category", "Orientation").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "Tech_Category", "Orientation").collect()  # a dozen rows
+    return "\n".join(f"  {r['Tech_Category'] or 'none'} / {r['Orientation'] or 'none'}: {r['n']:,}" for r in rows)
 
 
 def main(args: list[str] | None = None) -> None:
+    """Runs all stages and modules; a failed module leaves the others' results and ends in exit code 1."""
+    began = time.time()
     options = parse(args)
     spark = get_session()
+    folder = options.results_dir
     raw = records.canonical_columns(records.read_records(spark, options.input))
-    out = lambda name: f"{options.results_dir}/{name}"
-    sinks.write_corpus(corpus.corpus(raw), out("classified_corpus"))
-    kept = spark.read.parquet(out("classified_corpus")).withColumn("cites", F.coalesce(F.col("Cited by").try_cast("double"), F.lit(0.0)))
-    placed = kept.withColumn("countries", entities.countries("Affiliations")).withColumn("leader", entities.leading_country("Affiliations")) if "Affiliations" in kept.columns else None
-    tables = {
-        "audit": lambda: corpus.audit(raw),
-        "yearly": lambda: metrics.yearly(kept, "Tech_Category", "Year", "cites", 1991, 2025),
-        "metrics": lambda: metrics.main_metrics(kept, "Tech_Category", "Year", "cites"),
-        "sources": lambda: metrics.source_table(kept, "Source title", "cites"),
-        "bradford": lambda: metrics.bradford(kept, "Tech_Category", "Source title"),
-        "countries": lambda: placed and collab.contributions(placed, "countries", "leader"),
-        "rca": lambda: placed and metrics.rca(placed, "leader", "Tech_Category"),
-    }
-    for name in PARTS:
-        if name not in options.skip and (table := tables[name]()) is not None:
-            sinks.write_table(table, out(name))
+    steps = corpus.stages(raw)
+    sinks.write_corpus(corpus.before_screens(steps), f"{folder}/screened_corpus")
+    judged = spark.read.parquet(f"{folder}/screened_corpus")
+    included = judged.filter("Education_Screen_Disposition = 'include_algorithm'")
+    print(class_counts(included))
+    write(modules.a11(judged), folder)
+    sinks.write_text(spark, modules.methods_text(judged), f"{folder}/education_screen_methods.md")
+    write(modules.a10(included), folder)
+    sinks.write_corpus(included.filter("Tech_Category is not null"), f"{folder}/classified_corpus")
+    write(modules.a0(corpus.audit(raw)), folder)
+    kept = modules.prepared(spark.read.parquet(f"{folder}/classified_corpus"))
+    failed = []
+    for name, module in modules.MODULES.items():
+        if name in options.skip:
+            continue
+        try:
+            write(module(kept), folder)
+        except Exception as error:  # noqa: BLE001
+            traceback.print_exc()
+            failed.append(f"{name}: {error}")
+    print(f"{time.time() - began:.1f} s", *failed, sep="\n")
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

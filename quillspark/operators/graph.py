@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,8 @@ def size_and_density(edges: DataFrame) -> DataFrame:
     return counted.withColumn("density", F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
@@ -69,13 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of a chain's length; each round is checkpointed.
     """
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
-    both = _cut(both.filter("id <> other").distinct())
-    labels = _cut(both.groupBy("id").agg(F.min("other").alias("o")).select("id", F.least("id", "o").alias("component")))
+    both = checkpointed(both.filter("id <> other").distinct())
+    labels = checkpointed(both.groupBy("id").agg(F.min("other").alias("o")).select("id", F.least("id", "o").alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("c"))
         stepped = labels.join(near, "id").select("id", F.least("component", "c").alias("n"), F.col("component").alias("was"))
         up = stepped.select(F.col("id").alias("n"), F.col("n").alias("nn"))
-        jumped = _cut(stepped.join(up, "n", "left").select("id", F.least("n", F.coalesce("nn", "n")).alias("component"), "was"))
+        jumped = checkpointed(stepped.join(up, "n", "left").select("id", F.least("n", F.coalesce("nn", "n")).alias("component"), "was"))
         if jumped.filter("component <> was").isEmpty():
             return jumped.select("id", "component")
         labels = jumped.select("id", "component")
@@ -195,7 +198,7 @@ def sensitivity(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int
     """
     spark = items.sparkSession
     params = F.broadcast(spark.createDataFrame([tuple(g) for g in grid], "min_freq long, min_edge long"))  # as many rows as configurations
-    nodes = _cut(eligible(frequencies(items, doc, item), min(f for f, _ in grid)))
+    nodes = checkpointed(eligible(frequencies(items, doc, item), min(f for f, _ in grid)))
     edges = pair_counts(items, doc, item, nodes).filter(F.col("weight") >= min(e for _, e in grid))
     known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
     fit = known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq")
@@ -215,7 +218,6 @@ def matrix(items: DataFrame, doc: str, item: str, k: int = 10) -> DataFrame:
 
 
 
-
 def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int]], baseline: tuple[int, int]) -> DataFrame:
     """Communities, modularity and agreement with the baseline's communities for every (min_freq, min_edge).
 
@@ -228,8 +230,8 @@ def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int,
     nodes = eligible(frequencies(items, doc, item), min(f for f, _ in grid))
     edges = pair_counts(items, doc, item, nodes).filter(F.col("weight") >= min(e for _, e in grid))
     known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
-    fit = _cut(known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("config", "src", "dst", "weight"))
-    labels = _cut(louvain(fit, "config"))
+    fit = checkpointed(known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("config", "src", "dst", "weight"))
+    labels = checkpointed(louvain(fit, "config"))
     placed = fit.join(labels.select("config", F.col("id").alias("src"), F.col("cluster").alias("cs")), ["config", "src"]).join(labels.select("config", F.col("id").alias("dst"), F.col("cluster").alias("cd")), ["config", "dst"])
     ends = placed.select("config", F.explode(F.array("cs", "cd")).alias("c"), "weight").groupBy("config", "c").agg(F.sum("weight").alias("d"))
     inside = placed.filter("cs = cd").groupBy("config", F.col("cs").alias("c")).agg(F.sum("weight").alias("w"))
@@ -244,3 +246,74 @@ def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int,
     expected, most = F.col("r") * F.col("c") / (F.col("t") * (F.col("t") - 1) / 2), (F.col("r") + F.col("c")) / 2
     agreement = counted.select("config", F.when(most == expected, F.lit(1.0)).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
     return params.join(quality, "config", "left").join(agreement, "config", "left").select("min_freq", "min_edge", F.coalesce("communities", F.lit(0)).alias("communities"), "modularity", "ari")
+
+
+def _largest(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """The edges of the component with most nodes, the one with the least id of equal ones."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, _ in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    sizes: dict[str, int] = {}
+    for x in list(root):
+        sizes[find(x)] = sizes.get(find(x), 0) + 1
+    best = min(sizes, key=lambda r: (-sizes[r], r), default=None)
+    return [e for e in edges if find(e[0]) == best]
+
+
+def _quality(edges: list[tuple[str, str, float]], labels: dict[str, int]) -> float:
+    total = sum(w for _, _, w in edges)
+    inside, ends = {}, {}
+    for a, b, w in edges:
+        for x in (a, b):
+            ends[labels[x]] = ends.get(labels[x], 0.0) + w
+        if labels[a] == labels[b]:
+            inside[labels[a]] = inside.get(labels[a], 0.0) + w
+    return sum(inside.get(c, 0.0) / total - (d / (2 * total)) ** 2 for c, d in ends.items())
+
+
+def _agreement(a: dict[str, int], b: dict[str, int]) -> float | None:
+    shared = a.keys() & b.keys()
+    if len(shared) < 2:
+        return None
+    pairs = lambda values: sum(n * (n - 1) / 2 for n in Counter(values).values())
+    both, left, right = pairs((a[x], b[x]) for x in shared), pairs(a[x] for x in shared), pairs(b[x] for x in shared)
+    expected, most = left * right / (len(shared) * (len(shared) - 1) / 2), (left + right) / 2
+    return 1.0 if most == expected else (both - expected) / (most - expected)
+
+
+def largest_component_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int]], baseline: tuple[int, int], max_nodes: int = 70) -> DataFrame:
+    """Size, density, communities, modularity and agreement of the largest component for every (min_freq, min_edge).
+
+    Frequencies and pairs are counted once, repeats included. ``max_nodes``
+    bounds every graph to its square of edges, so the graphs together are one
+    small task, which also holds each against the baseline's communities.
+    """
+    import pandas as pd
+
+    spark = items.sparkSession
+    grid = sorted({*grid, baseline})
+    params = F.broadcast(spark.createDataFrame(grid, "min_freq long, min_edge long"))  # a row for each configuration
+    nodes = checkpointed(eligible(frequencies(items, doc, item, False), min(f for f, _ in grid), max_nodes))
+    edges = pair_counts(items, doc, item, nodes, False).filter(F.col("weight") >= min(e for _, e in grid))
+    known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
+    fit = known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("min_freq", "min_edge", "src", "dst", "weight")
+
+    def measure(frame: pd.DataFrame) -> pd.DataFrame:
+        graphs = {k: _largest(sorted(zip(g["src"], g["dst"], g["weight"].astype(float), strict=True))) for k, g in frame.groupby(["min_freq", "min_edge"])}
+        labels = {k: louvain_labels(e) for k, e in graphs.items()}
+        rows = []
+        for k, e in graphs.items():
+            n = len(labels[k])
+            rows.append((*map(int, k), n, len(e), 2 * len(e) / (n * (n - 1)) if n > 1 else 0.0, len(set(labels[k].values())), _quality(e, labels[k]), _agreement(labels.get(baseline, {}), labels[k])))
+        return pd.DataFrame(rows, columns=["min_freq", "min_edge", "nodes", "edges", "density", "communities", "modularity", "ari"])
+
+    measured = fit.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(measure, "min_freq long, min_edge long, nodes long, edges long, density double, communities long, modularity double, ari double")
+    return params.join(measured, ["min_freq", "min_edge"], "left").fillna(0, ["nodes", "edges", "density", "communities"])

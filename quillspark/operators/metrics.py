@@ -20,11 +20,12 @@ def spine(df: DataFrame, group: str, first: int, last: int) -> DataFrame:
     return df.select(group).distinct().withColumn("year", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
 
 
-def yearly(df: DataFrame, group: str, year: str, cites: str, first: int, last: int) -> DataFrame:
-    """Documents, citations and citations a document of each group and year, zero where there are none."""
+def yearly(df: DataFrame, group: str, year: str, cites: str, first: int, last: int, groups: list[str] | None = None) -> DataFrame:
+    """Documents, citations and citations a document of each group (those of a fixed list, if given) and year, zero where there are none."""
     stats = df.groupBy(group, F.col(year).cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(cites).alias("tc"))
     n, tc = F.coalesce("n", F.lit(0)), F.coalesce(F.col("tc").cast("double"), F.lit(0.0))
-    return spine(df, group, first, last).join(stats, [group, "year"], "left").select(group, "year", n.alias("n"), tc.alias("tc"), F.when(n > 0, tc / n).otherwise(0.0).alias("impact"))
+    every = df if groups is None else df.sparkSession.createDataFrame([(g,) for g in groups], f"`{group}` string")
+    return spine(every, group, first, last).join(stats, [group, "year"], "left").select(group, "year", n.alias("n"), tc.alias("tc"), F.when(n > 0, tc / n).otherwise(0.0).alias("impact"))
 
 
 def cumulative(df: DataFrame, group: str, year: str, value: str, name: str = "cumulative") -> DataFrame:

@@ -24,30 +24,50 @@ def normalized(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What each stage keeps.
+CRITERIA = {
+    "0_raw_load": "Rows of the export",
+    "1b_name_normalization": "Institution abbreviations expanded, author names without accents; no row goes",
+    "2_exact_dedup": "One row of each set equal in all columns",
+    "3_doi_dedup": "The richest row of each DOI",
+    "4_title_dedup": "The richest row of equal title, year and first author; distinct DOIs and incomplete keys stay",
+    "5_missing_metadata": "Title, year and source title are present",
+    "6_thematic_screen": "A listed term in title, abstract or author keywords",
+    "7_year_filter": "Year of publication from 1991 to 2025",
+    "8_education_eligibility_algorithm": "An education cue in title, abstract or author keywords",
+    "9_classification_eligibility": "One technology category is assigned",
+}
+
+
 def stages(df: DataFrame) -> list[tuple[str, DataFrame]]:
     """The lazily built table after each stage; ``df`` has string columns and ``_row_id``."""
-    out = [("loaded", df)]
+    out = [("0_raw_load", df)]
 
     def add(name: str, table: DataFrame) -> None:
         out.append((name, table))
 
     add("1b_name_normalization", normalized(out[-1][1]))
-    add("2_exact_duplicates", dedup.exact(out[-1][1]))
+    add("2_exact_dedup", dedup.exact(out[-1][1]))
     quality = dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in df.columns])
     keyed = out[-1][1].withColumn("_doi", doi_key(_column(df, "DOI"))).withColumn("_ord", dedup.order_after_key("_doi", quality))
-    add("3_doi_deduplication", dedup.keyed(keyed, "_doi", quality))
+    add("3_doi_dedup", dedup.keyed(keyed, "_doi", quality))
     names = "Authors" if "Authors" in df.columns else "Author full names"
     titled = out[-1][1].withColumn("_title", title_key(_column(df, "Title"))).withColumn("_author", entities.first_author_key(_column(df, "Author(s) ID"), _column(df, names)))
-    add("4_title_deduplication", dedup.guarded(titled, ["_title", "Year", "_author"], "_doi", quality, "_ord").drop("_title", "_author"))
+    add("4_title_dedup", dedup.guarded(titled, ["_title", "Year", "_author"], "_doi", quality, "_ord").drop("_title", "_author"))
     add("5_missing_metadata", classify.essential(out[-1][1]))
-    add("6_thematic_screening", classify.thematic(out[-1][1], [c for c in lx.SCREEN_FIELDS if c in df.columns]))
+    add("6_thematic_screen", classify.thematic(out[-1][1], [c for c in lx.SCREEN_FIELDS if c in df.columns]))
     add("7_year_filter", classify.within_years(out[-1][1]))
     judged = classify.screened(classify.classified(out[-1][1]))
-    add("8_education_screen", judged.filter("Education_Screen_Disposition = 'include_algorithm'"))
-    add("9_classification", out[-1][1].filter("Tech_Category is not null"))
+    add("8_education_eligibility_algorithm", judged.filter("Education_Screen_Disposition = 'include_algorithm'"))
+    add("9_classification_eligibility", out[-1][1].filter("Tech_Category is not null"))
     return out
 
 
+def before_screens(steps: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The classified and screened rows of which stages 8 and 9 keep some."""
+    return classify.screened(classify.classified(dict(steps)["7_year_filter"]))
+
+
 def corpus(df: DataFrame) -> DataFrame:
     return stages(df)[-1][1]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Markdown table may have.
 MAX_MARKDOWN_ROWS = 10_000
@@ -24,3 +24,13 @@ def markdown(df: DataFrame) -> str:
     text = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(text(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
