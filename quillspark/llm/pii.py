@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
@@ -46,26 +47,59 @@ FEATURES = (
 )
 
 
+_SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _side(items: Column) -> Column:
+    """Length of the blocks that an array is cut into: the root of its size, so that work on it grows with size times root."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int")
+
+
+def _blocks(items: Column, side: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of every block of a non-empty array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / side).cast("int")), lambda b: _let(F.slice(items, b * side + 1, side), body))
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, match, before, after) by code points, end exclusive.
 
-    Matches are marked, the text is split at the marks, and one fold adds up
-    the lengths; the context comes from the neighbouring pieces.
+    Matches are marked and the text is split at the marks. A match starts
+    where the pieces before it end: whole blocks of pieces are summed first,
+    then those of its own block; the context comes from the neighbours.
     """
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+    first_part, last_part = (lambda p: F.substring_index(p, _CLOSE, 1)), (lambda p: F.substring_index(p, _CLOSE, -1))
+
+    def spans(pieces: Column, lengths: Column, side: Column, sums: Column) -> Column:
+        def span(i: Column) -> Column:
+            own, block = F.get(pieces, i), F.floor(i / side).cast("int")
+            at = F.get(sums, block) + total(F.slice(lengths, block * side + 1, i - block * side))
+            match, before = first_part(own), F.right(last_part(F.get(pieces, i - 1)), F.lit(CONTEXT))
+            return _let(at, lambda a: F.struct(a.alias("start"), (a + F.length(match)).alias("end"), match.alias("match"), before.alias("before"), F.substring(last_part(own), 1, 2).alias("after")))
 
-    def step(acc: Column, piece: Column) -> Column:
-        match, rest = F.substring_index(piece, _CLOSE, 1), F.substring_index(piece, _CLOSE, -1)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(match)).alias("end"), match.alias("match"), acc["tail"].alias("before"), F.substring(rest, 1, 2).alias("after"))
-        first = acc["at"] < 0
-        return F.struct(
-            F.when(first, F.length(piece)).otherwise(acc["at"] + F.length(piece) - 1).alias("at"),
-            F.right(F.when(first, piece).otherwise(rest), F.lit(CONTEXT)).alias("tail"),
-            F.when(first, acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
-        )
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), span)
 
-    return F.aggregate(pieces, F.struct(F.lit(-1).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
+    def located(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))  # the closing mark is no text
+        starts = lambda totals: F.transform(totals, lambda _, b: total(F.slice(totals, F.lit(1), b)))
+        summed = lambda ls: _let(_side(ls), lambda n: _let(_let(_blocks(ls, n, total), starts), lambda sums: spans(pieces, ls, n, sums)))
+        return F.when(F.size(pieces) > 1, _let(lengths, summed)).otherwise(F.array().cast(_SPANS))
+
+    return _let(F.split(F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1), located)
+
+
+def _free(items: Column, others: Column, yields: Callable[[Column, Column], Column]) -> Column:
+    """The items that yield to no overlapping one of the others; only blocks of others that an item meets are opened."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    extent = lambda part: F.struct(F.array_min(F.transform(part, lambda x: x["start"])).alias("start"), F.array_max(F.transform(part, lambda x: x["end"])).alias("end"), part.alias("part"))
+    met = lambda c, blocks: F.exists(blocks, lambda b: overlap(b, c) & F.exists(b["part"], lambda o: overlap(o, c) & yields(c, o)))
+    kept = lambda blocks: F.filter(items, lambda c: ~met(c, blocks))
+    return F.when(F.size(others) > 0, _let(_blocks(others, _side(others), extent), kept)).otherwise(items)
 
 
 def marks_removed(text: Column) -> Column:
@@ -75,7 +109,7 @@ def marks_removed(text: Column) -> Column:
 
 def _guarded(text: Column, pattern: str, needs: str | None) -> Column:
     holds = F.contains(text, F.lit(needs)) if needs else F.rlike(text, F.lit("[0-9]"))
-    return F.when(holds, found(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>"))
+    return F.when(holds, found(text, pattern)).otherwise(F.array().cast(_SPANS))
 
 
 def digits(match: Column) -> Column:
@@ -276,12 +310,11 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
             spans = _guarded(F.col("_clean"), WIDE[kind], {"email": "at", "ip": ":"}.get(kind))
             scored = F.transform(spans, partial(_scored, trees, kind))
             wide.append(F.filter(scored, partial(_reaches, thresholds[kind])))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     staged = clean.withColumn("base_spans", F.array_sort(F.concat(*base)))
     if wide:
         staged = staged.withColumn("_wide", F.concat(*wide))
-        staged = staged.withColumn("_wide", F.filter("_wide", lambda c: ~F.exists("base_spans", lambda b: overlap(b, c))))
-        more = F.filter("_wide", lambda c: ~F.exists("_wide", lambda o: overlap(o, c) & (o > c)))
+        staged = staged.withColumn("_wide", _free(F.col("_wide"), F.col("base_spans"), lambda c, o: F.lit(True)))
+        more = _free(F.col("_wide"), F.col("_wide"), lambda c, o: o > c)
         more = F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end"), c["kind"].alias("kind")))
         staged = staged.withColumn("pii_spans", F.array_sort(F.concat("base_spans", more))).drop("_wide")
     else:

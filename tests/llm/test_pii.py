@@ -80,3 +80,13 @@ def test_awkward_documents(spark):
     df = with_clashes(frame(spark), "base_spans", "pii_spans")
     assert pii.detect(df).count() == df.count()
     assert pii.detect(empty(spark)).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    n = 3000
+    text = " ".join(f"é user{i}@mail{i}.com tel: (0{i % 90 + 10}) 555-{i % 9000 + 1000}" for i in range(n))
+    row = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s["start"], s["end"]) for s in row["base_spans"] if s["kind"] == "email"] == emails and len(emails) == n
+    phones = [text[s["start"] : s["end"]] for s in row["pii_spans"] if s["kind"] == "phone"]
+    assert len(phones) == n and all(p.startswith("(0") for p in phones)
