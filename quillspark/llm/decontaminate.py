@@ -17,12 +17,13 @@ ERROR_RATE = 0.05
 #: Characters of benchmark that one automaton holds; a larger benchmark takes several passes over the documents.
 BLOCK_CHARS = 4_000_000
 _SPACES = {c: " " for c in "\t\n\x0b\x0c\r\x85\xa0  "}
-_FOLD = str.maketrans(_SPACES | {chr(c): chr(c + 32) for c in range(65, 91)})
+#: The one letter whose lower case is two characters, with the white space.
+_FOLD = str.maketrans(_SPACES | {"\u0130": "i"})
 
 
 def folded(text: str) -> str:
-    """ASCII lower case and plain spaces, one character for one, so that offsets stay those of the text."""
-    return text.translate(_FOLD)
+    """Lower case of all scripts and plain spaces, one character for one, so that offsets stay those of the text."""
+    return text.translate(_FOLD).lower().replace("\u03c2", "\u03c3")
 
 
 def pieces(item: str, rate: float = ERROR_RATE) -> list[tuple[int, str]]:
@@ -142,7 +143,7 @@ def with_matches(docs: DataFrame, items: list[tuple[int, str]], rate: float = ER
 def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, edits, start, end)``: every benchmark item that occurs in a document within ``rate`` edits a character, at its best place.
 
-    Letters A-Z match either case and white space any white space. Null and
+    Letters match either case and white space any white space. Null and
     empty texts and items match nothing; repeated rows give repeated results;
     items with one text each give a row; an empty table gives none.
     """

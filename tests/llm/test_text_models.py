@@ -266,3 +266,14 @@ def test_query_matches_sql(spark, name):
 
 def test_all_operators_are_registered():
     assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+
+
+def test_folding_keeps_offsets_and_accented_capitals_match():
+    import sys
+
+    from quillspark.llm import decontaminate
+
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    assert len(decontaminate.folded(every)) == len(every)
+    item = "él ñandú corrió ágil por la última sierra \u00e9pica de los \u00f3leos"
+    assert decontaminate.Matcher([(7, item)]).search("xx " + item.upper() + " yy") == [(7, 0, 3, 3 + len(item))]
