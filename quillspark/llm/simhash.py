@@ -200,13 +200,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay: one row of each component, the least doc_id, with all columns of ``docs``.
+    """The documents that stay: one row of each component, as ``keep_one`` chooses it."""
+    return keep_one(docs, near_duplicates(docs, shingle))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each component ``root`` of ``found(doc_id, th, root)``, the least doc_id, with all columns of ``docs``.
 
     Of rows that share the least id the least text hash stays, of fully
     repeated rows one; a row with a null id stays only where its component has
     no numbered row.
     """
-    counted = near_duplicates(docs, shingle).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "th", "n")).alias("m"))
     once = stored(best.select(F.col("m.doc_id").alias("_id"), F.col("m.th").alias("_th"), F.col("m.n").alias("_n")))
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
