@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -69,9 +70,9 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(least + np.arange(n - window + 1))
 
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last) of the best alignment of the whole template with a stretch of ``words`` near ``diagonal``; last exclusive."""
-    m = len(template)
+def align(template: list[str], words: list[str], diagonal: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
+    """(matched words, first, last) of the best alignment of the whole template with a stretch of ``words[low:high]`` near ``diagonal``; last exclusive."""
+    high = len(words) if high is None else high
     cells: dict[int, tuple[int, int, int, int]] = {}  # offset from the diagonal -> matched, -edits, -first, last
     start = {}
     for d in range(-band, band + 1):
@@ -84,7 +85,7 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
             best = None
             if d in cells:
                 matched, cost, first, last = cells[d]
-                if 0 <= j < len(words) and words[j] == word:
+                if low <= j < high and words[j] == word:
                     best = (matched + 1, cost, first if matched else -j, j + 1)
                 else:
                     best = (matched, cost - 1, first, last)
@@ -132,16 +133,24 @@ class Index:
         at = winnow(hashes)
         key = np.searchsorted(self.keys, hashes[at])
         hit = (key < len(self.keys)) & (self.keys[np.minimum(key, len(self.keys) - 1)] == hashes[at]) if len(at) else np.zeros(0, dtype=bool)
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int, int, int]] = set()
+        spans: dict[int, list[tuple[int, int]]] = {}
         found = []
         for position, k in zip(at[hit].tolist(), key[hit].tolist(), strict=True):
             for t, offset in self.places[k]:
-                diagonal = position - offset
-                if t in tried and abs(tried[t] - diagonal) <= BAND:
-                    continue
-                tried[t] = diagonal
-                matched, first, last = align(self.words[t], words, diagonal)
-                if matched >= min_coverage * len(self.words[t]):
+                own = spans.setdefault(t, [])  # sorted, none overlapping: copies on either side bound the place of a further one
+                while True:
+                    i = bisect.bisect_right(own, (position, len(words)))
+                    low, high = own[i - 1][1] if i else 0, own[i][0] if i < len(own) else len(words)
+                    if position < low:
+                        break
+                    if (t, position - offset, low, high) in tried:
+                        break
+                    tried.add((t, position - offset, low, high))
+                    matched, first, last = align(self.words[t], words, position - offset, low=low, high=high)
+                    if matched < min_coverage * len(self.words[t]):
+                        break
+                    bisect.insort(own, (first, last))
                     found.append((matched, -len(self.words[t]), -first, last, t))
         out, taken = [], []
         for matched, length, first, last, t in sorted(found, reverse=True):
