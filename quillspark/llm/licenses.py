@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql.types import ArrayType, StructType
 from .common import map_batches, table, without
 
 TOKEN = re.compile(r"[A-Za-z0-9]+")
-#: Words of a fingerprint and fingerprints of a window: any shared run of WINDOW + GRAM - 1 words shares a fingerprint.
+#: Words of a fingerprint and fingerprints of a window at most: any shared run of WINDOW + GRAM - 1 words shares a fingerprint.
 GRAM = 3
 WINDOW = 2
 #: Half the width of the alignment's band, in words, and the least coverage reported.
@@ -47,12 +48,12 @@ def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, starts, stops
 
 
-def gram_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of all runs of GRAM words; one of the whole text if it is shorter."""
+def gram_hashes(words: list[str], gram: int = GRAM) -> np.ndarray:
+    """64-bit hashes of all runs of ``gram`` words; one of the whole text if it is shorter."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
     ids = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words))
-    size = min(GRAM, len(words))
+    size = min(gram, len(words))
     h = np.zeros(len(words) - size + 1, dtype=np.uint64)
     for i in range(size):
         h = (h ^ ids[i : len(ids) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -103,55 +104,69 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
     return matched, -first, last
 
 
+def scheme(length: int, min_coverage: float) -> tuple[int, int]:
+    """Gram and window for a template: at the least coverage, changed words leave a shared run of gram + window - 1 words."""
+    kept = max(1, math.ceil(min_coverage * length - 1e-9))
+    run = math.ceil(kept / (length - kept + 1))
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
 @dataclass
 class Index:
-    """The inverted index of the templates' winnowed fingerprints."""
+    """The inverted index of the templates' winnowed fingerprints, a (keys, places) for each (gram, window)."""
 
     names: list[str]
     words: list[list[str]]
-    keys: np.ndarray
-    places: list[list[tuple[int, int]]]
+    tables: dict[tuple[int, int], tuple[np.ndarray, list[list[tuple[int, int]]]]]
 
     @classmethod
-    def build(cls, templates: dict[str, str]) -> Index:
+    def build(cls, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> Index:
         names = sorted(n for n, t in templates.items() if TOKEN.search(t or ""))
         words = [tokenize(templates[n])[0] for n in names]
-        places: dict[int, list[tuple[int, int]]] = {}
+        places: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for t, w in enumerate(words):
-            hashes = gram_hashes(w)
-            for at in winnow(hashes):
-                places.setdefault(int(hashes[at]), []).append((t, int(at)))
-        keys = sorted(places)
-        return cls(names, words, np.array(keys, dtype=np.uint64), [places[k] for k in keys])
+            gram, window = scheme(len(w), min_coverage)
+            hashes = gram_hashes(w, gram)
+            for at in winnow(hashes, window):
+                places.setdefault((gram, window), {}).setdefault(int(hashes[at]), []).append((t, int(at)))
+        return cls(names, words, {s: (np.array(sorted(p), dtype=np.uint64), [p[k] for k in sorted(p)]) for s, p in places.items()})
+
+    def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(position, template, offset) of all shared fingerprints, by position."""
+        out = []
+        for (gram, window), (keys, places) in self.tables.items():
+            hashes = gram_hashes(words, gram)
+            at = winnow(hashes, window)
+            if len(at):
+                key = np.searchsorted(keys, hashes[at])
+                hit = (key < len(keys)) & (keys[np.minimum(key, len(keys) - 1)] == hashes[at])
+                out += [(position, t, offset) for position, k in zip(at[hit].tolist(), key[hit].tolist(), strict=True) for t, offset in places[k]]
+        return sorted(out)
 
     def scan(self, text: str | None, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, float, int, int]]:
         """(template, matched, words, coverage, start, end) of every place where a template is covered; a longer template's span hides those inside it."""
-        if not text or not len(self.keys):
+        if not text or not self.tables:
             return []
         words, starts, stops = tokenize(text)
-        hashes = gram_hashes(words)
-        at = winnow(hashes)
-        key = np.searchsorted(self.keys, hashes[at])
-        hit = (key < len(self.keys)) & (self.keys[np.minimum(key, len(self.keys) - 1)] == hashes[at]) if len(at) else np.zeros(0, dtype=bool)
         tried: set[tuple[int, int, int, int]] = set()
         spans: dict[int, list[tuple[int, int]]] = {}
         found = []
-        for position, k in zip(at[hit].tolist(), key[hit].tolist(), strict=True):
-            for t, offset in self.places[k]:
-                own = spans.setdefault(t, [])  # sorted, none overlapping: copies on either side bound the place of a further one
-                while True:
-                    i = bisect.bisect_right(own, (position, len(words)))
-                    low, high = own[i - 1][1] if i else 0, own[i][0] if i < len(own) else len(words)
-                    if position < low:
-                        break
-                    if (t, position - offset, low, high) in tried:
-                        break
-                    tried.add((t, position - offset, low, high))
-                    matched, first, last = align(self.words[t], words, position - offset, low=low, high=high)
-                    if matched < min_coverage * len(self.words[t]):
-                        break
-                    bisect.insort(own, (first, last))
-                    found.append((matched, -len(self.words[t]), -first, last, t))
+        for position, t, offset in self.candidates(words):
+            own = spans.setdefault(t, [])  # sorted, none overlapping: copies on either side bound the place of a further one
+            while True:
+                i = bisect.bisect_right(own, (position, len(words)))
+                low, high = own[i - 1][1] if i else 0, own[i][0] if i < len(own) else len(words)
+                if position < low:
+                    break
+                if (t, position - offset, low, high) in tried:
+                    break
+                tried.add((t, position - offset, low, high))
+                matched, first, last = align(self.words[t], words, position - offset, low=low, high=high)
+                if matched < min_coverage * len(self.words[t]):
+                    break
+                bisect.insort(own, (first, last))
+                found.append((matched, -len(self.words[t]), -first, last, t))
         out, taken = [], []
         for matched, length, first, last, t in sorted(found, reverse=True):
             if any(-first < b and a < last for a, b in taken):
@@ -169,7 +184,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     empty and wordless texts have none; repeated rows give equal results;
     blank templates match nothing; an existing ``licenses`` is replaced.
     """
-    index = Index.build(TEMPLATES if templates is None else templates)  # a list in code, not data
+    index = Index.build(TEMPLATES if templates is None else templates, min_coverage)  # a list in code, not data
     docs = without(docs, "licenses")
     names = ("template", "matched", "words", "coverage", "start", "end")
     item = StructType.fromDDL("template string, matched int, words int, coverage double, start int, end int")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillspark.llm import licenses
@@ -17,3 +19,16 @@ def test_a_worse_copy_beside_a_better_one_is_found():
     text = "Released under the MIT License. Released under the MIT Licence. Released under the MIT License."
     got = licenses.Index.build(licenses.TEMPLATES).scan(text)
     assert [(g[0], g[1]) for g in got] == [("mit-notice", 5), ("mit-notice", 4), ("mit-notice", 5)]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_changed_words_at_the_least_coverage_are_found(name):
+    words = licenses.tokenize(licenses.TEMPLATES[name])[0]
+    changes = int(0.2 * len(words) + 1e-9)
+    rng = random.Random(name)
+    spread = [round((i + 1) * len(words) / (changes + 1)) for i in range(changes)]
+    cases = [spread] + [rng.sample(range(1, len(words) - 1), changes) for _ in range(30)]
+    for changed in cases if changes else []:
+        text = "before it " + " ".join("zzz" if i in changed else w for i, w in enumerate(words)) + " and after"
+        got = licenses.Index.build({name: licenses.TEMPLATES[name]}).scan(text)
+        assert [(g[0], g[1]) for g in got] == [(name, len(words) - changes)], changed
