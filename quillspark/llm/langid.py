@@ -16,7 +16,7 @@ from .common import held_out, map_batches, most_frequent, stored, table, without
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: The model's bounds: words and n-grams with the highest counts over the whole training fold.
+#: Words and n-grams with the highest counts over the whole training fold; as many again, in equal shares, with the highest of each language.
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 LONGEST_GRAM = 4
@@ -131,8 +131,26 @@ def _scores(rows: list, languages: list[str], totals: np.ndarray) -> tuple[dict[
     return {row["word"]: r for r, row in enumerate(rows)}, logs - logs.mean(axis=1, keepdims=True) if len(rows) else np.zeros((0, len(languages)))
 
 
+def most_frequent_by_language(by_word: DataFrame, share: int) -> DataFrame:
+    """The rows of ``(word, n, by)`` that are among about the ``share`` most frequent of any language; of a count step that overflows, those of least hash."""
+    step = lambda n: F.floor(F.log2(n) * 8).cast("int")
+    histogram = by_word.select(F.explode("by").alias("l")).groupBy(F.col("l.lang").alias("lang"), step("l.n").alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    left: dict[str, int] = {}
+    bounds: dict[str, tuple[int, int]] = {}  # a language's least step and the hashes of it that stay
+    for r in histogram.orderBy(F.desc("step")).collect():
+        free = left.setdefault(r["lang"], share)
+        if free > 0:
+            bounds[r["lang"]] = (r["step"], min(1 << 30, (free << 30) // r["rows"]))
+            left[r["lang"]] = free - r["rows"]
+    if not bounds:
+        return by_word.limit(0)
+    least, hashes = (F.create_map(*[F.lit(x) for lang, b in bounds.items() for x in (lang, b[i])]) for i in (0, 1))
+    rank = F.pmod(F.xxhash64("word", F.lit(17)), F.lit(1 << 30))
+    return by_word.filter(F.exists("by", lambda x: (step(x["n"]) > least[x["lang"]]) | ((step(x["n"]) == least[x["lang"]]) & (rank < hashes[x["lang"]]))))
+
+
 def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Count the words and n-grams of every row with text and lang; the most frequent ones make the model."""
+    """Count the words and n-grams of every row with text and lang; the most frequent ones, of all and of each language, make the model."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     words = stored(map_batches(rows, _count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -140,7 +158,8 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
 
     def top(counts: DataFrame, k: int) -> list:
         by_word = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")))
-        return sorted(most_frequent(by_word, k).collect(), key=lambda r: (-r["n"], r["word"]))
+        kept = {r["word"]: r for part in (most_frequent(by_word, k), most_frequent_by_language(by_word, max(1, k // max(1, len(languages))))) for r in part.collect()}
+        return sorted(kept.values(), key=lambda r: (-r["n"], r["word"]))
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)
@@ -154,7 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     learned nothing; existing columns of those names are replaced. Equal texts
     get equal results; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by about twice max_words and max_grams
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
