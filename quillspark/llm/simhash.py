@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, table
+from .common import discard, free_prefix, map_batches, stored, table
 from .components import connected_components
 
 SHINGLE = 4
@@ -194,9 +194,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = stored(fingerprints(docs, shingle))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(fingerprint_links(distinct)).select(F.col("a").alias("fp"), "root")
-    placed = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "component_id", "root")
+    return labelled(rows, distinct, roots, "fp").select("doc_id", "th", "fp", "component_id", "root")
+
+
+def labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows``, each with ``root`` and ``component_id``, the least ``first_id`` of its component in ``distinct(key, first_id)``.
+
+    Both sides of every join are stored tables, so adaptive execution can split
+    a component or a group of copies that holds a large share of all rows.
+    """
+    placed = stored(distinct.select(key, "first_id").join(roots, key, "left").withColumn("root", F.coalesce("root", key)))
+    least = stored(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = stored(placed.join(least, "root").select(key, "root", "component_id"))
+    discard(placed, least)
+    return rows.join(named, key)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -209,16 +220,18 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Of rows that share the least id the least text hash stays, of fully
     repeated rows one; a row with a null id stays only where its component has
-    no numbered row.
+    no numbered row. Null and empty texts are texts like others; an empty table
+    gives none.
     """
+    p = free_prefix(docs)
     counted = found.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "th", "n")).alias("m"))
-    once = stored(best.select(F.col("m.doc_id").alias("_id"), F.col("m.th").alias("_th"), F.col("m.n").alias("_n")))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = hashed.join(once, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi")
-    if not once.filter("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.drop("_hash")
+    once = stored(best.select(F.col("m.doc_id").alias(f"{p}id"), F.col("m.th").alias(f"{p}th"), F.col("m.n").alias(f"{p}n")))
+    hashed = docs.withColumn(f"{p}hash", F.xxhash64("text"))
+    kept = hashed.join(once, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}th")), "left_semi")
+    if not once.filter(F.col(f"{p}n") > 1).isEmpty():
+        kept = kept.dropDuplicates(["doc_id", f"{p}hash"])
+    return kept.drop(f"{p}hash")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
