@@ -47,7 +47,7 @@ def _as_text(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[label].update(set(WORD.findall(text.lower())))
-        rows = [(w[:64], y, n) for y, c in counts.items() for w, n in c.items()]
+        rows = [(w, y, n) for y, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["word", "toxic", "n"])
 
 
@@ -207,8 +207,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: F.Column) -> Data
     ``labels(doc_id, toxic)`` count only where ``learn`` (of doc_id) holds;
     several labels of one id count as toxic if any is. Every row gets a score
     in [0, 1]: null and empty texts that of a text without words; repeated
-    rows equal ones; without labels the voters alone make the label model; an
-    empty table gives none. Other columns are not read.
+    rows equal ones, rows with a null id too, which no label reaches; texts
+    and words of any length count whole; without labels the voters alone make
+    the label model; an empty table gives none. Other columns are not read.
     """
     known = labels.filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known)
