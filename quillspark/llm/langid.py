@@ -20,8 +20,8 @@ UNDETERMINED = "und"
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 LONGEST_GRAM = 4
-#: Longer words are never known ones but always scored by their n-grams: bounds the model's and the cache's memory.
-LONGEST_WORD = 64
+#: The n-grams of longer words are looked up anew each time: bounds the cache's memory, changes no result.
+LONGEST_CACHED = 64
 #: Partial counts that a worker holds before it hands them on.
 FLUSH = 200_000
 #: Weight of a backed-off word against a known one.
@@ -109,7 +109,7 @@ class LanguageModel:
             of = cache.get(word)
             if of is None:
                 of = self.unseen(word)
-                if len(cache) < FLUSH and len(word) <= LONGEST_WORD:
+                if len(cache) < FLUSH and len(word) <= LONGEST_CACHED:
                     cache[word] = of
             if of:
                 gram_rows += of
@@ -163,7 +163,7 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)
-    return LanguageModel(languages, *_scores(top(words.filter(F.length("word") <= LONGEST_WORD), max_words), languages, sums), *_scores(top(gram_counts, max_grams), languages, sums * 5))
+    return LanguageModel(languages, *_scores(top(words, max_words), languages, sums), *_scores(top(gram_counts, max_grams), languages, sums * 5))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -171,7 +171,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     ``und`` and 0 for a null text, a text without letters, or a model that
     learned nothing; existing columns of those names are replaced. Equal texts
-    get equal results; an empty table gives none.
+    get equal results, and a text without known words or n-grams the first
+    language of equal scores; texts are read whole, whatever their length; an
+    empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by about twice max_words and max_grams
 
@@ -195,7 +197,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language the model names; ``und`` ones go. Columns stay as they are."""
+    """The documents whose language the model names; ``und`` ones (null, empty and letterless texts) go, repeated rows all or none. Columns stay as they are."""
     columns = docs.columns
     placed = identify(docs.select("*"), train(docs.filter(~held_out())))
     return placed.filter(F.col("lang_pred") != UNDETERMINED).select(*columns)
