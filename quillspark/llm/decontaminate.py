@@ -8,9 +8,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructType
 
-from .common import map_batches, table, without
+from .common import free_prefix, map_batches, table
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
@@ -119,22 +120,19 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
     yield held
 
 
-_HITS = "_hits"
-
-
-def with_matches(docs: DataFrame, items: list[tuple[int, str]], rate: float = ERROR_RATE, only: str = "all") -> DataFrame:
-    """``docs`` and an array ``_hits`` of (item_id, edits, start, end); ``only``: ``hit`` or ``clean`` keeps such rows."""
+def with_matches(docs: DataFrame, items: list[tuple], hits: str, rate: float = ERROR_RATE, only: str = "all", kind: DataType | None = None) -> DataFrame:
+    """``docs`` and a column ``hits``, an array of (item_id, edits, start, end); ``only``: ``hit`` or ``clean`` keeps such rows; ``kind`` is that of the item ids."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_CHARS characters
-    docs = without(docs, _HITS)
-    hit = StructType().add("item_id", LongType()).add("edits", IntegerType()).add("start", IntegerType()).add("end", IntegerType())
-    schema = StructType([*docs.schema.fields]).add(_HITS, ArrayType(hit))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = kind or LongType()
+    hit = StructType().add("item_id", kind).add("edits", IntegerType()).add("start", IntegerType()).add("end", IntegerType())
+    schema = StructType([*docs.schema.fields]).add(hits, ArrayType(hit))
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, rate)
         for batch in batches:
             found = [[dict(zip(("item_id", "edits", "start", "end"), h, strict=True)) for h in matcher.search(t)] for t in batch.column("text").to_pylist()]
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, _HITS])
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, hits])
             yield out if only == "all" else out.filter(pa.array([bool(f) == (only == "hit") for f in found], pa.bool_()))
 
     return map_batches(docs, work, schema)
@@ -144,21 +142,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     """``(doc_id, item_id, edits, start, end)``: every benchmark item that occurs in a document within ``rate`` edits a character, at its best place.
 
     Letters match either case and white space any white space. Null and
-    empty texts and items match nothing; repeated rows give repeated results;
-    items with one text each give a row; an empty table gives none.
+    empty texts and items match nothing; repeated rows give repeated results,
+    rows with a null id too; items with one text each give a row; ids are of
+    any type; texts of any length are searched whole, in one pass of the
+    automaton and about each hit; an empty table gives none. Other columns are
+    not read.
     """
     out = None
     for items in blocks(benchmark, block_chars):
-        rows = with_matches(docs.select("doc_id", "text"), items, rate, "hit").select("doc_id", F.explode(_HITS).alias("h")).select("doc_id", "h.*")
+        found = with_matches(docs.select("doc_id", "text"), items, "hits", rate, "hit", benchmark.schema["item_id"].dataType)
+        rows = found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no item occurs; columns stay as they are."""
-    columns = docs.columns
+    """The documents in which no item occurs, null and empty ones and every one of repeated rows included; columns stay as they are."""
+    hits = f"{free_prefix(docs)}hits"
     for items in blocks(benchmark, block_chars):
-        docs = with_matches(docs, items, rate, "clean").select(*columns)
+        docs = with_matches(docs, items, hits, rate, "clean", benchmark.schema["item_id"].dataType).drop(hits)
     return docs
 
 
