@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import free_prefix, table, without
 
 SHARDS = 40
 VNODES = 64
@@ -92,18 +92,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", vnodes: in
     Only the counts of the ring's positions (a fixed number) reach the driver;
     a row's rank within its position picks its run. Ties of the key are ranked
     by text, fully repeated rows in any order, which changes no result row;
-    rows with a null key are spread by their text. Columns named ``shard`` or
-    ``slot`` are replaced; an empty table gives none. ``docs`` must be a
-    stored table: it is read twice.
+    rows with a null key are spread by their text, a null or empty text being
+    one like others; of long texts only hashes are sorted. Columns named
+    ``shard`` or ``slot`` are replaced; an empty table gives none. ``docs``
+    must be a stored table: it is read twice.
     """
-    docs = without(docs, "shard", "slot", "_position", "_rank").withColumn("_position", ring_position(key, positions=positions))
-    counts = {r["_position"]: r["n"] for r in docs.groupBy("_position").agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = without(docs, "shard", "slot")
+    p = free_prefix(docs)
+    docs = docs.withColumn(f"{p}position", ring_position(key, positions=positions))
+    counts = {r["at"]: r["n"] for r in docs.groupBy(F.col(f"{p}position").alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = assign(counts, ring(shards, vnodes, positions), shards, epsilon)
-    places = docs.sparkSession.createDataFrame(runs or [(-1, 0, 0, 0, 0)], "_at int, _first long, _last long, _shard int, _slot long")  # positions + shards rows at most
-    ranked = docs.withColumn("_rank", F.row_number().over(Window.partitionBy("_position").orderBy(F.xxhash64(key, F.lit(1)), key, F.xxhash64("text"))) - 1)
-    inside = (F.col("_position") == F.col("_at")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))
-    placed = ranked.join(F.broadcast(places), inside)
-    return placed.withColumn("shard", F.col("_shard")).withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_first")).drop("_position", "_rank", "_at", "_first", "_last", "_shard", "_slot")
+    names = [f"{p}{n}" for n in ("at", "first", "last", "shard", "slot")]
+    places = docs.sparkSession.createDataFrame(runs or [(-1, 0, 0, 0, 0)], ", ".join(f"{n} {k}" for n, k in zip(names, ("int", "long", "long", "int", "long"), strict=True)))  # positions + shards rows at most
+    at, first, last, shard_, slot = map(F.col, names)
+    rank = F.col(f"{p}rank")
+    ranked = docs.withColumn(f"{p}rank", F.row_number().over(Window.partitionBy(f"{p}position").orderBy(F.xxhash64(key, F.lit(1)), key, F.xxhash64("text"))) - 1)
+    placed = ranked.join(F.broadcast(places), (F.col(f"{p}position") == at) & (rank >= first) & (rank < last))
+    return placed.withColumns({"shard": shard_, "slot": slot + rank - first}).drop(f"{p}position", f"{p}rank", *names)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
