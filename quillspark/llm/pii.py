@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import free_prefix, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A match can only begin at the start of a run of its first class or where the last match ended
@@ -293,33 +293,36 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     threshold and no base span overlaps; of overlapping ones the higher score
     stays, then the earlier, then the longer. A null text counts as empty and,
     as a text without personal data, gives empty arrays; repeated rows give
-    equal results; existing columns of the new names are replaced.
+    equal results, with null ids too; texts of any length are searched whole,
+    spans in blocks; existing columns of the new names are replaced.
     """
     trees, thresholds = train(docs.sparkSession)
     docs = without(docs, "base_spans", "pii_spans")
-    clean = docs.withColumn("_clean", marks_removed(F.col(text)))
+    p = free_prefix(docs)
+    marked, more_ = f"{p}clean", f"{p}wide"
+    clean = docs.withColumn(marked, marks_removed(F.col(text)))
 
     def plain(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     base, wide = [], []
     for kind in KINDS:
-        spans = _guarded(F.col("_clean"), BASE[kind], NEEDS[kind])
+        spans = _guarded(F.col(marked), BASE[kind], NEEDS[kind])
         base.append(plain(kind, F.filter(spans, partial(_is_valid, kind))))
         if math.isfinite(thresholds[kind]):
-            spans = _guarded(F.col("_clean"), WIDE[kind], {"email": "at", "ip": ":"}.get(kind))
+            spans = _guarded(F.col(marked), WIDE[kind], {"email": "at", "ip": ":"}.get(kind))
             scored = F.transform(spans, partial(_scored, trees, kind))
             wide.append(F.filter(scored, partial(_reaches, thresholds[kind])))
     staged = clean.withColumn("base_spans", F.array_sort(F.concat(*base)))
     if wide:
-        staged = staged.withColumn("_wide", F.concat(*wide))
-        staged = staged.withColumn("_wide", _free(F.col("_wide"), F.col("base_spans"), lambda c, o: F.lit(True)))
-        more = _free(F.col("_wide"), F.col("_wide"), lambda c, o: o > c)
+        staged = staged.withColumn(more_, F.concat(*wide))
+        staged = staged.withColumn(more_, _free(F.col(more_), F.col("base_spans"), lambda c, o: F.lit(True)))
+        more = _free(F.col(more_), F.col(more_), lambda c, o: o > c)
         more = F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end"), c["kind"].alias("kind")))
-        staged = staged.withColumn("pii_spans", F.array_sort(F.concat("base_spans", more))).drop("_wide")
+        staged = staged.withColumn("pii_spans", F.array_sort(F.concat("base_spans", more))).drop(more_)
     else:
         staged = staged.withColumn("pii_spans", F.col("base_spans"))
-    return staged.drop("_clean")
+    return staged.drop(marked)
 
 
 def joined(spans: str) -> Column:
