@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import free_prefix, table, without
 
 #: Code points of a leaf below a paragraph, where no sentence ends before.
 LEAF_CHARS = 24
 LEAF = rf"[^\n.!?]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+"
-#: Ranges of the key, squared: bounds the table of first rows that is broadcast.
+#: The key's ranges are the square of this at most: bounds the tables of cuts and of first rows.
 MAX_SIDE = 200
+#: Sampled keys for each range.
+SAMPLED = 8
 SECTION_BREAK = r"\n[ \t]*\n"
 
 
@@ -55,37 +58,45 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(F.filter(sections, lambda i: ~F.get(da, i).eqNullSafe(F.get(db, i))), opened))
 
 
+def _cuts(docs: DataFrame, key: str, side: int, n: int) -> list[list[str]]:
+    """Range limits as text, in ``side`` groups, from the keys of least hash: about ``SAMPLED`` of them for each range."""
+    share = min(1.0, SAMPLED * side * side / max(1, n))
+    sampled = docs.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select(F.col(key).alias("k"))
+    keys = [r["t"] for r in sampled.distinct().orderBy("k").select(F.col("k").cast("string").alias("t")).collect()]
+    cuts = [keys[i] for i in sorted({len(keys) * j // (side * side) for j in range(1, side * side)} - {len(keys)})] if keys else []
+    return [cuts[i : i + side] for i in range(0, len(cuts), side)]
+
+
 def with_next(docs: DataFrame, key: str, rows_a_bucket: int = 2000) -> DataFrame:
-    """``docs`` and ``next_text``: the text of the next row by ``key`` (ties by text); after the last, of the first.
+    """``docs`` and ``next_text``: the text of the next row by ``key``, of any type with an order (ties by text); after the last, of the first.
 
     Rows are dealt into ranges of the key and ordered there; the first row of
     a range also visits the range before, so no range waits for another.
     """
-    spark = docs.sparkSession
+    spark, p = docs.sparkSession, free_prefix(docs)
+    kind = docs.schema[key].dataType.simpleString()
     n = docs.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     side = min(MAX_SIDE, max(1, math.ceil(math.sqrt(max(n / rows_a_bucket, 8 * parts)))))
-    wanted = [i / (side * side) for i in range(1, side * side)]
-    cuts = sorted(set((docs.agg(F.percentile_approx(key, wanted, 100 * side * side).alias("c")).first()["c"] or []) if wanted else []))
-    groups = [cuts[i : i + side] for i in range(0, len(cuts), side)] or [[]]
-    if cuts:
-        coarse = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-        fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
+    groups = _cuts(docs, key, side, n)
+    bucket = F.lit(0)
+    if groups:
+        fine = F.from_json(F.lit(json.dumps(groups)), "array<array<string>>").cast(f"array<array<{kind}>>")  # one folded literal
+        coarse = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<string>").cast(f"array<{kind}>")
         at = F.size(F.filter(coarse, lambda c: c <= F.col(key)))
         bucket = F.when(at == 0, F.lit(0)).otherwise((at - 1) * side + F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), lambda c: c <= F.col(key))))
-    else:
-        bucket = F.lit(0)
-    docs = docs.withColumn("_bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket))
-    firsts = sorted((r["_bucket"], r["k"]) for r in docs.groupBy("_bucket").agg(F.min(key).alias("k")).collect())  # a row for each range
+    docs = docs.withColumn(f"{p}bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket))
+    firsts = sorted((tuple(r) for r in docs.groupBy(f"{p}bucket").agg(F.min(key)).collect()), key=lambda r: r[0])  # a row for each range
     before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
     if not firsts:
-        return docs.withColumn("next_text", F.lit(None).cast("string")).drop("_bucket")
-    table_ = spark.createDataFrame([(b, k, before[b]) for b, k in firsts], f"_bucket int, _first {docs.schema[key].dataType.simpleString()}, _before int")
-    visits = F.when(F.col(key).eqNullSafe(F.col("_first")), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("guest"))))
-    home = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")))
-    dealt = docs.join(F.broadcast(table_), "_bucket").withColumn("_v", F.explode(F.coalesce(visits, home))).drop("_first", "_before", "_bucket")
-    order = Window.partitionBy("_v.b").orderBy("_v.guest", key, "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("_v.guest")).drop("_v")
+        return docs.withColumn("next_text", F.lit(None).cast("string")).drop(f"{p}bucket")
+    table_ = spark.createDataFrame([(b, k, before[b]) for b, k in firsts], f"{p}at int, {p}first {kind}, {p}before int")
+    visit = lambda at, guest: F.struct(F.col(at).alias("b"), F.lit(guest).alias("guest"))
+    home = F.array(visit(f"{p}bucket", False))
+    visits = F.when(F.col(key).eqNullSafe(F.col(f"{p}first")), F.array(visit(f"{p}bucket", False), visit(f"{p}before", True)))
+    dealt = docs.join(F.broadcast(table_), F.col(f"{p}bucket") == F.col(f"{p}at")).withColumn(f"{p}v", F.explode(F.coalesce(visits, home)))
+    order = Window.partitionBy(f"{p}v.b").orderBy(f"{p}v.guest", key, "text")
+    return dealt.withColumn("next_text", F.lead("text").over(order)).filter(~F.col(f"{p}v.guest")).drop(*[f"{p}{c}" for c in ("v", "at", "first", "before", "bucket")])
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,24 +107,26 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     replacing columns of those names. A null text counts as empty; null ids
     come first in the order; rows with one id are ordered by text, which
     leaves only equal rows in any order; the only row of a table is its own
-    next; an empty table gives none.
+    next; texts of any length are read whole; an empty table gives none.
     """
-    docs = without(docs, "n_chars", "fingerprint", "sections", "edited_text", "edited_fingerprint", "near_edited", "near_next", "next_text", "_bucket", "_before", "_first", "_v")
+    docs = without(docs, "n_chars", "fingerprint", "sections", "edited_text", "edited_fingerprint", "near_edited", "near_next", "next_text")
+    p = free_prefix(docs)
+    own, edit, next_ = f"{p}own", f"{p}edit", f"{p}next"
     docs = docs.withColumn(text, F.coalesce(text, F.lit("")))
     paired = with_next(docs, key).withColumn("n_chars", F.length(text).cast("long"))
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col(text), F.lit(1), (F.col("n_chars") - tail).cast("int")), F.substring(F.col("next_text"), F.lit(1), tail))
     paired = paired.withColumn("edited_text", edited)
-    measured = paired.withColumns({"_own": leaves(F.col(text)), "_edit": leaves(F.col("edited_text")), "_next": leaves(F.col("next_text"))})
+    measured = paired.withColumns({own: leaves(F.col(text)), edit: leaves(F.col("edited_text")), next_: leaves(F.col("next_text"))})
     return measured.withColumns(
         {
             "fingerprint": root(F.col(text)),
             "sections": tree(F.col(text)),
             "edited_fingerprint": root(F.col("edited_text")),
-            "near_edited": likeness(F.col("_own"), F.col("_edit")),
-            "near_next": likeness(F.col("_own"), F.col("_next")),
+            "near_edited": likeness(F.col(own), F.col(edit)),
+            "near_next": likeness(F.col(own), F.col(next_)),
         }
-    ).drop("_own", "_edit", "_next")
+    ).drop(own, edit, next_)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

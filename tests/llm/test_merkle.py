@@ -59,3 +59,18 @@ def test_empty_and_single(spark):
     assert merkle.fingerprint(empty(spark)).count() == 0
     row = merkle.fingerprint(frame(spark, [(1, None, None, None, None)])).first()
     assert row["fingerprint"] == plain_root("") and row["near_next"] == 1.0 and row["n_chars"] == 0
+
+
+def test_next_by_keys_of_any_ordered_type(spark):
+    rng = random.Random(6)
+    ids = ["".join(rng.choice('abc\\"é,[]') for _ in range(6)) + str(i) for i in range(300)]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id string, text string").repartition(5)
+    ordered = sorted(ids, key=lambda s: s.encode())
+    for rows_a_bucket in (5, 2000):
+        got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(df, "doc_id", rows_a_bucket).collect()}
+        assert got == {a: f"text of {b}" for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    assert merkle.fingerprint(df).count() == 300
+    dated = df.select(F.expr("date_add(DATE '2020-01-01', cast(xxhash64(doc_id) % 5000 as int))").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    rows = sorted((r["doc_id"], r["text"]) for r in dated.collect())
+    got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(dated, "doc_id", 5).collect()}
+    assert got == {a[0]: b[1] for a, b in zip(rows, rows[1:] + rows[:1], strict=True)}
