@@ -63,3 +63,39 @@ def test_clashes_repeats_and_empty(spark):
     rows = urlfilter.judge(df, rules).collect()
     assert len(rows) == 3 and sorted(r["verdict"] for r in rows) == ["allow", "block", "block"]
     assert urlfilter.judge(empty(spark, "page_id long, url string"), rules).count() == 0
+
+
+def test_a_host_of_very_many_labels_is_no_slower(spark):
+    import time
+
+    host = ".".join(["a"] * 16_000) + ".example.com"
+    urls = [f"http://{host}/en/", "http://example.com/en/"]
+    judged(spark, urls[1:], list(urlfilter.RULES))
+    began = time.time()
+    got = judged(spark, urls, list(urlfilter.RULES))
+    assert [g[2:] for g in got] == [("example.com/en/", "block")] * 2 and got[0][0] == host
+    assert time.time() - began < 20
+
+
+def test_a_million_rules(spark):
+    from pyspark.sql import functions as F
+
+    rules = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.concat(F.lit("/p"), F.col("id") % 7, F.lit("/")).alias("path"), F.lit("block").alias("verdict"))
+    urls = spark.range(0, 2_000_000, 997).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), "id", F.lit(".com/p"), F.col("id") % 7, F.lit("/x")).alias("url"))
+    rows = urlfilter.judge(urls, rules).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] < 1_000_000) for r in rows) and len(rows) == 2_007
+
+
+def test_slices_make_the_same_filter(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    keys = np.array([r["h"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)
+    for limit in (64 << 20, 4096, 0):
+        monkeypatch.setattr(urlfilter, "MAX_FILTER_BYTES", limit)
+        built, plain_ = urlfilter.built_bloom(hashes, 5000), urlfilter.BlockedBloom(keys)
+        assert (built.words == plain_.words).all() and built.might_hold(keys).all()
+
+
+def test_listed_hosts_are_put_in_the_form_of_urls(spark):
+    assert [g[2:] for g in judged(spark, ["http://x.example.org/a", "http://b.net/"], [("https://EXAMPLE.org", "/a", "block"), (".b.net", "/", "block")])] == [("example.org/a", "block"), ("b.net/", "block")]
