@@ -17,9 +17,10 @@ from .components import connected_components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Bits of each of the six blocks; a pair within four bits agrees on two whole blocks at least.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-COMBOS = tuple(combinations(range(len(BLOCKS)), 2))
+#: Blocks that a fingerprint is cut into; a pair within four bits agrees on all but four whole ones.
+BLOCKS = 6
+#: Fingerprints up to which so many blocks do: keys of 20 bits, then 27, then 32, so that buckets stay small as the table grows.
+MORE_BLOCKS = ((1 << 28, 6), (1 << 35, 7), (1 << 62, 8))
 #: Reference fingerprints whose distances make up a table row.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot-{i}", SEED) for i in range(24)], dtype=np.uint64)
 #: Buckets up to this size are compared in one vectorised sweep, larger ones by search.
@@ -60,11 +61,22 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), work, f"doc_id {kind}, th long, fp long")
 
 
-def _block_keys() -> F.Column:
-    """An array with one bucket key for each pair of blocks."""
-    at = np.concatenate(([0], np.cumsum(BLOCKS)))
-    part = [F.shiftrightunsigned("fp", int(at[i])).bitwiseAND(F.lit((1 << b) - 1)) for i, b in enumerate(BLOCKS)]
-    return F.array(*[F.lit(n << 22).cast("long") + part[i] * 2048 + part[j] for n, (i, j) in enumerate(COMBOS)])
+def block_widths(blocks: int) -> list[int]:
+    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+
+
+def _block_keys(blocks: int = BLOCKS) -> F.Column:
+    """An array with one bucket key for each choice of all but ``RADIUS`` blocks."""
+    widths = block_widths(blocks)
+    at = np.concatenate(([0], np.cumsum(widths)))
+    part = [F.shiftrightunsigned("fp", int(at[i])).bitwiseAND(F.lit((1 << b) - 1)) for i, b in enumerate(widths)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, widths[i]).bitwiseOR(part[i])
+        keys.append(key)
+    return F.array(*keys)
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -165,9 +177,12 @@ def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield links(rows)
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, blocks: int | None = None) -> DataFrame:
     """``distinct(fp)`` -> ``(a, b)``: links whose components are those of all pairs within ``RADIUS`` bits."""
-    keyed = distinct.select("fp", F.explode(_block_keys()).alias("key"))
+    if blocks is None:
+        n = distinct.count()
+        blocks = next(b for most, b in MORE_BLOCKS if n <= most)
+    keyed = distinct.select("fp", F.explode(_block_keys(blocks)).alias("key"))
     large = stored(keyed.groupBy("key").count().filter(F.col("count") > BLOCK_ROWS).select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts")))
     whole = keyed.withColumn("cell", F.lit(0).cast("long"))
     if not large.isEmpty():
@@ -188,8 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     distances and the rest verified. ``component_id`` is the least doc_id that
     links reach. Null, empty and wordless texts have fingerprint zero; rows
     with a null id take part, and a group of such rows only has a null
-    ``component_id``; repeated rows stay repeated; an empty table gives none.
-    Other columns of ``docs`` are not read.
+    ``component_id``; repeated rows stay repeated; very long texts are summed
+    in blocks; an empty table gives none. Other columns of ``docs`` are not
+    read.
     """
     rows = stored(fingerprints(docs, shingle))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))

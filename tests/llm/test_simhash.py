@@ -116,3 +116,19 @@ def test_one_of_each_group_stays(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_more_blocks_lose_no_link(spark):
+    rng = random.Random(12)
+    fps = [rng.getrandbits(64) for _ in range(120)]
+    for _ in range(240):
+        f = rng.choice(fps)
+        for _ in range(4):
+            f ^= 1 << rng.randrange(64)
+        fps.append(f)
+    want = plain_components([(i, f) for i, f in enumerate(sorted(set(fps)))])
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in set(fps)], "fp long")
+    for blocks in (7, 8):
+        assert sum(simhash.block_widths(blocks)) == 64
+        roots = {r["a"] % 2**64: r["root"] for r in connected_components(simhash.fingerprint_links(df, blocks)).collect()}
+        assert len({roots.get(f, ("alone", f)) for f in set(fps)}) == len(set(want.values()))
