@@ -41,3 +41,21 @@ def with_clashes(df, *names):
     from pyspark.sql import functions as F
 
     return df.withColumns({n: F.lit("clash") for n in (*names, "id", "key", "value", "h", "n", "word", "a", "b", "rank")})
+
+
+#: Names that the operators use, or have used, for columns of their own.
+INTERNAL = (
+    "_id", "_th", "_n", "_hash", "_bucket", "_before", "_first", "_last", "_v", "_own", "_edit", "_next", "_clean", "_wide", "_best", "_verdict", "_h", "_maybe", "_hits", "_position", "_rank", "_at", "_shard", "_slot",
+    "_source", "_lang", "_topic", "_draw", "_host", "_path", "_p", "__draw", "_0", "_1", "hits", "rule_host", "rule_path", "labels", "maybe", "draw", "kept_", "fp", "sid", "bits", "bands", "root", "votes", "x",
+)
+
+
+def with_internal_names(df):
+    """``df`` with a column of each internal name, which must come back as it is."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col(df.columns[0]).cast("string"), F.lit("none"))) for n in INTERNAL})
+
+
+def internal_names_kept(rows, key):
+    return all(r[n] == f"{n}:{'none' if r[key] is None else r[key]}" for r in rows for n in INTERNAL)
