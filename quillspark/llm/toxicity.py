@@ -30,9 +30,13 @@ PATTERNS = {
     "go_away": re.compile(r"\b(?:shut up|go away|get lost|drop dead|screw you)\b"),
     "masked": re.compile(r"\b[a-z]{1,3}[*@#]{2,}[a-z]*\b"),
 }
-#: Words learned from labelled rows are dealt to so many further lexicon voters, by rank.
-LEARNED_VOTERS = 4
+#: Words and stems learned from labelled rows are dealt to so many further lexicon voters, by rank, the words to one half of them and the
+#: stems to the other; so they cover the languages that the lists do not.
+LEARNED_VOTERS = 6
 LEARNED_WORDS = 48
+#: Lengths of the stems, the first letters of longer words, and the least share of a text's words, two at least, that must have a stem for it to count.
+STEMS = (4, 5, 6, 7)
+DENSE = 0.01
 MIN_SUPPORT = 8
 #: Bounds of the samples: labelled rows of either label for the learned words, rows for the classifier.
 LABELLED_SAMPLE = 8_000
@@ -42,36 +46,62 @@ N_FEATURES = 2 * len(VOTERS) + 2
 
 
 def _as_text(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of words by label, counted in each partition."""
+    """Document frequencies of words and stems (with a star) by label, counted in each batch."""
     for batch in words:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[label].update(set(WORD.findall(text.lower())))
+            found = Counter(WORD.findall(text.lower()))
+            counts[label].update(found.keys())
+            stems: Counter = Counter()
+            for w, times in found.items():
+                for k in STEMS:
+                    if len(w) > k:
+                        stems[w[:k]] += times
+            least = max(2, DENSE * sum(found.values()))
+            counts[label].update([f"{stem}*" for stem, times in stems.items() if times >= least])
         rows = [(w, y, n) for y, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["word", "toxic", "n"])
 
 
-def learn_words(labelled: DataFrame, limit: int = LEARNED_WORDS) -> list[str]:
-    """The words whose presence most favours label 1, with smoothed odds of 4 at least, most telling first."""
+def learn_words(labelled: DataFrame, limit: int = LEARNED_WORDS) -> tuple[list[str], set[str]]:
+    """What the labelled rows tell: words and stems to vote by, and listed words to leave out.
+
+    The first are the words, and the stems of a hundredth of a text's words, whose presence most favours label 1, most telling first: their odds are 4 at least even two standard errors lower; of a stem and its words the better stays. The
+    second are those whose odds are under 2 even two standard errors higher,
+    as of a word that means nothing bad in another language.
+    """
     counts = map_batches(labelled.filter("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")), _as_text, "word string, toxic int, n long")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     by_word = counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     odds = F.log(p / (totals.get(1, 0) + 1)) - F.log(q / (totals.get(0, 0) + 1))
-    told = by_word.filter(F.col("pos") + F.col("neg") >= MIN_SUPPORT).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(4)))
-    return [r["word"] for r in told.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "word").limit(limit).collect()]
+    error = F.sqrt(1 / p + 1 / q)
+    scored = stored(by_word.filter(F.col("pos") + F.col("neg") >= MIN_SUPPORT).withColumn("odds", odds).withColumn("error", error))
+    told = scored.filter(F.col("odds") - 2 * F.col("error") >= float(np.log(4)))
+    harmless = scored.filter(F.col("word").isin([w for words in LEXICONS.values() for w in words]) & (F.col("odds") + 2 * F.col("error") < float(np.log(2))))
+    chosen: list[str] = []
+    for r in told.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "word").limit(20 * limit).collect():
+        own = r["word"].rstrip("*")
+        if len(chosen) < limit and not any(own.startswith(c.rstrip("*")) or c.rstrip("*").startswith(own) for c in chosen):
+            chosen.append(r["word"])
+    return chosen, {r["word"] for r in harmless.collect()}
 
 
 class Voters:
-    def __init__(self, learned: list[str]):
-        self.learned = learned
+    def __init__(self, learned: list[str], harmless: set[str] = frozenset()):
         self.of: dict[str, list[int]] = {}
         for v, words in enumerate(LEXICONS.values()):
             for w in words:
-                self.of.setdefault(w, []).append(v)
+                if w not in harmless:
+                    self.of.setdefault(w, []).append(v)
+        self.stems: dict[str, list[int]] = {}
         first = len(LEXICONS) + len(PATTERNS)
-        for rank, w in enumerate(learned):
-            self.of.setdefault(w, []).append(first + rank % LEARNED_VOTERS)
+        half = LEARNED_VOTERS // 2
+        for rank, w in enumerate([w for w in learned if not w.endswith("*")]):
+            self.of.setdefault(w, []).append(first + rank % half)
+        for rank, w in enumerate([w for w in learned if w.endswith("*")]):
+            self.stems.setdefault(w.rstrip("*"), []).append(first + half + rank % half)
+        self.lengths = sorted({len(s) for s in self.stems})
 
     def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
         """The votes as bits and the classifier's features: rates and presences by voter, length, share of distinct words."""
@@ -83,6 +113,15 @@ class Voters:
         for w in words.keys() & self.of.keys():
             for v in self.of[w]:
                 hits[v] += words[w]
+        stems: Counter = Counter()
+        for k in self.lengths:
+            for w in words:
+                if w[:k] in self.stems and len(w) > k:
+                    stems[w[:k]] += words[w]
+        for stem, times in stems.items():
+            if times >= max(2, DENSE * n):
+                for v in self.stems[stem]:
+                    hits[v] += times
         for v, pattern in enumerate(PATTERNS.values(), len(LEXICONS)):
             hits[v] = sum(1 for _ in pattern.finditer(lower))
         hits[-1] = not hits[:-1].any()
@@ -93,12 +132,12 @@ class Voters:
         return int(sum(1 << v for v, h in enumerate(hits) if h)), out
 
 
-def features(docs: DataFrame, learned: list[str]) -> DataFrame:
+def features(docs: DataFrame, learned: list[str], harmless: set[str]) -> DataFrame:
     """``(doc_id, votes, x)`` of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(learned)
+        voters = Voters(learned, harmless)
         for batch in batches:
             got = [voters(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tolist() for g in got], pa.list_(pa.float32()))], ["doc_id", "votes", "x"])
@@ -160,6 +199,8 @@ def fit_label_model(patterns: list[tuple[int, float, float, float]], rounds: int
     counts = np.array([p[1:] for p in patterns], dtype=float).reshape(-1, 3)
     free, zero, one = counts.T
     known = zero.sum() + one.sum()
+    if known:
+        free = free * min(1.0, known / max(free.sum(), 1.0))  # rows without label weigh no more than those with one, or they would choose the classes
     prior = float(np.clip((one.sum() + 1) / (known + 2), 0.01, 0.99)) if known else 0.1
     hits = votes[:, :-1].sum(axis=1)
     post = (one + prior * 2) / (zero + one + 2) if known else np.clip(hits / 3, 0.02, 0.95)
@@ -215,8 +256,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: F.Column) -> Data
     known = stored(known)
     picked = [hashed_sample(known.filter(F.col("toxic") == y), "doc_id", LABELLED_SAMPLE) for y in (0, 1)]
     sample = F.broadcast(stored(picked[0].unionByName(picked[1])))  # at most twice LABELLED_SAMPLE ids
-    learned = learn_words(docs.select("doc_id", "text").join(sample, "doc_id"))
-    rows = stored(features(docs, learned))
+    learned, harmless = learn_words(docs.select("doc_id", "text").join(sample, "doc_id"))
+    rows = stored(features(docs, learned, harmless))
     marked = rows.select("doc_id", "votes").join(known, "doc_id", "left")
     seen = marked.groupBy("votes").agg(*[F.sum(c.cast("long")).alias(n) for n, c in (("free", F.col("toxic").isNull()), ("zero", F.coalesce(F.col("toxic") == 0, F.lit(False))), ("one", F.coalesce(F.col("toxic") == 1, F.lit(False))))])
     patterns = [tuple(r) for r in seen.orderBy("votes").collect()]  # 2 ** len(VOTERS) rows at most
