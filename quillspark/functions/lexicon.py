@@ -198,7 +198,6 @@ DISPLAY_INSTITUTIONS = {'la jolla': 'UC San Diego (USA)',
  'zhejiang': 'Zhejiang Univ. (CHN)',
  'cornell': 'Cornell Univ. (USA)'}
 DISPLAY_TARGETS = ['university', 'universidad', 'institute', 'hospital', 'clinic', 'foundation']
-DISPLAY_SKIPPED = ['department', 'dept', 'faculty', 'school', 'division', 'unit', 'center', 'lab']
 KEYWORD_MAP = {'virtual reality (vr)': 'virtual reality',
  'vr': 'virtual reality',
  'augmented reality (ar)': 'augmented reality',

@@ -13,12 +13,22 @@ def status(n_countries: Column) -> Column:
 
 
 def contributions(df: DataFrame, countries: str, leader: str) -> DataFrame:
-    """Per country: documents with any address there, documents led, percent of all documents."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    full = df.select(F.explode(countries).alias("country")).groupBy("country").agg(F.count(F.lit(1)).alias("documents"))
-    led = df.filter(F.col(leader).isNotNull()).groupBy(F.col(leader).alias("country")).agg(F.count(F.lit(1)).alias("led"))
-    joined = full.join(led, "country", "left").crossJoin(F.broadcast(total))  # one row
-    return joined.select("country", "documents", F.coalesce("led", F.lit(0)).alias("led"), (100.0 * F.col("documents") / F.greatest("total", F.lit(1))).alias("percent"))
+    """Per country: documents with any address there, documents led, percent of all documents.
+
+    One aggregate: every document gives a row for each of its countries, one
+    for its leader and one without country, which counts the documents; the
+    counts are joined with that one row of their own.
+    """
+    row = lambda c, there, led: F.struct(c.alias("country"), F.lit(there).alias("there"), F.lit(led).alias("led"))
+    none = F.lit(None).cast("string")
+    kind = "array<struct<country:string,there:int,led:int>>"
+    there = F.transform(F.coalesce(F.col(countries), F.array().cast("array<string>")), lambda c: row(c, 1, 0))
+    led = F.when(F.col(leader).isNotNull(), F.array(row(F.col(leader), 0, 1))).otherwise(F.array().cast(kind))
+    rows = df.select(F.explode(F.concat(there, led, F.array(row(none, 0, 0)))).alias("r")).select("r.*")
+    counts = rows.groupBy("country").agg(F.sum("there").alias("documents"), F.sum("led").alias("led"), F.count(F.lit(1)).alias("rows"))
+    total = counts.filter("country is null").select(F.col("rows").alias("total"))
+    joined = counts.filter("country is not null and documents > 0").crossJoin(F.broadcast(total))  # one row
+    return joined.select("country", "documents", "led", (100.0 * F.col("documents") / F.greatest("total", F.lit(1))).alias("percent"))
 
 
 def pivot(df: DataFrame, leader: str, group: str, collab: str, values: list[str], only: list[str] | None = None, k: int | None = None) -> DataFrame:

@@ -54,14 +54,32 @@ def size_and_density(edges: DataFrame) -> DataFrame:
     return counted.withColumn("density", F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; only a local master may do without a named one."""
+    master = spark.sparkContext.master
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A path for a table in the shared folder, deleted when the session ends."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

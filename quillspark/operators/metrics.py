@@ -32,14 +32,14 @@ def cumulative(df: DataFrame, group: str, year: str, value: str, name: str = "cu
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(group).orderBy(year).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def h_index(df: DataFrame, groups: list[str], cites: str) -> DataFrame:
-    """The most h such that h documents have h citations each.
+def h_index(df: DataFrame, groups: list[str], cites: str, weight: Column | None = None) -> DataFrame:
+    """The most h such that h documents have h citations each; a row stands for ``weight`` documents, one unless given.
 
     Documents are first counted by citations, so the window sees one row for
     each distinct count and not the documents of a group: h is the greatest
     min(count, documents with at least that count).
     """
-    counted = df.withColumn("_c", F.floor(F.coalesce(F.col(cites).cast("double"), F.lit(0.0))).cast("long")).groupBy(*groups, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.withColumn("_c", F.floor(F.coalesce(F.col(cites).cast("double"), F.lit(0.0))).cast("long")).groupBy(*groups, "_c").agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
     window = Window.partitionBy(*groups).orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, 0)
     reached = counted.withColumn("_docs", F.sum("_n").over(window))
     return reached.groupBy(*groups).agg(F.max(F.greatest(F.least("_c", "_docs"), F.lit(0))).cast("long").alias("h_index"))
@@ -49,10 +49,13 @@ def main_metrics(df: DataFrame, group: str, year: str, cites: str) -> DataFrame:
     """The main table for the full corpus and each group.
 
     Growth is that of the first to the last year with documents, a year; 0
-    within one year. The peak year is the earliest of the fullest ones.
+    within one year. The peak year is the earliest of the fullest ones. Rows
+    are counted once by group, year and citations; all else comes from those
+    counts, which alone are doubled for the full corpus.
     """
-    rows = with_full(df.select(group, F.col(year).cast("long").alias("_y"), F.coalesce(F.col(cites).cast("double"), F.lit(0.0)).alias("_c")), group)
-    years = rows.groupBy(group, "_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("tc"), F.sum((F.col("_c") > 0).cast("long")).alias("ncp"))
+    cells = df.groupBy(group, F.col(year).cast("long").alias("_y"), F.coalesce(F.col(cites).cast("double"), F.lit(0.0)).alias("_cites")).agg(F.count(F.lit(1)).alias("_k"))
+    rows = with_full(cells, group)
+    years = rows.groupBy(group, "_y").agg(F.sum("_k").alias("n"), F.sum(F.col("_cites") * F.col("_k")).alias("tc"), F.sum(F.when(F.col("_cites") > 0, F.col("_k")).otherwise(0)).alias("ncp"))
     out = years.groupBy(group).agg(
         F.sum("n").alias("documents"),
         F.sum("tc").alias("tc"),
@@ -65,7 +68,7 @@ def main_metrics(df: DataFrame, group: str, year: str, cites: str) -> DataFrame:
     )
     span = F.col("last_year") - F.col("first_year")
     growth = F.when(span > 0, (F.pow(F.col("last_n") / F.col("first_n"), 1.0 / span) - 1) * 100).otherwise(0.0)
-    return out.join(h_index(rows, [group], "_c"), group).select(
+    return out.join(h_index(rows, [group], "_cites", F.col("_k")), group).select(
         group, "documents", "tc", "h_index", growth.alias("growth"), (F.col("tc") / F.col("documents")).alias("ac"), "ncp",
         (100.0 * F.col("ncp") / F.col("documents")).alias("pct_cited"), F.when(F.col("ncp") > 0, F.col("tc") / F.col("ncp")).otherwise(0.0).alias("ccp"), "first_year", "peak_year",
     )

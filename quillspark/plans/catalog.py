@@ -6,6 +6,7 @@ supplier nations are its addresses, the parts of its basket its keywords.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import entities, lexicon as lx, text as tx
 from quillspark.operators import audit, classify, collab, dedup, dialect, graph, keywords, metrics
-from quillspark.plans.fixture import RECORDS_SQL, records
+from quillspark.plans.fixture import COLUMNS, RECORD_NAMES, RECORDS_SQL, records
 from quillspark.session import table
+from quillspark.sources.records import canonical_columns, read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -399,7 +401,40 @@ def record_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.countries("Affiliations"), "; ").alias("countries"), entities.leading_country("Affiliations").alias("leader"))
 
 
-@query()
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{_quoted(v)}'" for v in values) + ")"
+
+
+def _any_part(terms, text: str = "lower(p)") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{_quoted(x)}')" for x in terms) + ")"
+
+
+def _standard_sql(text: str) -> str:
+    """Whole-word replacements in the table's order; the fixture has no such words side by side, of which this would miss the second."""
+    for short, full in lx.AFFILIATION_NAMES.items():
+        pattern = _quoted(f"(?i)(^|[^\\p{{L}}\\p{{N}}_]){re.escape(short)}([^\\p{{L}}\\p{{N}}_]|$)")
+        text = f"regexp_replace({text}, '{pattern}', '\\1{_quoted(full)}\\2', 'g')"
+    return text
+
+
+_NAMED = "CASE " + " ".join(f"WHEN {_any_part(v, 'l')}" + (" OR regexp_matches(l, '\\bmit\\b')" if n.endswith("(MIT)") else "") + f" THEN '{_quoted(n)}'" for n, v in lx.INSTITUTION_ALIASES.items()) + " END"
+_SHOWN = "CASE " + " ".join(f"WHEN contains(lower(affiliations), '{_quoted(k)}') THEN '{_quoted(v)}'" for k, v in lx.DISPLAY_INSTITUTIONS.items()) + " END"
+
+
+@query(rf"""WITH {_R}, g AS (SELECT row_id, trim(x) AS seg, lower(trim(x)) AS l FROM (SELECT row_id, unnest(string_split(affiliations, ';')) AS x FROM r WHERE affiliations IS NOT NULL) WHERE trim(x) <> '' AND lower(trim(x)) <> 'nan'),
+p AS (SELECT *, list_filter(list_transform(string_split(seg, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM g),
+u AS (SELECT *, list_filter(parts, lambda p: {_any_part(lx.UNIVERSITY_MARKERS)} AND lower(p) NOT IN {_in(lx.GENERIC_LABELS)}) AS us,
+  list_filter(parts, lambda p: {_any_part([*lx.UNIVERSITY_MARKERS, *lx.ORGANISATION_MARKERS])} AND NOT regexp_matches(p, '(?i)^(?:{'|'.join(lx.SUB_UNIT_WORDS)})\b') AND lower(p) NOT IN {_in(lx.GENERIC_LABELS)}) AS bodies,
+  list_filter(parts, lambda p: contains(lower(p), 'college') AND NOT regexp_matches(p, '(?i)^college\s+of\b')) AS colleges FROM p),
+c AS (SELECT *, regexp_replace(us[1], '\s+', ' ', 'g') AS label FROM u),
+k AS (SELECT *, CASE WHEN contains(lower(label), 'university college') THEN label ELSE trim(regexp_replace(label, '(?i)\s+(?:{'|'.join(lx.ATTACHED_UNIT_WORDS)})\b.*$', '')) END AS kept FROM c),
+o AS (SELECT *, CASE WHEN lower(kept) IN ('the university of hong kong', 'university of hong kong') THEN 'The University of Hong Kong' ELSE kept END AS parent FROM k),
+i AS (SELECT row_id, coalesce({_NAMED}, CASE WHEN lower(parts[1]) IN ('københavn', 'copenhagen') THEN 'Københavns Universitet' WHEN len(us) > 0 THEN CASE WHEN lower(parent) NOT IN {_in(lx.GENERIC_LABELS)} THEN parent END WHEN len(bodies) > 0 THEN bodies[1] ELSE colleges[1] END) AS inst FROM o),
+a AS (SELECT row_id, array_to_string(list_sort(list(DISTINCT inst)), '; ') AS institutions FROM i WHERE inst IS NOT NULL GROUP BY row_id),
+d AS (SELECT row_id, affiliations, list_transform(string_split(affiliations, ','), lambda x: trim(x)) AS parts FROM r),
+e AS (SELECT *, coalesce(list_filter(parts, lambda p: length(p) >= 3 AND {_any_part(lx.DISPLAY_TARGETS)})[1], CASE WHEN length(parts[2]) > 3 THEN parts[2] END, parts[1]) AS best FROM d),
+f AS (SELECT *, CASE WHEN parts[-1] <> '' THEN best || ' (' || parts[-1] || ')' ELSE best END AS long FROM e)
+SELECT f.row_id, coalesce(institutions, '') AS institutions, CASE WHEN length(affiliations) >= 3 THEN coalesce({_SHOWN}, CASE WHEN length(long) > 40 THEN left(long, 40) || '..' ELSE long END) END AS label, {_standard_sql('affiliations')} AS standard FROM f LEFT JOIN a ON a.row_id = f.row_id""")
 def record_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.institutions("Affiliations"), "; ").alias("institutions"), entities.display_institution("Affiliations").alias("label"), entities.standard_affiliations("Affiliations").alias("standard"))
 
@@ -410,18 +445,94 @@ def record_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark).select(F.col("_row_id").alias("row_id"), entities.standard_authors("Authors").alias("authors")).filter("authors <> ''")
 
 
-@query()
+@query(rf"""WITH {_R}, p AS (SELECT row_id, list_transform(string_split(x, ','), lambda y: trim(y)) AS parts FROM (SELECT row_id, unnest(string_split(cited_works, ';')) AS x FROM r WHERE cited_works IS NOT NULL) WHERE trim(x) <> ''),
+q AS (SELECT row_id, parts[1] AS surname, parts[2] AS given, regexp_extract_all(parts[2], '([A-Za-zÀ-ž]+)', 1) AS names FROM p WHERE len(parts) >= 3)
+SELECT DISTINCT row_id, regexp_replace(surname || ', ' || array_to_string(list_transform(names, lambda t: upper(t[1])), '.') || '.', '\s+', ' ', 'g') AS author FROM q
+WHERE length(surname) BETWEEN 1 AND 45 AND lower(surname) NOT IN {_in(lx.NOT_AUTHORS)} AND regexp_matches(surname, '[A-Za-zÀ-ž]') AND length(given) <= 50 AND len(names) BETWEEN 1 AND 5""")
 def record_cited_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark).select(F.col("_row_id").alias("row_id"), F.explode(entities.cited_authors("References")).alias("author"))
 
 
-@query()
+_COLUMN_SQL = dict(zip(COLUMNS, RECORD_NAMES, strict=True))
+_RICH = " + ".join(f"CAST(coalesce(trim({_COLUMN_SQL[c]}), '') <> '' AS INT)" for c in lx.COMPLETENESS_FIELDS if c in _COLUMN_SQL)
+_PIPELINE = rf"""{_R},
+x AS (SELECT t.*, {_RICH} AS rich, regexp_replace(coalesce(trim(lower(doi)), ''), '^(https?://(dx\.)?doi\.org/|doi:\s*)', '') AS k,
+  trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS tk,
+  CASE WHEN trim(string_split(coalesce(author_id, ''), ';')[1]) <> '' THEN trim(string_split(author_id, ';')[1]) ELSE lower(strip_accents(trim(string_split(coalesce(authors, ''), ';')[1]))) END AS ak FROM t),
+p2 AS (SELECT * FROM x WHERE row_id IN (SELECT min(row_id) FROM r GROUP BY {", ".join(RECORD_NAMES)})),
+p3 AS (SELECT * FROM p2 QUALIFY k = '' OR row_number() OVER (PARTITION BY k ORDER BY rich DESC, row_id) = 1),
+g4 AS (SELECT *, coalesce(tk, '') <> '' AND coalesce(trim(year), '') <> '' AND coalesce(ak, '') <> '' AS whole, CASE WHEN k = '' THEN 1 ELSE 0 END AS bare, CASE WHEN k = '' THEN 0 ELSE -rich END AS o FROM p3),
+h4 AS (SELECT *, count(DISTINCT CASE WHEN k <> '' THEN k END) OVER (PARTITION BY tk, year, ak, CASE WHEN NOT whole THEN row_id END) AS dois FROM g4),
+p4 AS (SELECT * FROM h4 QUALIFY NOT whole OR row_number() OVER (PARTITION BY tk, year, ak, whole, CASE WHEN dois > 1 THEN k ELSE '' END ORDER BY rich DESC, bare, o, row_id) = 1),
+p5 AS (SELECT *, CAST(TRY_CAST(trim(year) AS DOUBLE) AS INT) AS y FROM p4 WHERE {" AND ".join(f"coalesce(trim({_COLUMN_SQL[c]}), '') <> ''" for c in lx.ESSENTIAL_FIELDS)} AND TRY_CAST(trim(year) AS DOUBLE) IS NOT NULL),
+p6 AS (SELECT * FROM p5 WHERE {_q(lx.THEMATIC_TERMS, "(' ' || s || ' ')")}),
+p7 AS (SELECT * FROM p6 WHERE y BETWEEN {lx.YEAR_RANGE[0]} AND {lx.YEAR_RANGE[1]}),
+p8 AS (SELECT * FROM p7 WHERE {_any_sql(_SUBSTANTIVE)} OR ({_any_sql(lx.EDUCATION_PATTERNS.values())} AND NOT {_any_sql(lx.MACHINE_LEARNING_PATTERNS)})),
+p9 AS (SELECT * FROM p8 WHERE {_q(lx.MR_TERMS)} OR {_q(lx.XR_TERMS)} OR {_q(lx.VR_TERMS)} OR {_q(lx.AR_TERMS)})"""
+_COUNTED = ["r", "r", "r", "p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9"]
+
+
+def _audit_sql() -> str:
+    from quillspark.plans import corpus
+
+    rows = " UNION ALL ".join(f"SELECT {i} AS stage_no, '{name}' AS stage, (SELECT count(*) FROM {t}) AS records" for i, (name, t) in enumerate(zip(corpus.CRITERIA, _COUNTED, strict=True)))
+    return f"WITH {_PIPELINE}, n AS ({rows}) SELECT stage_no, stage, records, coalesce(lag(records) OVER (ORDER BY stage_no), records) AS before, coalesce(lag(records) OVER (ORDER BY stage_no), records) - records AS removed FROM n"
+
+
+@query(_audit_sql())
 def record_pipeline_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans import corpus
 
     return corpus.audit(records(spark))
 
 
+@query(f"SELECT row_id FROM (WITH {_PIPELINE} SELECT row_id FROM p9)")
+def record_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.plans import corpus
+
+    return corpus.corpus(records(spark)).select(F.col("_row_id").alias("row_id"))
+
+
+@query(f"""WITH {_R} SELECT row_id, CAST(TRY_CAST(trim(year) AS DOUBLE) AS INT) AS year FROM t WHERE {" AND ".join(f"coalesce(trim({_COLUMN_SQL[c]}), '') <> ''" for c in lx.ESSENTIAL_FIELDS)} AND TRY_CAST(trim(year) AS DOUBLE) BETWEEN {lx.YEAR_RANGE[0]} AND {lx.YEAR_RANGE[1]}""")
+def record_essential_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.within_years(classify.essential(records(spark))).select(F.col("_row_id").alias("row_id"), F.col("Year").alias("year"))
+
+
+@query(f"WITH {_R} SELECT row_id, {_RICH} AS filled FROM r")
+def record_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark).select(F.col("_row_id").alias("row_id"), dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in COLUMNS]).alias("filled"))
+
+
+def _list_sql(field: str, item: str, keep: str) -> str:
+    return f"SELECT row_id, pos, {item} AS item FROM (SELECT row_id, unnest(string_split({field}, ';')) AS x, generate_subscripts(string_split({field}, ';'), 1) AS pos FROM r WHERE {field} IS NOT NULL) WHERE trim(x) <> '' AND {keep}"
+
+
+@query(f"""WITH {_R}, n AS ({_list_sql("authors", "trim(string_split(x, '(')[1])", "trim(string_split(x, '(')[1]) <> ''")}), w AS ({_list_sql("author_keywords", "lower(trim(x))", "length(trim(x)) >= 3")}),
+m AS (SELECT row_id, CASE item {" ".join(f"WHEN '{_quoted(k)}' THEN '{_quoted(v)}'" for k, v in lx.KEYWORD_MAP.items())} ELSE item END AS item FROM w)
+SELECT r.row_id, coalesce((SELECT string_agg(item, '|' ORDER BY pos) FROM n WHERE n.row_id = r.row_id), '') AS names, coalesce((SELECT string_agg(item, '|' ORDER BY pos) FROM w WHERE w.row_id = r.row_id), '') AS words,
+  coalesce((SELECT string_agg(DISTINCT item, '|' ORDER BY item) FROM m WHERE m.row_id = r.row_id), '') AS mapped FROM r""")
+def record_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author tokens, keyword tokens and keywords by the fixed table."""
+    words = entities.keywords("Author Keywords")
+    lists = {"names": entities.author_names("Authors"), "words": words, "mapped": F.array_sort(entities.mapped_keywords(words))}
+    return records(spark).select(F.col("_row_id").alias("row_id"), *[F.array_join(c, "|").alias(n) for n, c in lists.items()])
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS eid, 'NA, "' || lang || '";' || chr(10) || replace(text, chr(13), ' ') AS title, CASE WHEN source = 'web' THEN NULL ELSE source END AS source, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS keywords FROM documents""")
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as an export with quoted breaks, a byte order mark, blank and missing-value cells, read back under its canonical columns."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.concat(F.lit('NA, "'), "lang", F.lit('";\n'), F.translate("text", "\r", " "))
+    export = docs.select(
+        F.col("doc_id").cast("string").alias("\ufeffEID "), title.alias(" Document Title"), F.when(F.col("source") == "web", "NA").otherwise(F.col("source")).alias("Journal"),
+        F.when(F.col("lang") == "en", "en").otherwise(" ").alias("Author Keywords"), F.lit("other").alias("de"),
+    )
+    path = graph.shared_path(spark)
+    export.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found = canonical_columns(read_records(spark, path, None))
+    return found.select(F.col("EID").alias("eid"), F.col("Title").alias("title"), F.col("Source title").alias("source"), F.col("Author Keywords").alias("keywords"))
+
+
 # Deduplication
 
 

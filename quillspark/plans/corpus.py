@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import entities, lexicon as lx
 from quillspark.functions.text import doi_key, title_key
 from quillspark.operators import classify, dedup
+from quillspark.sources.records import clean_header
 
 
 def _column(df: DataFrame, name: str):
@@ -27,6 +28,7 @@ def normalized(df: DataFrame) -> DataFrame:
 #: What each stage keeps.
 CRITERIA = {
     "0_raw_load": "Rows of the export",
+    "1_col_standardize": "Column names without white space and byte order mark; no row goes",
     "1b_name_normalization": "Institution abbreviations expanded, author names without accents; no row goes",
     "2_exact_dedup": "One row of each set equal in all columns",
     "3_doi_dedup": "The richest row of each DOI",
@@ -46,6 +48,7 @@ def stages(df: DataFrame) -> list[tuple[str, DataFrame]]:
     def add(name: str, table: DataFrame) -> None:
         out.append((name, table))
 
+    add("1_col_standardize", clean_header(df))
     add("1b_name_normalization", normalized(out[-1][1]))
     add("2_exact_dedup", dedup.exact(out[-1][1]))
     quality = dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in df.columns])

@@ -34,5 +34,5 @@ def _literal(v: str | None) -> str:
     return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
 
 
-_NAMES = [c.lower().replace("(s)", "").replace(" ", "_").replace("references", "cited_works") for c in COLUMNS]
-RECORDS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {', '.join(map(_literal, r))})" for i, r in enumerate(ROWS)) + f") v(row_id, {', '.join(_NAMES)})"
+RECORD_NAMES = [c.lower().replace("(s)", "").replace(" ", "_").replace("references", "cited_works") for c in COLUMNS]
+RECORDS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {', '.join(map(_literal, r))})" for i, r in enumerate(ROWS)) + f") v(row_id, {', '.join(RECORD_NAMES)})"
