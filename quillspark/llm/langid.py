@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import held_out, map_batches, most_frequent, stored, table, without
+from .common import free_prefix, held_out, map_batches, most_frequent, stored, table, without
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Words and n-grams with the highest counts over the whole training fold; as many again, in equal shares, with the highest of each language.
+#: Words and n-grams that every worker holds: those with the highest counts over the whole training fold and as many again, in equal shares,
+#: with the highest of each language. The others are looked up by joins with the stored counts; the bounds change no result.
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 LONGEST_GRAM = 4
@@ -26,6 +28,8 @@ LONGEST_CACHED = 64
 FLUSH = 200_000
 #: Weight of a backed-off word against a known one.
 BACKOFF = 0.4
+#: Steps in which the weights of words that are looked up are added: sums of whole numbers do not depend on the order of rows.
+STEPS = 1 << 24
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -78,13 +82,19 @@ def _gram_rows(counts: dict[str, dict[str, int]]) -> pa.RecordBatch:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: ``words`` and ``grams`` give a row of the matrices."""
+    """Log frequencies by language: ``words`` and ``grams`` give a row of the matrices.
+
+    Where they are not all that was learned, ``tables`` are the counts of all
+    words and of all n-grams, and ``sums`` the words of each language.
+    """
 
     languages: list[str]
     words: dict[str, int]
     word_scores: np.ndarray
     gram_rows: dict[str, int]
     gram_scores: np.ndarray
+    sums: np.ndarray | None = None
+    tables: tuple[DataFrame, DataFrame] | None = None
 
     def unseen(self, word: str) -> list[int]:
         """The rows of the longest n-grams of which any is known; none if none is."""
@@ -150,20 +160,23 @@ def most_frequent_by_language(by_word: DataFrame, share: int) -> DataFrame:
 
 
 def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Count the words and n-grams of every row with text and lang; the most frequent ones, of all and of each language, make the model."""
+    """Count the words and n-grams of every row with text and lang; the most frequent ones, of all and of each language, are held in the model, the others stay in its tables."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     words = stored(map_batches(rows, _count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
 
-    def top(counts: DataFrame, k: int) -> list:
+    def top(counts: DataFrame, k: int) -> tuple[DataFrame, list]:
         by_word = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")))
         kept = {r["word"]: r for part in (most_frequent(by_word, k), most_frequent_by_language(by_word, max(1, k // max(1, len(languages))))) for r in part.collect()}
-        return sorted(kept.values(), key=lambda r: (-r["n"], r["word"]))
+        return by_word, sorted(kept.values(), key=lambda r: (-r["n"], r["word"]))
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)
-    return LanguageModel(languages, *_scores(top(words, max_words), languages, sums), *_scores(top(gram_counts, max_grams), languages, sums * 5))
+    all_words, held_words = top(words, max_words)
+    all_grams, held_grams = top(gram_counts, max_grams)
+    whole = all_words.count() == len(held_words) and all_grams.count() == len(held_grams)
+    return LanguageModel(languages, *_scores(held_words, languages, sums), *_scores(held_grams, languages, sums * 5), sums, None if whole else (all_words, all_grams))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -175,7 +188,97 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language of equal scores; texts are read whole, whatever their length; an
     empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by about twice max_words and max_grams
+    return _identified(without(docs, "lang_pred", "score"), model, without(docs, "lang_pred", "score").columns)
+
+
+def _identified(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` and the prediction: from held words in place; others, with their n-grams, join the model's tables."""
+    if model.tables is None:
+        return _by_held(docs, model).select(*columns, "lang_pred", "score")
+    of = free_prefix(docs)
+    row, base, words, times, joined = (of + name for name in ("row", "base", "words", "times", "joined"))
+    first = _held_sums(docs, model, columns, row, base, words, times)
+    tail = first.select(row, F.explode(F.arrays_zip(words, times)).alias("t")).select(row, F.col("t")[words].alias("word"), F.col("t")[times].alias("n"))
+    languages = range(len(model.languages))
+    sums = tail.join(_word_weights(tail.select("word").distinct(), model), "word").groupBy(row).agg(*[F.sum(F.col("v")[i] * F.col("n")).alias(f"v{i}") for i in languages])
+    sums = sums.select(row, F.array(*[F.col(f"v{i}") for i in languages]).alias(joined))
+    total = F.when(F.col(joined).isNull(), F.col(base)).otherwise(F.zip_with(base, joined, lambda x, y: x + y / STEPS))
+    best = F.array_max(base)
+    found = first.join(sums, row, "left").withColumn(base, total)
+    lang = F.array(*[F.lit(x) for x in model.languages])[(F.array_position(base, best) - 1).cast("int")]
+    score = 1 / F.aggregate(F.transform(base, lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
+    return found.select(*columns, F.coalesce(F.when(F.col(base).isNotNull(), lang), F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+def _held_sums(docs: DataFrame, model: LanguageModel, columns: list[str], row: str, base: str, words: str, times: str) -> DataFrame:
+    """``columns``, a row number, the sum of held words by language (null: no letter) and the other words with their counts; stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tables=None))  # bounded by about twice max_words and max_grams
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scores = shared.value.words, shared.value.word_scores
+        for batch in batches:
+            sums, others, counts = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = Counter(WORD.findall(text.lower())) if text else {}
+                held = [(known[w], n) for w, n in found.items() if w in known]
+                total = np.array([n for _, n in held], dtype=float) @ scores[np.array([r for r, _ in held], dtype=int)]
+                sums.append(total.tolist() if found else None)
+                others.append([w for w in found if w not in known])
+                counts.append([n for w, n in found.items() if w not in known])
+            more = [pa.array(sums, pa.list_(pa.float64())), pa.array(others, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*columns, row)), *more], [*columns, row, base, words, times])
+
+    numbered = docs.select(*dict.fromkeys([*columns, "text"]), F.monotonically_increasing_id().alias(row))
+    schema = StructType([numbered.schema[c] for c in (*columns, row)])
+    schema = schema.add(base, ArrayType(DoubleType())).add(words, ArrayType(StringType())).add(times, ArrayType(LongType()))
+    return stored(map_batches(numbered, work, schema))
+
+
+def _table_weights(counts: DataFrame, model: LanguageModel, sums: np.ndarray) -> DataFrame:
+    """``word`` and ``v``: as ``_scores`` has them, in whole steps."""
+    of = F.map_from_entries("by")
+    logs = F.array(*[F.log(F.coalesce(F.try_element_at(of, F.lit(x)), F.lit(0)) + 0.5) - F.lit(float(np.log(n + 1))) for x, n in zip(model.languages, sums, strict=True)])
+    mean = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) / len(model.languages)
+    return counts.select("word", logs.alias("logs")).select("word", F.transform("logs", lambda x: _steps(x - mean)).alias("v"))
+
+
+def _steps(x: Column) -> Column:
+    return F.round(x * STEPS).cast("long")
+
+
+def _word_weights(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """``word`` and ``v`` of distinct words: of the table of words, else of the longest n-grams that any table knows; words without any are left out."""
+    all_words, all_grams = model.tables
+    looked_up = stored(words.join(_table_weights(all_words, model, model.sums), "word", "left"))
+    shared = words.sparkSession.sparkContext.broadcast(replace(model, tables=None))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, steps = shared.value.gram_rows, np.rint(shared.value.gram_scores * STEPS).astype(np.int64)
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                for k in range(LONGEST_GRAM, 0, -1):
+                    parts = grams(word, k)
+                    held = [rows[g] for g in parts if g in rows]
+                    out.append((word, k, len(held), steps[held].sum(axis=0).tolist() if held else None, [g for g in parts if g not in rows]))
+                    if held:
+                        break
+            types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["word", "k", "n", "v", "missing"])
+
+    languages = range(len(model.languages))
+    tried = stored(map_batches(looked_up.filter(F.col("v").isNull()).select("word"), work, "word string, k int, n long, v array<long>, missing array<string>"))
+    missing = tried.select(F.col("word").alias("of"), "k", F.explode("missing").alias("word"))
+    rare = missing.join(_table_weights(all_grams, model, model.sums * 5), "word").select(F.col("of").alias("word"), "k", F.lit(1).cast("long").alias("n"), "v")
+    by_length = tried.filter(F.col("n") > 0).select("word", "k", "n", "v").unionByName(rare).groupBy("word", "k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in languages])
+    longest = by_length.groupBy("word").agg(F.max_by(F.struct("n", *[f"v{i}" for i in languages]), "k").alias("l"))
+    backed_off = longest.select("word", F.array(*[F.round(F.col("l")[f"v{i}"] * BACKOFF / F.col("l")["n"]).cast("long") for i in languages]).alias("v"))
+    return looked_up.filter(F.col("v").isNotNull()).unionByName(backed_off)
+
+
+def _by_held(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns and the prediction from held words and n-grams alone, in place: whole where ``tables`` is None; ``und`` is right in any case."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tables=None))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
@@ -184,20 +287,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     docs = without(docs, "lang_pred", "score")
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return map_batches(docs, work, schema)
+    return map_batches(docs, work, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return _identified(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language the model names; ``und`` ones (null, empty and letterless texts) go, repeated rows all or none. Columns stay as they are."""
     columns = docs.columns
-    placed = identify(docs.select("*"), train(docs.filter(~held_out())))
+    placed = _by_held(docs.select("*"), train(docs.filter(~held_out())))  # rarer words decide between languages, never on ``und``
     return placed.filter(F.col("lang_pred") != UNDETERMINED).select(*columns)
