@@ -200,8 +200,13 @@ def _identified(docs: DataFrame, model: LanguageModel, columns: list[str]) -> Da
     first = _held_sums(docs, model, columns, row, base, words, times)
     tail = first.select(row, F.explode(F.arrays_zip(words, times)).alias("t")).select(row, F.col("t")[words].alias("word"), F.col("t")[times].alias("n"))
     languages = range(len(model.languages))
-    sums = tail.join(_word_weights(tail.select("word").distinct(), model), "word").groupBy(row).agg(*[F.sum(F.col("v")[i] * F.col("n")).alias(f"v{i}") for i in languages])
-    sums = sums.select(row, F.array(*[F.col(f"v{i}") for i in languages]).alias(joined))
+    by_word = tail.join(_table_weights(model.tables[0], model, model.sums), "word", "left")
+    unseen = F.collect_list(F.when(F.col("v").isNull(), F.struct("word", "n"))).alias("unseen")
+    looked_up = stored(by_word.groupBy(row).agg(*[F.sum(F.col("v")[i] * F.col("n")).alias(f"v{i}") for i in languages], unseen))
+    others = looked_up.select(row, F.inline("unseen"))
+    backed_off = others.join(_backed_off(others.select("word").distinct(), model), "word").select(row, *[(F.col("v")[i] * F.col("n")).alias(f"v{i}") for i in languages])
+    sums = looked_up.drop("unseen").unionByName(backed_off).groupBy(row).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in languages])
+    sums = sums.select(row, F.array(*[F.coalesce(f"v{i}", F.lit(0)) for i in languages]).alias(joined))
     total = F.when(F.col(joined).isNull(), F.col(base)).otherwise(F.zip_with(base, joined, lambda x, y: x + y / STEPS))
     best = F.array_max(base)
     found = first.join(sums, row, "left").withColumn(base, total)
@@ -246,10 +251,8 @@ def _steps(x: Column) -> Column:
     return F.round(x * STEPS).cast("long")
 
 
-def _word_weights(words: DataFrame, model: LanguageModel) -> DataFrame:
-    """``word`` and ``v`` of distinct words: of the table of words, else of the longest n-grams that any table knows; words without any are left out."""
-    all_words, all_grams = model.tables
-    looked_up = stored(words.join(_table_weights(all_words, model, model.sums), "word", "left"))
+def _backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """``word`` and ``v`` of distinct unseen words: of their longest n-grams of which any is known; words without any are left out."""
     shared = words.sparkSession.sparkContext.broadcast(replace(model, tables=None))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +270,12 @@ def _word_weights(words: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["word", "k", "n", "v", "missing"])
 
     languages = range(len(model.languages))
-    tried = stored(map_batches(looked_up.filter(F.col("v").isNull()).select("word"), work, "word string, k int, n long, v array<long>, missing array<string>"))
+    tried = stored(map_batches(words, work, "word string, k int, n long, v array<long>, missing array<string>"))
     missing = tried.select(F.col("word").alias("of"), "k", F.explode("missing").alias("word"))
-    rare = missing.join(_table_weights(all_grams, model, model.sums * 5), "word").select(F.col("of").alias("word"), "k", F.lit(1).cast("long").alias("n"), "v")
+    rare = missing.join(_table_weights(model.tables[1], model, model.sums * 5), "word").select(F.col("of").alias("word"), "k", F.lit(1).cast("long").alias("n"), "v")
     by_length = tried.filter(F.col("n") > 0).select("word", "k", "n", "v").unionByName(rare).groupBy("word", "k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in languages])
     longest = by_length.groupBy("word").agg(F.max_by(F.struct("n", *[f"v{i}" for i in languages]), "k").alias("l"))
-    backed_off = longest.select("word", F.array(*[F.round(F.col("l")[f"v{i}"] * BACKOFF / F.col("l")["n"]).cast("long") for i in languages]).alias("v"))
-    return looked_up.filter(F.col("v").isNotNull()).unionByName(backed_off)
+    return longest.select("word", F.array(*[F.round(F.col("l")[f"v{i}"] * BACKOFF / F.col("l")["n"]).cast("long") for i in languages]).alias("v"))
 
 
 def _by_held(docs: DataFrame, model: LanguageModel) -> DataFrame:
