@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .common import free_prefix, table, without
 
@@ -13,6 +14,10 @@ SHARDS = 40
 VNODES = 64
 #: Ring positions; a shard's virtual nodes sit on some of them and keys fall on any.
 POSITIONS = 1 << 14
+#: A position with more rows than this, and than one in HOT_SHARE of all, is ranked in PARTS parts by text, each a task of its own.
+HOT_ROWS = 1 << 14
+HOT_SHARE = 512
+PARTS = 256
 
 
 def ring(shards: int, vnodes: int = VNODES, positions: int = POSITIONS) -> list[int]:
@@ -86,16 +91,19 @@ def ring_position(key: str, text: str = "text", positions: int = POSITIONS) -> C
     return F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("no key"), text)).otherwise(F.xxhash64(key)), F.lit(positions)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", vnodes: int = VNODES, epsilon: float = 0.0, positions: int = POSITIONS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", vnodes: int = VNODES, epsilon: float = 0.0, positions: int = POSITIONS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All columns of ``docs`` and ``shard``, ``slot`` (gapless from 0 in each shard).
 
     Only the counts of the ring's positions (a fixed number) reach the driver;
     a row's rank within its position picks its run. Ties of the key are ranked
     by text, fully repeated rows in any order, which changes no result row;
     rows with a null key are spread by their text, a null or empty text being
-    one like others; of long texts only hashes are sorted. Columns named
-    ``shard`` or ``slot`` are replaced; an empty table gives none. ``docs``
-    must be a stored table: it is read twice.
+    one like others; of long texts only hashes are sorted. A position with
+    over ``hot_rows`` rows, such as that of a key which very many rows have, is
+    ranked in parts by the hash of the text, so that rows of one key but
+    different texts do not meet in one task. Columns named ``shard`` or
+    ``slot`` are replaced; an empty table gives none. ``docs`` must be a stored
+    table: it is read twice, or three times.
     """
     docs = without(docs, "shard", "slot")
     p = free_prefix(docs)
@@ -106,11 +114,30 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", vnodes: in
     places = docs.sparkSession.createDataFrame(runs or [(-1, 0, 0, 0, 0)], ", ".join(f"{n} {k}" for n, k in zip(names, ("int", "long", "long", "int", "long"), strict=True)))  # positions + shards rows at most
     at, first, last, shard_, slot = map(F.col, names)
     rank = F.col(f"{p}rank")
-    ranked = docs.withColumn(f"{p}rank", F.row_number().over(Window.partitionBy(f"{p}position").orderBy(F.xxhash64(key, F.lit(1)), key, F.xxhash64("text"))) - 1)
+    within = Window.orderBy(F.xxhash64(key, F.lit(1)), key, F.xxhash64("text"))
+    hot = [at for at, n in counts.items() if n > max(hot_rows, sum(counts.values()) // HOT_SHARE)]  # HOT_SHARE at most
+    if hot:
+        ranked = _ranked_in_parts(docs, p, hot, within)
+    else:
+        ranked = docs.withColumn(f"{p}rank", F.row_number().over(within.partitionBy(f"{p}position")) - 1)
     placed = ranked.join(F.broadcast(places), (F.col(f"{p}position") == at) & (rank >= first) & (rank < last))
     return placed.withColumns({"shard": shard_, "slot": slot + rank - first}).drop(f"{p}position", f"{p}rank", *names)
 
 
+def _ranked_in_parts(docs: DataFrame, p: str, hot: list[int], within: WindowSpec) -> DataFrame:
+    """``docs`` and the rank of each row in its position; those of ``hot`` are ranked part by part, after the rows of the parts before."""
+    position, part = f"{p}position", f"{p}part"
+    parted = docs.withColumn(part, F.when(F.col(position).isin(hot), F.pmod(F.xxhash64("text", F.lit(2)), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    sizes = parted.filter(F.col(position).isin(hot)).groupBy(F.col(position).alias("at"), F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # HOT_SHARE * PARTS rows at most
+    before, offsets = dict.fromkeys(hot, 0), []
+    for r in sorted(sizes):
+        offsets.append((r["at"], r["part"], before[r["at"]]))
+        before[r["at"]] += r["n"]
+    starts = docs.sparkSession.createDataFrame(offsets, f"{position} int, {part} int, {p}before long")
+    ranked = parted.withColumn(f"{p}rank", F.row_number().over(within.partitionBy(position, part)) - 1).join(F.broadcast(starts), [position, part], "left")
+    return ranked.withColumn(f"{p}rank", F.col(f"{p}rank") + F.coalesce(f"{p}before", F.lit(0))).drop(part, f"{p}before")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select(

@@ -61,3 +61,20 @@ def test_empty_and_clashes(spark):
     assert out.count() == frame(spark).count() and out.schema["shard"].dataType.simpleString() == "int"
     one = frame(spark, [(None, "same", "en", "s", 4)] * 9)
     assert sorted(r["slot"] for r in sharding.shard(one, 1).collect()) == list(range(9))
+
+
+def test_rows_of_one_key_are_ranked_in_parts(spark):
+    hot = spark.range(3_000).selectExpr("cast(7 as bigint) as doc_id", "concat('text ', id % 1000) as text")
+    docs = hot.unionByName(spark.range(100, 4_000).selectExpr("id as doc_id", "if(id % 50 = 0, null, cast(id as string)) as text"))
+    for shards in (1, 6):
+        plain, parted = (sharding.shard(docs, shards, hot_rows=n).collect() for n in (1 << 20, 100))
+        for rows in (plain, parted):
+            by = {}
+            for r in rows:
+                by.setdefault(r["shard"], []).append(r["slot"])
+            assert sorted(map(len, by.values()))[0] >= 6_900 // shards and all(sorted(v) == list(range(len(v))) for v in by.values())
+        # the hot key's rows lie on one position, so parts alter which of them a run takes, not how many rows of any key a shard has
+        assert Counter((r["doc_id"], r["shard"]) for r in plain) == Counter((r["doc_id"], r["shard"]) for r in parted)
+        assert Counter((r["doc_id"], r["text"]) for r in parted) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    plan = sharding.shard(docs, 6, hot_rows=100)._jdf.queryExecution().toString()
+    assert "_part" in plan and sharding.shard(with_clashes(docs, "_part", "_before"), 6, hot_rows=100).count() == 6_900
