@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
@@ -130,15 +131,26 @@ class LanguageModel:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def _scores(rows: list, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+def _held(by_word: DataFrame, k: int, languages: list[str]) -> pa.Table:
+    """The rows of ``(word, n, by)`` that workers hold, by falling count, with a column of counts for each language; they come as Arrow, whose memory is a small part of that of rows."""
+    of = F.map_from_entries("by")
+    counts = [F.coalesce(F.try_element_at(of, F.lit(lang)), F.lit(0)).alias(f"c{i}") for i, lang in enumerate(languages)]
+    parts = (most_frequent(by_word, k), most_frequent_by_language(by_word, max(1, k // max(1, len(languages)))))
+    rows = pa.concat_tables([part.select("word", "n", *counts).toArrow() for part in parts])
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    if not len(rows):
+        return rows
+    word = rows.column("word").chunk(0)  # a word of both parts has one count, so its rows are neighbours
+    return rows.filter(pa.concat_arrays([pa.array([True]), pc.not_equal(word[1:], word[:-1])]))
+
+
+def _scores(rows: pa.Table, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Smoothed log frequency by language, centred on each row so that an unknown one weighs nothing."""
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts = np.full((len(rows), len(languages)), 0.5)
-    for r, row in enumerate(rows):
-        for lang, n in row["by"]:
-            counts[r, at[lang]] += n
+    if not len(rows):
+        return {}, np.zeros((0, len(languages)))
+    counts = np.column_stack([rows.column(f"c{i}").to_numpy() for i in range(len(languages))]) + 0.5
     logs = np.log(counts) - np.log(totals + 1)
-    return {row["word"]: r for r, row in enumerate(rows)}, logs - logs.mean(axis=1, keepdims=True) if len(rows) else np.zeros((0, len(languages)))
+    return {word: r for r, word in enumerate(rows.column("word").to_pylist())}, logs - logs.mean(axis=1, keepdims=True)
 
 
 def most_frequent_by_language(by_word: DataFrame, share: int) -> DataFrame:
@@ -166,10 +178,9 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
 
-    def top(counts: DataFrame, k: int) -> tuple[DataFrame, list]:
+    def top(counts: DataFrame, k: int) -> tuple[DataFrame, pa.Table]:
         by_word = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")))
-        kept = {r["word"]: r for part in (most_frequent(by_word, k), most_frequent_by_language(by_word, max(1, k // max(1, len(languages))))) for r in part.collect()}
-        return by_word, sorted(kept.values(), key=lambda r: (-r["n"], r["word"]))
+        return by_word, _held(by_word, k, languages)
 
     gram_counts = map_batches(words, _count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = np.array([totals[x] for x in languages], dtype=float)
