@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, toxicity, urlfilter
+from . import collocations, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
         "op10_language_id": langid.op10_language_id,
+        "op11_collocations": collocations.op11_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_fingerprints": merkle.OP3_SQL,
         "op6_url_filter": urlfilter.OP6_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
