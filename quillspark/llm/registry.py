@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, toxicity, urlfilter
+from . import collocations, crosspolytope, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, toxicity, urlfilter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": licenses.op9_licenses,
         "op10_language_id": langid.op10_language_id,
         "op11_collocations": collocations.op11_collocations,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_embedding_neardup": crosspolytope.op13_embedding_neardup,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_fingerprints": merkle.OP3_SQL,
         "op6_url_filter": urlfilter.OP6_SQL,
         "op11_collocations": collocations.OP11_SQL,
+        "op13_embedding_neardup": crosspolytope.OP13_SQL,
     }
