@@ -51,8 +51,7 @@ def main(args: list[str] | None = None) -> None:
     spark = get_session()
     folder = options.results_dir
     raw = records.canonical_columns(records.read_records(spark, options.input))
-    steps = corpus.stages(raw)
-    sinks.write_corpus(corpus.before_screens(steps), f"{folder}/screened_corpus")
+    audit = corpus.audited(raw, f"{folder}/screened_corpus")
     judged = spark.read.parquet(f"{folder}/screened_corpus")
     included = judged.filter("Education_Screen_Disposition = 'include_algorithm'")
     print(class_counts(included))
@@ -60,7 +59,7 @@ def main(args: list[str] | None = None) -> None:
     sinks.write_text(spark, modules.methods_text(judged), f"{folder}/education_screen_methods.md")
     write(modules.a10(included), folder)
     sinks.write_corpus(included.filter("Tech_Category is not null"), f"{folder}/classified_corpus")
-    write(modules.a0(corpus.audit(raw)), folder)
+    write(modules.a0(audit), folder)
     kept = modules.prepared(spark.read.parquet(f"{folder}/classified_corpus"))
     failed = []
     for name, module in modules.MODULES.items():

@@ -60,6 +60,9 @@ def joined_lower(fields: list[ColumnLike], padded: bool = False) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" ")) if padded else text
 
 
+# One search for each term: for the short lists of a query; ``scan`` reads a text once for long ones.
+
+
 def has(text: ColumnLike, term: str) -> Column:
     return F.contains(col(text), F.lit(term))
 

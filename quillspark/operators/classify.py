@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
-from quillspark.functions.text import any_term, joined_lower, matched_labels, matched_terms, matches, number, present, term_score
+from quillspark.functions import scan
+from quillspark.functions.text import any_term, joined_lower, matched_labels, matches, number, present, term_score
 
 
 def essential(df: DataFrame, fields: list[str] | None = None, year: str = "Year") -> DataFrame:
@@ -21,7 +22,7 @@ def essential(df: DataFrame, fields: list[str] | None = None, year: str = "Year"
 
 def thematic(df: DataFrame, fields: list[str], terms: list[str] | None = None) -> DataFrame:
     """Rows whose joined fields hold any of the terms."""
-    return df.filter(any_term(joined_lower(fields, padded=True), lx.THEMATIC_TERMS if terms is None else terms))
+    return df.filter(scan.any_of(joined_lower(fields, padded=True), lx.THEMATIC_TERMS if terms is None else terms))
 
 
 def within_years(df: DataFrame, year: str = "Year", first: int = lx.YEAR_RANGE[0], last: int = lx.YEAR_RANGE[1]) -> DataFrame:
@@ -46,9 +47,19 @@ def texts(df: DataFrame, padded: bool) -> DataFrame:
 
 
 def classified(df: DataFrame) -> DataFrame:
-    """``Tech_Category`` and, where there is one, ``Orientation``, which does not read the index keywords."""
-    placed = texts(df, padded=True).withColumn("Tech_Category", technology(F.col("_class_text")))
-    return placed.withColumn("Orientation", F.when(F.col("Tech_Category").isNotNull(), orientation(F.col("_screen_text")))).drop("_class_text", "_screen_text")
+    """``Tech_Category`` and, where there is one, ``Orientation``, which does not read the index keywords.
+
+    Each of the two texts is read once, for the terms of all lists together.
+    """
+    signals = [*lx.VR_TERMS, *lx.AR_TERMS, *lx.MR_TERMS, *lx.XR_TERMS]
+    first = lambda found: (
+        F.when(scan.has_any(found, lx.MR_TERMS), "MR").when(scan.has_any(found, lx.XR_TERMS), "XR")
+        .when(scan.has_any(found, lx.VR_TERMS) & scan.has_any(found, lx.AR_TERMS), "Hybrid/Multi-technology").when(scan.has_any(found, lx.AR_TERMS), "AR").when(scan.has_any(found, lx.VR_TERMS), "VR")
+    )
+    leans = lambda found: F.when(F.size(scan.among(found, lx.PEDAGOGICAL_TERMS)) >= F.size(scan.among(found, lx.TECHNICAL_TERMS)), "Pedagogical").otherwise("Technical")
+    placed = texts(df, padded=True).withColumn("Tech_Category", scan.bound(scan.found_terms("_class_text", signals), first))
+    leaning = scan.bound(scan.found_terms("_screen_text", [*lx.PEDAGOGICAL_TERMS, *lx.TECHNICAL_TERMS]), leans)
+    return placed.withColumn("Orientation", F.when(F.col("Tech_Category").isNotNull(), leaning)).drop("_class_text", "_screen_text")
 
 
 def screened(df: DataFrame, fields: list[str] = lx.SCREEN_FIELDS) -> DataFrame:
@@ -60,7 +71,9 @@ def screened(df: DataFrame, fields: list[str] = lx.SCREEN_FIELDS) -> DataFrame:
     substantive = {k: p for k, p in lx.EDUCATION_PATTERNS.items() if k not in lx.GENERIC_LEARNING_LABELS}
     any_of = lambda patterns: matches("_screen", "|".join(f"(?:{p})" for p in patterns))
     counts = any_of(substantive.values()) | (any_of(lx.EDUCATION_PATTERNS.values()) & ~any_of(lx.MACHINE_LEARNING_PATTERNS))
-    out = df.withColumn("_screen", joined_lower([f for f in fields if f in df.columns])).withColumn("Has_Education_Cue", counts)
+    every = [*lx.EDUCATION_PATTERNS.values(), *lx.CLINICAL_PATTERNS.values(), *lx.MACHINE_LEARNING_PATTERNS]
+    windows = scan.cue_windows(joined_lower([f for f in fields if f in df.columns]), every, scan.pattern_words(every))
+    out = df.withColumn("_screen", windows).withColumn("Has_Education_Cue", counts)
     cue = F.col("Has_Education_Cue")
     return out.withColumns(
         {
@@ -81,8 +94,11 @@ def classification_trace(df: DataFrame) -> DataFrame:
         "Matched_Exclusion_terms": lx.EXCLUSION_TERMS, "Matched_Hardware_rescue_terms": lx.HARDWARE_TERMS,
     }
     leanings = {"Matched_Technical_terms": lx.TECHNICAL_TERMS, "Matched_Pedagogical_terms": lx.PEDAGOGICAL_TERMS}
-    found = {n: matched_terms("_class_text", t) for n, t in signals.items()} | {n: matched_terms("_screen_text", t) for n, t in leanings.items()}
-    return texts(df, padded=False).withColumns(found).drop("_class_text", "_screen_text")
+    both = (("_class_text", signals), ("_screen_text", leanings))
+    hits = {text: scan.found_terms(text, [t for terms in lists.values() for t in terms]) for text, lists in both}
+    shown = lambda text, terms: F.array_join(F.transform(scan.among(F.col(text), terms), lambda term: F.trim(term)), "; ")
+    traced = texts(df, padded=False).withColumns(hits).withColumns({n: shown(text, terms) for text, lists in both for n, terms in lists.items()})
+    return traced.drop("_class_text", "_screen_text")
 
 
 def scope_signals(text: Column) -> dict[str, Column]:

@@ -22,15 +22,14 @@ def _digest(columns: list[str]) -> Column:
 
 
 def exact(df: DataFrame, row: str = "_row_id") -> DataFrame:
-    """One row of each set equal in all other columns (nulls equal): the least ``row``, which numbers the rows.
+    """One row of each set equal in all other columns (nulls equal): the least ``row``, one of rows that share it; a null number comes last.
 
-    Only digests and row numbers are shuffled: the numbers of the rows that go
-    are joined to the table, by broadcast where adaptive execution finds them few.
+    One shuffle, by digest, of rows that the window's group limit has thinned
+    to one of each digest and task before: copies, however many, do not meet in
+    a task, and repeated or null numbers lose nothing.
     """
-    hashed = df.select(F.col(f"`{row}`").alias("row"), _digest([c for c in df.columns if c != row]).alias("digest"))
-    first = hashed.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = hashed.join(first, "digest").filter("row > first").select(F.col("row").alias(row))
-    return df.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.withColumn("_digest", _digest([c for c in df.columns if c != row]))
+    return survivors(hashed, ["_digest"], [F.asc_nulls_last(row)]).drop("_digest")
 
 
 def survivors(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
@@ -51,15 +50,25 @@ def order_after_key(key: str, quality: Column, row: str = "_row_id") -> Column:
     return F.struct((~has).alias("bare"), F.when(has, -quality).otherwise(F.lit(0)).alias("quality"), F.col(row).alias("row"))
 
 
-def guarded(df: DataFrame, keys: list[str], doi: str, quality: Column, order: str = "_row_id") -> DataFrame:
+def guarded(df: DataFrame, keys: list[str], doi: str, quality: Column, order: str = "_row_id", salts: int = 32) -> DataFrame:
     """Of rows equal in all ``keys`` the best one; where they name several DOIs, the best of each and of those without.
 
     Rows with a blank key stay. ``doi`` is a normalised column, empty if absent.
+    Two levels keep a key with a large share of all rows out of one task: the
+    best row of each key, DOI and salt goes on to the best of each key and DOI;
+    whether a key names several DOIs follows from the least and the greatest
+    one, which the second level carries along.
     """
     complete = reduce(lambda a, b: a & b, [present(F.col(k).cast("string")) for k in keys])
+    best = [F.desc("_quality"), F.asc(order)]
     whole = df.withColumn("_quality", quality).withColumn("_alone", F.when(~complete, F.col(order)))
-    group = Window.partitionBy(*keys, "_alone")
-    tried = whole.withColumn("_dois", F.size(F.collect_set(F.when(F.col(doi) != "", F.col(doi))).over(group)))
-    tried = tried.withColumn("_sub", F.when(F.col("_dois") > 1, F.col(doi)).otherwise(F.lit("")))
-    # the second window's keys hold the first one's, so rows are shuffled once
-    return survivors(tried, [*keys, "_alone", "_sub"], [F.desc("_quality"), F.asc(order)]).drop("_dois", "_sub", "_quality", "_alone")
+    named = F.when(F.col(doi) != "", F.col(doi))
+    salted = whole.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    # one of each key, DOI and salt; then one of each key and DOI: at most as many rows a key as it names DOIs
+    each = survivors(survivors(salted, [*keys, "_alone", doi, "_salt"], best).drop("_salt"), [*keys, "_alone", doi], best)
+    # a key's DOIs are counted by least and greatest; the group is now one row a DOI, so the range is a mergeable aggregate
+    span = each.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_alone").alias("_a")).agg((F.min(named) < F.max(named)).alias("_several"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_alone").eqNullSafe(F.col("_a")))
+    tried = each.join(span, same).drop(*[f"_k{i}" for i in range(len(keys))], "_a")
+    tried = tried.withColumn("_sub", F.when(F.coalesce("_several", F.lit(False)), F.col(doi)).otherwise(F.lit("")))
+    return survivors(tried, [*keys, "_alone", "_sub"], best).drop("_several", "_sub", "_quality", "_alone")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,14 +225,61 @@ def sensitivity(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int
     return out.withColumn("density", F.when(F.col("linked") > 1, 2.0 * F.col("edges") / (F.col("linked") * (F.col("linked") - 1))).otherwise(0.0))
 
 
-def matrix(items: DataFrame, doc: str, item: str, k: int = 10) -> DataFrame:
-    """Co-occurrence of the k most frequent items as (row, column, n), symmetric; the diagonal is document frequency."""
-    top = frequencies(items, doc, item).orderBy(F.desc("freq"), F.asc("id")).limit(k)
+def matrix(items: DataFrame, doc: str, item: str, k: int = 10, order: str | None = None) -> DataFrame:
+    """Co-occurrence of the k most frequent items as (row, column, n), symmetric; the diagonal is document frequency.
+
+    Of equally frequent items the first seen in ``order`` (a column of
+    ``items``) is among the k, or the first by name without one.
+    """
+    top = frequencies(items, doc, item)
+    if order:
+        top = top.join(items.groupBy(F.col(item).alias("id")).agg(F.min(order).alias("_first")), "id").orderBy(F.desc("freq"), F.asc("_first")).limit(k).drop("_first")
+    else:
+        top = top.orderBy(F.desc("freq"), F.asc("id")).limit(k)
     pairs = pair_counts(items, doc, item, top)
     turned = pairs.select(F.col("dst").alias("row"), F.col("src").alias("column"), F.col("weight").alias("n"))
     return pairs.select(F.col("src").alias("row"), F.col("dst").alias("column"), F.col("weight").alias("n")).unionByName(turned).unionByName(top.select(F.col("id").alias("row"), F.col("id").alias("column"), F.col("freq").alias("n")))
 
 
+def spanning_forest(edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """The edges ``(graph, src, dst, weight)`` of a maximum spanning forest of each graph.
+
+    Rounds: every component takes its best edge out of it, by weight, then by
+    ends, an order in which no two edges are equal, so that chosen edges close
+    no ring; components that an edge joins become one, by ``components``. Each
+    round at least halves the components that have an edge left. Rounds are
+    written tables; the edges within a component go as soon as it forms.
+    """
+    left = checkpointed(edges.filter("src <> dst").groupBy(F.col(graph).alias("graph"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight")))
+    left = left.select("*", F.col("src").alias("a"), F.col("dst").alias("b"))
+    kept = []
+    while not left.isEmpty():
+        ends = left.unionByName(left.withColumns({"a": F.col("b"), "b": F.col("a")}))
+        rank = F.struct(-F.col("weight"), "src", "dst")
+        best = ends.groupBy("graph", "a").agg(F.min_by(F.struct("src", "dst", "weight", "b"), rank).alias("e"))
+        chosen = checkpointed(best.select("graph", "a", "e.b", "e.src", "e.dst", "e.weight"))
+        kept.append(chosen.select("graph", "src", "dst", "weight").distinct())
+        joined = components(chosen.select(F.struct("graph", F.col("a").alias("id")).alias("src"), F.struct("graph", F.col("b").alias("id")).alias("dst")))
+        root = joined.select("id.graph", F.col("id.id").alias("a"), F.col("component.id").alias("r"))
+        moved = left.join(root, ["graph", "a"]).withColumn("a", F.col("r")).drop("r").join(root.withColumnRenamed("a", "b"), ["graph", "b"]).withColumn("b", F.col("r")).drop("r")
+        left = checkpointed(moved.filter("a <> b").select("graph", "src", "dst", "weight", "a", "b"))
+    out = edges.select(F.col(graph).alias("graph"), "src", "dst", "weight").limit(0)
+    for part in kept:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("graph", graph)
+
+
+def forest_components(forest: DataFrame, thresholds: DataFrame, graph: str = "graph") -> DataFrame:
+    """``(config, id, component)``: the components that edges of at least a weight make, for every row ``(config, graph, least)`` of ``thresholds``.
+
+    They are those of the forest's edges of that weight, so the graph's other
+    edges are not looked at; all thresholds take the same rounds together.
+    """
+    cut = forest.join(F.broadcast(thresholds), graph).filter("weight >= least")  # a row for each configuration
+    named = lambda c: F.struct("config", F.col(c).alias("id"))
+    found = components(cut.select(named("src").alias("src"), named("dst").alias("dst")))
+    return found.select("id.config", "id.id", F.col("component.id").alias("component"))
+
 
 def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int]], baseline: tuple[int, int]) -> DataFrame:
     """Communities, modularity and agreement with the baseline's communities for every (min_freq, min_edge).
@@ -249,6 +294,12 @@ def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int,
     edges = pair_counts(items, doc, item, nodes).filter(F.col("weight") >= min(e for _, e in grid))
     known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
     fit = checkpointed(known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("config", "src", "dst", "weight"))
+    measured = community_measures(fit, f"{baseline[0]}/{baseline[1]}")
+    return params.join(measured, "config", "left").select("min_freq", "min_edge", F.coalesce("communities", F.lit(0)).alias("communities"), "modularity", "ari")
+
+
+def community_measures(fit: DataFrame, baseline: str) -> DataFrame:
+    """``(config, communities, modularity, ari)`` of the graphs ``fit(config, src, dst, weight)``, stored; agreement is with the baseline's communities."""
     labels = checkpointed(louvain(fit, "config"))
     placed = fit.join(labels.select("config", F.col("id").alias("src"), F.col("cluster").alias("cs")), ["config", "src"]).join(labels.select("config", F.col("id").alias("dst"), F.col("cluster").alias("cd")), ["config", "dst"])
     ends = placed.select("config", F.explode(F.array("cs", "cd")).alias("c"), "weight").groupBy("config", "c").agg(F.sum("weight").alias("d"))
@@ -256,82 +307,50 @@ def community_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int,
     whole = placed.groupBy("config").agg(F.sum("weight").cast("double").alias("m"))
     parts = ends.join(inside, ["config", "c"], "left").join(whole, "config")
     quality = parts.groupBy("config").agg(F.count(F.lit(1)).alias("communities"), F.sum(F.coalesce("w", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
-    base = labels.filter(F.col("config") == f"{baseline[0]}/{baseline[1]}").select("id", F.col("cluster").alias("y"))
+    base = labels.filter(F.col("config") == baseline).select("id", F.col("cluster").alias("y"))
     table = labels.select("config", "id", F.col("cluster").alias("x")).join(base, "id").groupBy("config", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     chosen = lambda df, name: df.groupBy("config").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
     sums = chosen(table, "s").join(chosen(table.groupBy("config", "x").agg(F.sum("n").alias("n")), "r"), "config").join(chosen(table.groupBy("config", "y").agg(F.sum("n").alias("n")), "c"), "config")
     counted = sums.join(table.groupBy("config").agg(F.sum("n").alias("t")), "config").filter("t >= 2")
     expected, most = F.col("r") * F.col("c") / (F.col("t") * (F.col("t") - 1) / 2), (F.col("r") + F.col("c")) / 2
     agreement = counted.select("config", F.when(most == expected, F.lit(1.0)).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
-    return params.join(quality, "config", "left").join(agreement, "config", "left").select("min_freq", "min_edge", F.coalesce("communities", F.lit(0)).alias("communities"), "modularity", "ari")
+    return quality.join(agreement, "config", "left")
 
 
-def _largest(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """The edges of the component with most nodes, the one with the least id of equal ones."""
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b, _ in edges:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    sizes: dict[str, int] = {}
-    for x in list(root):
-        sizes[find(x)] = sizes.get(find(x), 0) + 1
-    best = min(sizes, key=lambda r: (-sizes[r], r), default=None)
-    return [e for e in edges if find(e[0]) == best]
-
-
-def _quality(edges: list[tuple[str, str, float]], labels: dict[str, int]) -> float:
-    total = sum(w for _, _, w in edges)
-    inside, ends = {}, {}
-    for a, b, w in edges:
-        for x in (a, b):
-            ends[labels[x]] = ends.get(labels[x], 0.0) + w
-        if labels[a] == labels[b]:
-            inside[labels[a]] = inside.get(labels[a], 0.0) + w
-    return sum(inside.get(c, 0.0) / total - (d / (2 * total)) ** 2 for c, d in ends.items())
+def component_grid(edges: DataFrame, grid: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """The graphs ``(config, src, dst, weight)`` of every (min_freq, min_edge), and of each node its component.
 
-
-def _agreement(a: dict[str, int], b: dict[str, int]) -> float | None:
-    shared = a.keys() & b.keys()
-    if len(shared) < 2:
-        return None
-    pairs = lambda values: sum(n * (n - 1) / 2 for n in Counter(values).values())
-    both, left, right = pairs((a[x], b[x]) for x in shared), pairs(a[x] for x in shared), pairs(b[x] for x in shared)
-    expected, most = left * right / (len(shared) * (len(shared) - 1) / 2), (left + right) / 2
-    return 1.0 if most == expected else (both - expected) / (most - expected)
+    ``edges(src, dst, weight, fs, fd)`` are counted at the loosest thresholds;
+    a spanning forest for each least frequency serves all least weights.
+    """
+    spark = edges.sparkSession
+    configs = spark.createDataFrame([(f"{f}/{e}", f, e) for f, e in grid], "config string, graph long, least long")
+    by_frequency = edges.join(F.broadcast(configs.select("graph").distinct()), (F.col("fs") >= F.col("graph")) & (F.col("fd") >= F.col("graph"))).select("graph", "src", "dst", "weight")
+    graphs = checkpointed(by_frequency.join(F.broadcast(configs), "graph").filter("weight >= least").select("config", "src", "dst", "weight"))
+    return graphs, checkpointed(forest_components(spanning_forest(by_frequency), configs))
 
 
 def largest_component_grid(items: DataFrame, doc: str, item: str, grid: list[tuple[int, int]], baseline: tuple[int, int], max_nodes: int = 70) -> DataFrame:
     """Size, density, communities, modularity and agreement of the largest component for every (min_freq, min_edge).
 
-    Frequencies and pairs are counted once, repeats included. ``max_nodes``
-    bounds every graph to its square of edges, so the graphs together are one
-    small task, which also holds each against the baseline's communities.
+    Frequencies and pairs are counted once, repeats included; components are
+    cuts of a spanning forest. ``max_nodes`` bounds every graph to its square
+    of edges, so each graph's communities are a small task of their own.
     """
-    import pandas as pd
-
     spark = items.sparkSession
     grid = sorted({*grid, baseline})
-    params = F.broadcast(spark.createDataFrame(grid, "min_freq long, min_edge long"))  # a row for each configuration
+    params = F.broadcast(spark.createDataFrame([(f"{a}/{b}", a, b) for a, b in grid], "config string, min_freq long, min_edge long"))  # a row for each configuration
     nodes = checkpointed(eligible(frequencies(items, doc, item, False), min(f for f, _ in grid), max_nodes))
     edges = pair_counts(items, doc, item, nodes, False).filter(F.col("weight") >= min(e for _, e in grid))
-    known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
-    fit = known.crossJoin(params).filter("weight >= min_edge and fs >= min_freq and fd >= min_freq").select("min_freq", "min_edge", "src", "dst", "weight")
-
-    def measure(frame: pd.DataFrame) -> pd.DataFrame:
-        graphs = {k: _largest(sorted(zip(g["src"], g["dst"], g["weight"].astype(float), strict=True))) for k, g in frame.groupby(["min_freq", "min_edge"])}
-        labels = {k: louvain_labels(e) for k, e in graphs.items()}
-        rows = []
-        for k, e in graphs.items():
-            n = len(labels[k])
-            rows.append((*map(int, k), n, len(e), 2 * len(e) / (n * (n - 1)) if n > 1 else 0.0, len(set(labels[k].values())), _quality(e, labels[k]), _agreement(labels.get(baseline, {}), labels[k])))
-        return pd.DataFrame(rows, columns=["min_freq", "min_edge", "nodes", "edges", "density", "communities", "modularity", "ari"])
-
-    measured = fit.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(measure, "min_freq long, min_edge long, nodes long, edges long, density double, communities long, modularity double, ari double")
-    return params.join(measured, ["min_freq", "min_edge"], "left").fillna(0, ["nodes", "edges", "density", "communities"])
+    known = checkpointed(edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst"))
+    graphs, placed = component_grid(known, grid)
+    sizes = placed.groupBy("config", "component").agg(F.count(F.lit(1)).alias("nodes"))
+    most = sizes.groupBy("config").agg(F.max("nodes").alias("nodes"))
+    largest = sizes.join(most, ["config", "nodes"]).groupBy("config", "nodes").agg(F.min("component").alias("component"))  # the least of equally large ones
+    member = placed.join(largest, ["config", "component"], "left_semi").select("config", F.col("id").alias("src"))
+    fit = checkpointed(graphs.join(member, ["config", "src"], "left_semi"))
+    links = fit.groupBy("config").agg(F.count(F.lit(1)).alias("edges"))
+    measured = largest.select("config", "nodes").join(links, "config").join(community_measures(fit, f"{baseline[0]}/{baseline[1]}"), "config", "left")
+    density = F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
+    out = params.join(measured, "config", "left").fillna(0, ["nodes", "edges", "communities"])
+    return out.select("min_freq", "min_edge", "nodes", "edges", F.coalesce(density, F.lit(0.0)).alias("density"), "communities", "modularity", "ari")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import top_k
+from .order import first_seen
 
 CANDIDATES = 200
 LEAST_RATIO = 90
@@ -15,11 +16,15 @@ def exploded(df: DataFrame, words: Column, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(words).alias("pos", "keyword"))
 
 
-def top_keywords(df: DataFrame, words: Column, k: int = 10, groups: list[str] | None = None) -> DataFrame:
-    """The k most frequent keywords, of each group if there are groups; ties by keyword."""
+def top_keywords(df: DataFrame, words: Column, k: int = 10, groups: list[str] | None = None, order: str | Column | None = None) -> DataFrame:
+    """The k most frequent keywords, of each group if there are groups; ties by first occurrence in ``order`` and in the list, or by keyword without one."""
     groups = groups or []
-    counts = df.select(*groups, F.explode(words).alias("keyword")).groupBy(*groups, "keyword").agg(F.count(F.lit(1)).alias("n"))
-    return top_k(counts, k, [F.desc("n"), F.asc("keyword")], groups)
+    if order is None:
+        counts = df.select(*groups, F.explode(words).alias("keyword")).groupBy(*groups, "keyword").agg(F.count(F.lit(1)).alias("n"))
+        return top_k(counts, k, [F.desc("n"), F.asc("keyword")], groups)
+    each = df.select(*groups, (F.col(order) if isinstance(order, str) else order).alias("_o"), F.posexplode(words).alias("_at", "keyword"))
+    counts = each.groupBy(*groups, "keyword").agg(F.count(F.lit(1)).alias("n"), first_seen("_o", "_at").alias("_first"))
+    return top_k(counts, k, [F.desc("n"), F.asc("_first")], groups).drop("_first")
 
 
 def rank_aligned(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -90,10 +90,11 @@ def majority(df: DataFrame, groups: list[str], value: str, order: str | Column)
     return counted.groupBy(*groups).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), "first")).alias("m")).select(*groups, f"m.{value}", "m.n")
 
 
-def source_table(df: DataFrame, source: str, cites: str, k: int = 20) -> DataFrame:
-    """Articles, citations, citations an article and h-index of the k largest sources."""
-    stats = df.groupBy(source).agg(F.count(F.lit(1)).alias("articles"), F.sum(F.coalesce(F.col(cites).cast("double"), F.lit(0.0))).alias("tc"))
-    top = top_k(stats, k, [F.desc("articles"), F.asc(source)])
+def source_table(df: DataFrame, source: str, cites: str, k: int = 20, order: str | None = None) -> DataFrame:
+    """Articles, citations, citations an article and h-index of the k largest sources; ties by the first row in ``order``, or by name without one."""
+    first = F.min(order) if order else F.first(F.lit(None).cast("long"))
+    stats = df.groupBy(source).agg(F.count(F.lit(1)).alias("articles"), F.sum(F.coalesce(F.col(cites).cast("double"), F.lit(0.0))).alias("tc"), first.alias("_first"))
+    top = top_k(stats, k, [F.desc("articles"), F.asc("_first"), F.asc(source)]).drop("_first")
     return top.join(h_index(df.join(top.select(source), source, "left_semi"), [source], cites), source).select("rank", source, "articles", "tc", (F.col("tc") / F.col("articles")).alias("cpp"), "h_index")
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import entities, lexicon as lx, text as tx
-from quillspark.operators import audit, classify, collab, dedup, dialect, graph, keywords, metrics
-from quillspark.plans.fixture import COLUMNS, RECORD_NAMES, RECORDS_SQL, records
+from quillspark.operators import audit, classify, collab, dedup, dialect, graph, keywords, metrics, order
+from quillspark.plans.export import EXPORT_SQL, records
+from quillspark.plans.fixture import COLUMNS, RECORD_NAMES
 from quillspark.session import table
 from quillspark.sources.records import canonical_columns, read_records
 
@@ -325,7 +326,7 @@ def orientation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _padded(spark, sf_dir).select("doc_id", tx.term_score("t", DOC_TECHNICAL).alias("technical"), tx.term_score("t", DOC_PEDAGOGICAL).alias("pedagogical"), classify.orientation(F.col("t"), DOC_TECHNICAL, DOC_PEDAGOGICAL).alias("orientation"))
 
 
-# The record fixture: every rule with the fixed term lists
+# Records: every rule with the fixed term lists, over the export that the given tables make
 
 
 def _quoted(s: str) -> str:
@@ -336,13 +337,16 @@ def _q(terms: list[str], text: str = "t") -> str:
     return "(" + " OR ".join(f"contains({text}, '{_quoted(x)}')" for x in terms) + ")"
 
 
-_R = f"r AS ({RECORDS_SQL}),\nt AS (SELECT *, ' ' || lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) || ' ' AS t, lower(concat_ws(' ', title, abstract, author_keywords)) AS s FROM r)"
+_R = f"r AS ({EXPORT_SQL}),\nt AS (SELECT *, ' ' || lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) || ' ' AS t, lower(concat_ws(' ', title, abstract, author_keywords)) AS s FROM r)"
 
 
-@query(f"""WITH {_R}, c AS (SELECT *, CASE WHEN {_q(lx.MR_TERMS)} THEN 'MR' WHEN {_q(lx.XR_TERMS)} THEN 'XR' WHEN {_q(lx.VR_TERMS)} AND {_q(lx.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(lx.AR_TERMS)} THEN 'AR' WHEN {_q(lx.VR_TERMS)} THEN 'VR' END AS category FROM t)
+_CLASS = f"CASE WHEN {_q(lx.MR_TERMS)} THEN 'MR' WHEN {_q(lx.XR_TERMS)} THEN 'XR' WHEN {_q(lx.VR_TERMS)} AND {_q(lx.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(lx.AR_TERMS)} THEN 'AR' WHEN {_q(lx.VR_TERMS)} THEN 'VR' END"
+
+
+@query(f"""WITH {_R}, c AS (SELECT *, {_CLASS} AS category FROM t)
 SELECT row_id, category, CASE WHEN category IS NOT NULL THEN CASE WHEN {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END END AS orientation FROM c""")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classified(records(spark)).select(F.col("_row_id").alias("row_id"), F.col("Tech_Category").alias("category"), F.col("Orientation").alias("orientation"))
+    return classify.classified(records(spark, sf_dir)).select(F.col("_row_id").alias("row_id"), F.col("Tech_Category").alias("category"), F.col("Orientation").alias("orientation"))
 
 
 def _labels_sql(patterns: dict[str, str]) -> str:
@@ -359,7 +363,7 @@ _SUBSTANTIVE = [p for k, p in lx.EDUCATION_PATTERNS.items() if k not in lx.GENER
 @query(f"""WITH {_R}, e AS (SELECT *, {_any_sql(_SUBSTANTIVE)} OR ({_any_sql(lx.EDUCATION_PATTERNS.values())} AND NOT {_any_sql(lx.MACHINE_LEARNING_PATTERNS)}) AS cue FROM t)
 SELECT row_id, cue, {_any_sql(lx.CLINICAL_PATTERNS.values())} AS clinical, CASE WHEN cue THEN {_labels_sql(lx.EDUCATION_PATTERNS)} ELSE '' END AS education_cues, {_labels_sql(lx.CLINICAL_PATTERNS)} AS clinical_cues, CASE WHEN cue THEN 'include_algorithm' ELSE 'exclude_algorithm' END AS disposition FROM e""")
 def record_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classify.screened(records(spark), ["Title", "Abstract", "Author Keywords"])
+    out = classify.screened(records(spark, sf_dir), ["Title", "Abstract", "Author Keywords"])
     return out.select(F.col("_row_id").alias("row_id"), F.col("Has_Education_Cue").alias("cue"), F.col("Has_Clinical_Use_Cue").alias("clinical"), F.col("Matched_Education_Cues").alias("education_cues"), F.col("Matched_Clinical_Use_Cues").alias("clinical_cues"), F.col("Education_Screen_Disposition").alias("disposition"))
 
 
@@ -373,12 +377,12 @@ def _terms_sql(text: str, terms: list[str]) -> str:
 @query(f"""WITH {_R}, u AS (SELECT *, lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) AS u FROM t)
 SELECT row_id, {', '.join(f'{_terms_sql(text, terms)} AS matched_{name}_terms' for name, (text, terms) in _TRACED.items())} FROM u""")
 def record_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classification_trace(records(spark)).select(F.col("_row_id").alias("row_id"), *[F.col(f"matched_{n}_terms").alias(f"matched_{n}_terms") for n in _TRACED])
+    return classify.classification_trace(records(spark, sf_dir)).select(F.col("_row_id").alias("row_id"), *[F.col(f"matched_{n}_terms").alias(f"matched_{n}_terms") for n in _TRACED])
 
 
 @query(f"""WITH {_R} SELECT CAST(sum(CAST({_q(lx.EDUCATION_SIGNALS, 's')} AS INT)) AS BIGINT) AS education, CAST(sum(CAST({_q(lx.HEALTH_SIGNALS, 's')} AS INT)) AS BIGINT) AS health, count(*) AS n FROM t""")
 def scope_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = records(spark).withColumn("s", tx.joined_lower(["Title", "Abstract", "Author Keywords"]))
+    text = records(spark, sf_dir).withColumn("s", tx.joined_lower(["Title", "Abstract", "Author Keywords"]))
     flags = classify.scope_signals(F.col("s"))
     return text.agg(F.sum(flags["Education_signal"].cast("long")).alias("education"), F.sum(flags["Health_or_clinical_signal"].cast("long")).alias("health"), F.count(F.lit(1)).alias("n"))
 
@@ -386,7 +390,7 @@ def scope_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_R} SELECT row_id, trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title_key,
 regexp_replace(coalesce(trim(lower(doi)), ''), '^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '') AS doi_key FROM r""")
 def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), tx.title_key("Title").alias("title_key"), tx.doi_key("DOI").alias("doi_key"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), tx.title_key("Title").alias("title_key"), tx.doi_key("DOI").alias("doi_key"))
 
 
 _ALIAS = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lx.COUNTRY_ALIASES.items()) + " ELSE array_to_string(list_transform(string_split(k, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END"
@@ -398,7 +402,7 @@ k AS (SELECT row_id, pos, CASE WHEN len(parts) > 0 THEN regexp_replace(lower(par
 c AS (SELECT row_id, pos, CASE WHEN k IS NOT NULL AND k NOT IN ('nan', 'none', 'null', 'n/a') THEN {_ALIAS} END AS c FROM k)
 SELECT row_id, coalesce(array_to_string(list_sort(list_distinct(list(c) FILTER (c IS NOT NULL))), '; '), '') AS countries, max(CASE WHEN pos = 1 THEN c END) AS leader FROM c GROUP BY row_id""")
 def record_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.countries("Affiliations"), "; ").alias("countries"), entities.leading_country("Affiliations").alias("leader"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), F.array_join(entities.countries("Affiliations"), "; ").alias("countries"), entities.leading_country("Affiliations").alias("leader"))
 
 
 def _in(values) -> str:
@@ -436,13 +440,13 @@ e AS (SELECT *, coalesce(list_filter(parts, lambda p: length(p) >= 3 AND {_any_p
 f AS (SELECT *, CASE WHEN parts[-1] <> '' THEN best || ' (' || parts[-1] || ')' ELSE best END AS long FROM e)
 SELECT f.row_id, coalesce(institutions, '') AS institutions, CASE WHEN length(affiliations) >= 3 THEN coalesce({_SHOWN}, CASE WHEN length(long) > 40 THEN left(long, 40) || '..' ELSE long END) END AS label, {_standard_sql('affiliations')} AS standard FROM f LEFT JOIN a ON a.row_id = f.row_id""")
 def record_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(entities.institutions("Affiliations"), "; ").alias("institutions"), entities.display_institution("Affiliations").alias("label"), entities.standard_affiliations("Affiliations").alias("standard"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), F.array_join(entities.institutions("Affiliations"), "; ").alias("institutions"), entities.display_institution("Affiliations").alias("label"), entities.standard_affiliations("Affiliations").alias("standard"))
 
 
 @query(f"""WITH {_R}, n AS (SELECT row_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(trim(x)), '\\s+', ' ', 'g'), ',\\s*', ', ', 'g'), '\\.([A-Za-z])', '. \\1', 'g') AS name, pos FROM (SELECT row_id, unnest(string_split(authors, ';')) AS x, generate_subscripts(string_split(authors, ';'), 1) AS pos FROM r WHERE authors IS NOT NULL) WHERE trim(x) <> '')
 SELECT row_id, string_agg(name, '; ' ORDER BY pos) AS authors FROM n GROUP BY row_id""")
 def record_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), entities.standard_authors("Authors").alias("authors")).filter("authors <> ''")
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), entities.standard_authors("Authors").alias("authors")).filter("authors <> ''")
 
 
 @query(rf"""WITH {_R}, p AS (SELECT row_id, list_transform(string_split(x, ','), lambda y: trim(y)) AS parts FROM (SELECT row_id, unnest(string_split(cited_works, ';')) AS x FROM r WHERE cited_works IS NOT NULL) WHERE trim(x) <> ''),
@@ -450,7 +454,7 @@ q AS (SELECT row_id, parts[1] AS surname, parts[2] AS given, regexp_extract_all(
 SELECT DISTINCT row_id, regexp_replace(surname || ', ' || array_to_string(list_transform(names, lambda t: upper(t[1])), '.') || '.', '\s+', ' ', 'g') AS author FROM q
 WHERE length(surname) BETWEEN 1 AND 45 AND lower(surname) NOT IN {_in(lx.NOT_AUTHORS)} AND regexp_matches(surname, '[A-Za-zÀ-ž]') AND length(given) <= 50 AND len(names) BETWEEN 1 AND 5""")
 def record_cited_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), F.explode(entities.cited_authors("References")).alias("author"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), F.explode(entities.cited_authors("References")).alias("author"))
 
 
 _COLUMN_SQL = dict(zip(COLUMNS, RECORD_NAMES, strict=True))
@@ -483,24 +487,24 @@ def _audit_sql() -> str:
 def record_pipeline_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans import corpus
 
-    return corpus.audit(records(spark))
+    return corpus.audit(records(spark, sf_dir))
 
 
 @query(f"SELECT row_id FROM (WITH {_PIPELINE} SELECT row_id FROM p9)")
 def record_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans import corpus
 
-    return corpus.corpus(records(spark)).select(F.col("_row_id").alias("row_id"))
+    return corpus.corpus(records(spark, sf_dir)).select(F.col("_row_id").alias("row_id"))
 
 
 @query(f"""WITH {_R} SELECT row_id, CAST(TRY_CAST(trim(year) AS DOUBLE) AS INT) AS year FROM t WHERE {" AND ".join(f"coalesce(trim({_COLUMN_SQL[c]}), '') <> ''" for c in lx.ESSENTIAL_FIELDS)} AND TRY_CAST(trim(year) AS DOUBLE) BETWEEN {lx.YEAR_RANGE[0]} AND {lx.YEAR_RANGE[1]}""")
 def record_essential_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.within_years(classify.essential(records(spark))).select(F.col("_row_id").alias("row_id"), F.col("Year").alias("year"))
+    return classify.within_years(classify.essential(records(spark, sf_dir))).select(F.col("_row_id").alias("row_id"), F.col("Year").alias("year"))
 
 
 @query(f"WITH {_R} SELECT row_id, {_RICH} AS filled FROM r")
 def record_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in COLUMNS]).alias("filled"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in COLUMNS]).alias("filled"))
 
 
 def _list_sql(field: str, item: str, keep: str) -> str:
@@ -515,7 +519,7 @@ def record_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author tokens, keyword tokens and keywords by the fixed table."""
     words = entities.keywords("Author Keywords")
     lists = {"names": entities.author_names("Authors"), "words": words, "mapped": F.array_sort(entities.mapped_keywords(words))}
-    return records(spark).select(F.col("_row_id").alias("row_id"), *[F.array_join(c, "|").alias(n) for n, c in lists.items()])
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), *[F.array_join(c, "|").alias(n) for n, c in lists.items()])
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS eid, 'NA, "' || lang || '";' || chr(10) || replace(text, chr(13), ' ') AS title, CASE WHEN source = 'web' THEN NULL ELSE source END AS source, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS keywords FROM documents""")
@@ -717,21 +721,30 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stratified(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", rank, 50).select("source", "doc_id")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {y}, '{_quoted(t)}')" for c, v in lx.MILESTONES.items() for y, t in v) + ") v(category, year, milestone)")
+@query(f"""WITH {_R}, c AS (SELECT {_CLASS} AS category, CAST(TRY_CAST(trim(year) AS DOUBLE) AS INT) AS y FROM t),
+m AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {y}, '{_quoted(t)}')" for c, v in lx.MILESTONES.items() for y, t in v)}) v(category, year, milestone))
+SELECT m.category, m.year, milestone, count(c.category) AS records FROM m LEFT JOIN c ON c.category = m.category AND y = m.year GROUP BY ALL""")
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, y, t) for c, v in lx.MILESTONES.items() for y, t in v], "category string, year int, milestone string")
+    """The milestones of each category with the category's records of that year."""
+    marks = spark.createDataFrame([(c, y, t) for c, v in lx.MILESTONES.items() for y, t in v], "category string, year int, milestone string")
+    classes = classify.classified(records(spark, sf_dir)).select(F.col("Tech_Category").alias("category"), tx.number("Year").cast("int").alias("year"))
+    counts = classes.groupBy("category", "year").agg(F.count(F.lit(1)).alias("records"))
+    return marks.join(counts, ["category", "year"], "left").fillna(0, ["records"])
 
 
 # The dashboard dialect
 
 
-_DR = f"r AS ({RECORDS_SQL}),\nt AS (SELECT *, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''))) AS s, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''), ' ', coalesce(index_keywords, ''))) AS t FROM r)"
+_DR = f"r AS ({EXPORT_SQL}),\nt AS (SELECT *, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''))) AS s, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''), ' ', coalesce(author_keywords, ''), ' ', coalesce(index_keywords, ''))) AS t FROM r)"
+
 
+_DASH_CLASS = f"CASE WHEN {_q(dialect.EXCLUSION_TERMS)} AND NOT {_q(dialect.ANCHOR_TERMS)} THEN NULL WHEN {_q(dialect.MR_TERMS)} THEN 'MR/XR' WHEN {_q(dialect.VR_TERMS)} AND {_q(dialect.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(dialect.AR_TERMS)} THEN 'AR' WHEN {_q(dialect.VR_TERMS)} THEN 'VR' END"
 
-@query(f"""WITH {_DR} SELECT row_id, CASE WHEN {_q(dialect.EXCLUSION_TERMS)} AND NOT {_q(dialect.ANCHOR_TERMS)} THEN NULL WHEN {_q(dialect.MR_TERMS)} THEN 'MR/XR' WHEN {_q(dialect.VR_TERMS)} AND {_q(dialect.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(dialect.AR_TERMS)} THEN 'AR' WHEN {_q(dialect.VR_TERMS)} THEN 'VR' END AS category,
+
+@query(f"""WITH {_DR} SELECT row_id, {_DASH_CLASS} AS category,
 CASE WHEN {_score(dialect.PEDAGOGICAL_TERMS, 's')} >= {_score(dialect.TECHNICAL_TERMS, 's')} THEN 'Pedagogical' ELSE 'Technical' END AS orientation FROM t""")
 def dashboard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = records(spark).fillna("", lx.CLASSIFICATION_FIELDS)
+    whole = records(spark, sf_dir).fillna("", lx.CLASSIFICATION_FIELDS)
     texts = whole.select(F.col("_row_id").alias("row_id"), tx.joined_lower(lx.CLASSIFICATION_FIELDS).alias("t"), tx.joined_lower(lx.SCREEN_FIELDS).alias("s"))
     return texts.select("row_id", dialect.technology(F.col("t")).alias("category"), dialect.orientation(F.col("s")).alias("orientation"))
 
@@ -739,11 +752,11 @@ def dashboard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTED = "CASE regexp_replace(lower(trim(string_split(x, ',')[-1])), '[.\\s0-9]+$', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dialect.COUNTRY_NAMES.items()) + " END"
 
 
-@query(f"""WITH r AS ({RECORDS_SQL}), g AS (SELECT row_id, generate_subscripts(string_split(coalesce(affiliations, ''), ';'), 1) AS pos, unnest(string_split(coalesce(affiliations, ''), ';')) AS x FROM r), c AS (SELECT row_id, pos, {_LISTED} AS c FROM g),
+@query(f"""WITH r AS ({EXPORT_SQL}), g AS (SELECT row_id, generate_subscripts(string_split(coalesce(affiliations, ''), ';'), 1) AS pos, unnest(string_split(coalesce(affiliations, ''), ';')) AS x FROM r), c AS (SELECT row_id, pos, {_LISTED} AS c FROM g),
 f AS (SELECT row_id, c, min(pos) AS pos FROM c WHERE c IS NOT NULL GROUP BY ALL)
 SELECT r.row_id, coalesce((SELECT string_agg(c, '; ' ORDER BY pos) FROM f WHERE f.row_id = r.row_id), '') AS countries, (SELECT c FROM c WHERE c.row_id = r.row_id AND pos = 1) AS leader FROM r""")
 def dashboard_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select(F.col("_row_id").alias("row_id"), F.array_join(dialect.countries("Affiliations"), "; ").alias("countries"), dialect.leading_country("Affiliations").alias("leader"))
+    return records(spark, sf_dir).select(F.col("_row_id").alias("row_id"), F.array_join(dialect.countries("Affiliations"), "; ").alias("countries"), dialect.leading_country("Affiliations").alias("leader"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM documents)
@@ -772,7 +785,126 @@ def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialect.cards(_cited(spark, sf_dir), "category", "cites", PRIORITIES)
 
 
-@query()
+_DASH = rf"""c AS (SELECT row_id, {", ".join(rf"regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g') AS {c}" for c in RECORD_NAMES)} FROM ({EXPORT_SQL}) e),
+d2 AS (SELECT min(row_id) AS row_id, {", ".join(RECORD_NAMES)} FROM c GROUP BY {", ".join(RECORD_NAMES)}),
+d3 AS (SELECT * FROM d2 QUALIFY doi = '' OR row_number() OVER (PARTITION BY lower(doi) ORDER BY row_id) = 1),
+k4 AS (SELECT *, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM d3),
+d4 AS (SELECT * FROM k4 QUALIFY k = '' OR row_number() OVER (PARTITION BY k ORDER BY row_id) = 1),
+d5 AS (SELECT *, lower(concat_ws(' ', title, abstract, author_keywords)) AS s, lower(concat_ws(' ', title, abstract, author_keywords, index_keywords)) AS t FROM d4 WHERE title <> '' AND year <> '' AND source_title <> ''),
+d6 AS (SELECT * FROM d5 WHERE {_q(dialect.THEMATIC_TERMS, "s")}),
+d7 AS (SELECT *, {_DASH_CLASS} AS category FROM d6 WHERE TRY_CAST(regexp_extract(year, '^[+-]?[0-9]+') AS INT) BETWEEN {lx.YEAR_RANGE[0]} AND {lx.YEAR_RANGE[1]}),
+d8 AS (SELECT * FROM d7 WHERE category IS NOT NULL OR (SELECT count(category) FROM d7) = 0),
+n AS ({" UNION ALL ".join(f"SELECT {i} AS stage_no, 's{i}' AS stage, (SELECT count(*) FROM {t}) AS records" for i, t in enumerate(["c", "c", *[f"d{j}" for j in range(2, 9)]]))})"""
+
+
+@query(f"WITH {_DASH} SELECT *, coalesce(lag(records) OVER (ORDER BY stage_no), records) AS before, coalesce(lag(records) OVER (ORDER BY stage_no), records) - records AS removed FROM n")
 def dashboard_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(dialect.stages(records(spark)))]
+    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(dialect.stages(records(spark, sf_dir)))]
     return audit.with_removed(reduce(DataFrame.unionByName, counts))
+
+
+# Order of rows
+
+
+@query("SELECT o_orderkey AS doc, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS ord FROM orders")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gapless numbers by amount."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_totalprice")
+    return order.numbered(rows, F.desc("o_totalprice"), F.asc("doc"), name="ord").select("doc", "ord")
+
+
+@query(f"""WITH {_C}, q AS (SELECT *, row_number() OVER (ORDER BY year, amount DESC, doc) AS ord FROM c), s AS (SELECT author AS source, count(*) AS articles, sum(cites) AS tc, min(ord) AS first FROM q GROUP BY 1),
+t AS (SELECT *, row_number() OVER (ORDER BY articles DESC, first) AS rank FROM s QUALIFY rank <= 20),
+h AS (SELECT author, max(least(cites, n)) AS h FROM (SELECT author, cites, row_number() OVER (PARTITION BY author ORDER BY cites DESC) AS n FROM q) GROUP BY 1)
+SELECT rank, source, articles, CAST(tc AS DOUBLE) AS tc, round(CAST(tc AS DOUBLE) / articles, 4) AS cpp, h AS h_index FROM t JOIN h ON author = source""")
+def source_table_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of sources with equally many articles those seen first in the order of rows."""
+    rows = order.numbered(_cited(spark, sf_dir), "year", F.desc("amount"), "doc", name="ord").withColumnRenamed("author", "source")
+    return metrics.source_table(rows, "source", "cites", order="ord").withColumn("cpp", F.round("cpp", 4))
+
+
+@query("""WITH b AS (SELECT l_suppkey, l_orderkey, l_linenumber, p_name || ' ' || p_size AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT l_suppkey AS supplier, item AS keyword, count(*) AS n, min((l_orderkey, l_linenumber, item)) AS first FROM b GROUP BY ALL)
+SELECT supplier, row_number() OVER (PARTITION BY supplier ORDER BY n DESC, first) AS rank, keyword, n FROM n QUALIFY rank <= 5""")
+def keyword_topk_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equally frequent keywords of a group those seen first, by record and place in its list."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    baskets = lines.groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat_ws(" ", "p_name", "p_size").alias("item")))).getField("item").alias("items"))
+    return keywords.top_keywords(baskets, F.col("items"), 5, ["supplier"], "doc").select("supplier", "rank", "keyword", "n")
+
+
+# Networks and tables of the export
+
+
+COMPONENT_GRID = [(1, 1), (1, 30), (1, 45), (500, 45), (900, 45), (900, 55)]
+
+
+@query(f"""WITH RECURSIVE {_E}, q(min_freq, min_edge) AS (VALUES {', '.join(f'(CAST({a} AS BIGINT), CAST({b} AS BIGINT))' for a, b in COMPONENT_GRID)}),
+x AS (SELECT min_freq, min_edge, src, dst FROM q, e JOIN f a ON a.id = src JOIN f b ON b.id = dst WHERE weight >= min_edge AND a.freq >= min_freq AND b.freq >= min_freq),
+l AS (SELECT min_freq, min_edge, src AS a, dst AS b FROM x UNION ALL SELECT min_freq, min_edge, dst, src FROM x),
+w AS (SELECT DISTINCT min_freq, min_edge, a AS id, a AS seen FROM l UNION SELECT w.min_freq, w.min_edge, w.id, l.b FROM w JOIN l ON w.seen = l.a AND w.min_freq = l.min_freq AND w.min_edge = l.min_edge)
+SELECT min_freq, min_edge, id, min(seen) AS component FROM w GROUP BY ALL""")
+def component_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of every configuration, all cut from spanning forests."""
+    nodes, edges = graph.network(_baskets(spark, sf_dir).select("doc", "item"), "doc", "item", 1, 1)
+    known = edges.join(nodes.select(F.col("id").alias("src"), F.col("freq").alias("fs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("freq").alias("fd")), "dst")
+    _, placed = graph.component_grid(graph.checkpointed(known), COMPONENT_GRID)
+    parts = F.split("config", "/")
+    return placed.select(parts[0].cast("long").alias("min_freq"), parts[1].cast("long").alias("min_edge"), "id", "component")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS id FROM lineitem), f AS (SELECT id, count(*) AS freq FROM u GROUP BY 1 HAVING count(*) >= 15), v AS (SELECT u.* FROM u JOIN f USING (id)),
+e AS (SELECT x.id AS src, y.id AS dst FROM v x JOIN v y ON x.doc = y.doc AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2), n AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)
+SELECT id, freq, n.id IS NOT NULL AS linked, coalesce(degree, 0) AS degree FROM f LEFT JOIN n USING (id)""")
+def cocitation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eligible node with its documents, its degree and whether it is linked at the threshold."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("cited"))
+    nodes, edges = graph.network(rows, "doc", "cited", 15, 2)
+    return nodes.join(graph.degrees(edges), "id", "left").select("id", "freq", F.col("degree").isNotNull().alias("linked"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+_NETWORK_LIMITS = {"Keywords": (5, 3, 12), "Authors": (2, 1, 40), "Institutions": (4, 2, 12)}
+
+
+def _list_items(name: str, least: int, sql: str) -> str:
+    return f"SELECT '{name}' AS network, row_id, pos, item FROM ({sql}) WHERE length(item) >= {least}"
+
+
+def _split_sql(field: str) -> str:
+    return f"SELECT row_id, unnest(list_transform(string_split({field}, ';'), lambda x: trim(x))) AS item, generate_subscripts(string_split({field}, ';'), 1) AS pos FROM r WHERE {field} IS NOT NULL"
+
+
+@query(f"""WITH {_R}, i AS ({_SQL["record_institutions"]}), a AS ({_list_items("Keywords", 3, f"SELECT row_id, pos, lower(item) AS item FROM ({_split_sql('author_keywords')})")} UNION ALL {_list_items("Authors", 3, _split_sql("authors"))}
+  UNION ALL {_list_items("Institutions", 1, "SELECT row_id, unnest(string_split(institutions, '; ')) AS item, generate_subscripts(string_split(institutions, '; '), 1) AS pos FROM i WHERE institutions <> ''")}),
+k(network, least, links, most) AS (VALUES {', '.join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in _NETWORK_LIMITS.items())}),
+f AS (SELECT network, item, count(*) AS freq FROM a GROUP BY ALL), z AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY network ORDER BY freq DESC, item) AS nth FROM f) f JOIN k USING (network) WHERE nth <= most AND freq >= least),
+u AS (SELECT a.* FROM a JOIN z USING (network, item))
+SELECT network, x.item AS src, y.item AS dst, count(*) AS weight FROM u x JOIN u y USING (network, row_id) JOIN k USING (network) WHERE x.item < y.item OR (x.item = y.item AND x.pos < y.pos) GROUP BY network, x.item, y.item, links HAVING count(*) >= links""")
+def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the keyword, author and institution networks of the export, each at its limits."""
+    from quillspark.plans import modules
+
+    return modules.network_lines(modules.network_items(records(spark, sf_dir)), _NETWORK_LIMITS).select("network", "src", "dst", "weight")
+
+
+@query(f"""WITH {_R}, i AS ({_SQL["record_institutions"]}), x AS (SELECT row_id, unnest(string_split(institutions, '; ')) AS inst FROM i WHERE institutions <> ''),
+p AS (SELECT inst, count(*) AS docs, sum(coalesce(TRY_CAST(cited_by AS DOUBLE), 0)) AS tc FROM x JOIN r USING (row_id) GROUP BY 1), s AS (SELECT * FROM p WHERE inst IN {_in(["University of Toronto", "University of Washington", "Harvard Medical School", "Stanford University", "Massachusetts Institute of Technology (MIT)", "Imperial College London", "Københavns Universitet", "Rigshospitalet"])}),
+m AS (SELECT * FROM p ORDER BY docs DESC, tc DESC, inst LIMIT 20)
+SELECT inst AS institution, docs AS documents, CAST(tc AS BIGINT) AS citations, round(tc / docs, 2) AS cpp FROM (SELECT * FROM m UNION SELECT * FROM s)""")
+def institution_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.plans import modules
+
+    return modules.institution_table(modules.prepared(records(spark, sf_dir))).toDF("institution", "documents", "citations", "cpp")
+
+
+@query(f"""WITH {_R}, n AS (SELECT row_id, pos, lower(trim(x)) AS item FROM (SELECT row_id, unnest(string_split(author_keywords, ';')) AS x, generate_subscripts(string_split(author_keywords, ';'), 1) AS pos FROM r WHERE author_keywords IS NOT NULL) WHERE length(trim(x)) >= 3),
+m AS (SELECT DISTINCT row_id, CASE item {" ".join(f"WHEN '{_quoted(k)}' THEN '{_quoted(v)}'" for k, v in lx.KEYWORD_MAP.items())} ELSE item END AS item FROM n),
+j AS (SELECT row_id, lower(trim(x)) AS item FROM (SELECT row_id, unnest(string_split(index_keywords, ';')) AS x FROM r WHERE index_keywords IS NOT NULL) WHERE length(trim(x)) >= 3),
+o AS (SELECT CASE item {" ".join(f"WHEN '{_quoted(k)}' THEN '{_quoted(v)}'" for k, v in lx.INDEX_KEYWORD_MAP.items())} ELSE item END AS item FROM j),
+a AS (SELECT item AS w, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM m GROUP BY 1 QUALIFY rank <= 10), b AS (SELECT item AS w, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM o GROUP BY 1 QUALIFY rank <= 10)
+SELECT rank, coalesce(a.w, '') AS author_keyword, coalesce(a.n, 0) AS author_n, coalesce(b.w, '') AS index_keyword, coalesce(b.n, 0) AS index_n FROM a FULL JOIN b USING (rank)""")
+def keyword_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author keywords, once a record and by the fixed table, beside every occurrence of index keywords."""
+    rows = records(spark, sf_dir)
+    left = keywords.top_keywords(rows, entities.mapped_keywords(entities.keywords("Author Keywords")))
+    right = keywords.top_keywords(rows, F.transform(entities.keywords("Index Keywords"), lambda w: entities.lookup(lx.INDEX_KEYWORD_MAP, w)))
+    return keywords.rank_aligned(left, right).toDF("rank", "author_keyword", "author_n", "index_keyword", "index_n")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import entities, lexicon as lx
 from quillspark.functions.text import doi_key, title_key
-from quillspark.operators import classify, dedup
+from quillspark.operators import classify, dedup, graph
+from quillspark.operators.audit import with_removed
 from quillspark.sources.records import clean_header
 
 
@@ -41,14 +46,18 @@ CRITERIA = {
 }
 
 
-def stages(df: DataFrame) -> list[tuple[str, DataFrame]]:
-    """The lazily built table after each stage; ``df`` has string columns and ``_row_id``."""
-    out = [("0_raw_load", df)]
+Watch = Callable[[str, DataFrame], DataFrame]
+
+
+def stages(df: DataFrame, watch: Watch = lambda name, table: table) -> list[tuple[str, DataFrame]]:
+    """The lazily built table after each stage; ``df`` has string columns and ``_row_id``. The next stage goes on from what ``watch`` makes of a table."""
+    out: list[tuple[str, DataFrame]] = []
 
     def add(name: str, table: DataFrame) -> None:
-        out.append((name, table))
+        out.append((name, watch(name, table)))
 
-    add("1_col_standardize", clean_header(df))
+    add("0_raw_load", df)
+    add("1_col_standardize", clean_header(out[-1][1]))
     add("1b_name_normalization", normalized(out[-1][1]))
     add("2_exact_dedup", dedup.exact(out[-1][1]))
     quality = dedup.completeness([c for c in lx.COMPLETENESS_FIELDS if c in df.columns])
@@ -75,11 +84,56 @@ def corpus(df: DataFrame) -> DataFrame:
     return stages(df)[-1][1]
 
 
+INCLUDED = "Education_Screen_Disposition = 'include_algorithm'"
+
+
+def _ran_once(spark: SparkSession, group: str) -> bool:
+    """Whether each task of a job group ran once: a stage that is run again, after a lost executor, counts rows again."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    found = [tracker.getStageInfo(s) for job in jobs if job for s in job.stageIds]
+    return bool(jobs) and all(s is None or (s.currentAttemptId == 0 and not s.numFailedTasks and s.numCompletedTasks <= s.numTasks) for s in found)
+
+
+def audited(df: DataFrame, path: str) -> DataFrame:
+    """Writes the classified and screened records to ``path`` and gives the audit of all stages, counted by the same write.
+
+    Each stage's rows are observed as they pass, stages 8 and 9 as conditions
+    on the last table, so no stage is computed for its count. Where tasks had
+    to run again, observed counts can be too high, and where the optimiser
+    found a stage empty one may be missing: then the stages are counted anew.
+    """
+    spark, seen = df.sparkSession, {}
+
+    def watch(name: str, table: DataFrame, **counts) -> DataFrame:
+        seen[name] = Observation(f"{name} {uuid.uuid4().hex}")
+        return table.observe(seen[name], F.count(F.lit(1)).alias("records"), *[c.alias(n) for n, c in counts.items()])
+
+    judged = before_screens(stages(df, lambda name, table: watch(name, table) if name < "8" else table))
+    included = F.coalesce(F.expr(INCLUDED), F.lit(False))
+    judged = watch("screens", judged, included=F.count_if(included), classed=F.count_if(included & F.col("Tech_Category").isNotNull()))
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    context.setJobGroup(group, "records through all stages")
+    try:
+        judged.write.mode("overwrite").parquet(path)
+    finally:
+        for k, v in before.items():
+            context.setLocalProperty(k, v)
+    got = {name: o.get for name, o in seen.items()}
+    counts = [got[name].get("records") for name in CRITERIA if name < "8"] + [got["screens"].get("included"), got["screens"].get("classed")]
+    if None in counts or not _ran_once(spark, group):
+        return counted(df)
+    rows = [(n, name, int(c)) for n, (name, c) in enumerate(zip(CRITERIA, counts, strict=True))]
+    return with_removed(spark.createDataFrame(rows, "stage_no int, stage string, records long"))
+
+
 def audit(df: DataFrame) -> DataFrame:
     """Records after each stage, with those before and removed."""
-    from functools import reduce
+    return audited(df, graph.shared_path(df.sparkSession))
 
-    from quillspark.operators.audit import with_removed
 
+def counted(df: DataFrame) -> DataFrame:
+    """The audit by a count of each stage's table."""
     counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(stages(df))]
-    return with_removed(reduce(lambda a, b: a.unionByName(b), counts))
+    return with_removed(reduce(DataFrame.unionByName, counts))

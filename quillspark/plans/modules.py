@@ -15,6 +15,9 @@ from quillspark.operators import classify, collab, graph, keywords, metrics
 from quillspark.plans import corpus
 
 TEXT_AND_KEYS = ["EID", "Title", "Year"]
+
+# The published tables depend on each of these thresholds, names and headers, those in the modules below included.
+
 #: Minimum documents and links of the networks; the first of each list's baseline is what is tabulated.
 COCITATION, COCITATION_GRID = (15, 2), [(10, 2), (15, 2), (20, 2), (30, 3), (15, 3), (15, 5)]
 NETWORKS = {
@@ -47,6 +50,8 @@ def prepared(df: DataFrame) -> DataFrame:
     wanted = ["Author Keywords", "Index Keywords", "Authors", "Affiliations", "References", "Cited by", "Citations"]
     df = df.withColumns({c: F.lit(None).cast("string") for c in wanted if c not in df.columns})
     cites = F.coalesce(F.coalesce("Cited by", "Citations").try_cast("double"), F.lit(0.0))
+    if "_ord" not in df.columns:
+        df = df.withColumn("_ord", F.col("_row_id"))
     placed = df.withColumns({"cites": cites, "countries": entities.countries("Affiliations"), "leader": entities.leading_country("Affiliations")})
     return placed.withColumn("collab", collab.status(F.size("countries")))
 
@@ -132,8 +137,8 @@ def cleaned_keywords(df: DataFrame) -> Column:
 
 
 def a5b(df: DataFrame) -> dict[str, Table]:
-    items = df.select("_row_id", F.explode(cleaned_keywords(df)).alias("keyword"))
-    cells = graph.matrix(items, "_row_id", "keyword", 10)
+    items = df.select("_row_id", "_ord", F.posexplode(cleaned_keywords(df)).alias("at", "keyword")).withColumn("seen", F.struct("_ord", "at"))
+    cells = graph.matrix(items, "_row_id", "keyword", 10, "seen")
     top = [r["row"] for r in cells.filter(F.col("row") == F.col("column")).orderBy(F.desc("n"), "row").collect()]  # ten names
     if not top:
         return {"table_A5b_cooccurrence_matrix": Table(cells)}
@@ -143,8 +148,8 @@ def a5b(df: DataFrame) -> dict[str, Table]:
 
 def a5c(df: DataFrame) -> dict[str, Table]:
     words = cleaned_keywords(df)
-    whole = keywords.top_keywords(df, words, 10)
-    each = keywords.top_keywords(df, words, 10, ["Tech_Category"])
+    whole = keywords.top_keywords(df, words, 10, order="_ord")
+    each = keywords.top_keywords(df, words, 10, ["Tech_Category"], "_ord")
     return {
         "table_A5c_global_keywords": Table(_renamed(whole, {"Keyword": "keyword", "Count": "n"}), (F.desc("Count"), "Keyword")),
         "table_A5c_category_keywords": Table(_renamed(each, {"category": "Tech_Category", "keyword": "keyword", "count": "n"}), (_at(lx.CATEGORIES, "category"), F.desc("count"), "keyword")),
@@ -175,6 +180,22 @@ def a7(df: DataFrame) -> dict[str, Table]:
     return {"table_A7_keywords_comparison": Table(out, markdown=True)}
 
 
+def network_items(df: DataFrame) -> dict[str, DataFrame]:
+    """``(_row_id, item)`` of the three networks of a record's own lists, repeats included."""
+    lists = {"Keywords": entities.keywords("Author Keywords"), "Authors": F.filter(entities.items("Authors"), lambda a: F.length(a) > 2), "Institutions": entities.institutions("Affiliations")}
+    return {n: df.select("_row_id", F.explode(c).alias("item")) for n, c in lists.items()}
+
+
+DRAWN_NETWORKS = {n: (*NETWORKS[n][0], 70) for n in NETWORKS} | {"Institutions": INSTITUTION_NETWORK}
+
+
+def network_lines(items: dict[str, DataFrame], limits: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """The edges of each network at its limits: least frequency, least links, most nodes."""
+    limits = DRAWN_NETWORKS if limits is None else limits
+    lines = [graph.network(items[n], "_row_id", "item", *limits[n], distinct=False)[1].withColumn("network", F.lit(n)) for n in limits]
+    return reduce(DataFrame.unionByName, lines)
+
+
 def a8(df: DataFrame) -> dict[str, Table]:
     cited = df.select("_row_id", F.explode(entities.cited_authors("References")).alias("item"))
     nodes, edges = graph.network(cited, "_row_id", "item", *COCITATION)
@@ -194,8 +215,7 @@ def a8(df: DataFrame) -> dict[str, Table]:
             "Links": "edges", "Clusters": "communities", "Modularity": "modularity", "ARI vs baseline": "ari",
         },
     )
-    lists = {"Keywords": entities.keywords("Author Keywords"), "Authors": F.filter(entities.items("Authors"), lambda a: F.length(a) > 2), "Institutions": entities.institutions("Affiliations")}
-    items = {n: df.select("_row_id", F.explode(c).alias("item")) for n, c in lists.items()}
+    items = network_items(df)
     measured = [graph.largest_component_grid(items[n], "_row_id", "item", g, base).withColumn("Network", F.lit(n)) for n, (base, g) in NETWORKS.items()]
     networks = _renamed(
         reduce(DataFrame.unionByName, measured).withColumn("ari", F.round("ari", 4)),
@@ -204,22 +224,25 @@ def a8(df: DataFrame) -> dict[str, Table]:
             "Edges (largest component)": "edges", "Density": "density", "Communities": "communities", "Modularity": "modularity", "ARI vs baseline": "ari",
         },
     )
-    drawn = {n: (*NETWORKS[n][0], 70) for n in NETWORKS} | {"Institutions": INSTITUTION_NETWORK}
-    lines = [graph.network(items[n], "_row_id", "item", *limits, distinct=False)[1].withColumn("network", F.lit(n)) for n, limits in drawn.items()]
     return {
         "table_A8_author_cocitation_nodes": Table(node_table, (F.desc("Citing documents"), "Author")),
         "table_A8_author_cocitation_edges": Table(edge_table, small=False),
         "table_A8_author_cocitation_sensitivity": Table(grid, ("Minimum citing-document frequency", "Minimum co-citing documents")),
         "table_A8_network_sensitivity": Table(networks, (F.desc("Network"), "Minimum document frequency")),
-        "data_A8_network_edges": Table(reduce(DataFrame.unionByName, lines), ("network", F.desc("weight"), "src", "dst")),
+        "data_A8_network_edges": Table(network_lines(items), ("network", F.desc("weight"), "src", "dst")),
     }
 
 
-def a9(df: DataFrame) -> dict[str, Table]:
+def institution_table(df: DataFrame) -> DataFrame:
+    """Documents and citations of the twenty largest institutions and of those always shown; a record counts once for each of its institutions."""
     placed = df.select("cites", F.explode(entities.institutions("Affiliations")).alias("Institution")).groupBy("Institution").agg(F.count(F.lit(1)).alias("Documents"), F.sum("cites").alias("tc"))
     most = placed.orderBy(F.desc("Documents"), F.desc("tc"), "Institution").limit(20)
     shown = most.unionByName(placed.filter(F.col("Institution").isin(SHOWN_INSTITUTIONS))).distinct()
-    institutions = shown.select("Institution", "Documents", F.col("tc").cast("long").alias("Total Citations"), F.round(F.col("tc") / F.col("Documents"), 2).alias("CPP"))
+    return shown.select("Institution", "Documents", F.col("tc").cast("long").alias("Total Citations"), F.round(F.col("tc") / F.col("Documents"), 2).alias("CPP"))
+
+
+def a9(df: DataFrame) -> dict[str, Table]:
+    institutions = institution_table(df)
 
     named = df.filter(present("Source title")).select(F.col("Source title").alias("Source"), "cites")
     stats = named.groupBy("Source").agg(F.count(F.lit(1)).alias("Articles"), F.sum("cites").alias("tc")).orderBy(F.desc("Articles"), F.desc("tc"), "Source").limit(20)
