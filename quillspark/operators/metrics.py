@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FULL = "Full Corpus"
-#: Cells that the bootstrap takes to the driver.
-MAX_CELLS = 1_000_000
 
 
 def with_full(df: DataFrame, group: str, full: str = FULL) -> DataFrame:
@@ -139,42 +139,58 @@ def rca(df: DataFrame, row: str, column: str, least: int = 10) -> DataFrame:
     return grid.join(cells, [row, column], "left").select(row, column, "row_n", F.coalesce("n", F.lit(0)).alias("n"), share.alias("rca"))
 
 
+def poisson_steps(mean: int) -> list[float]:
+    """The distribution function of a Poisson count at 0, 1, 2 and so on, as far as it grows in double precision."""
+    term = total = math.exp(-mean)
+    steps = [total]
+    while term > 0 and total + term * mean / len(steps) > total:
+        term *= mean / len(steps)
+        total += term
+        steps.append(total)
+    return steps
+
+
+#: Cells up to this count are resampled by the exact inverse distribution, larger ones by its normal approximation with the term for skewness.
+SMALL_CELL = 30
+#: Hexadecimal digits of a digest that make a uniform number.
+UNIFORM_DIGITS = 12
+
+
+def uniform(key: Column, begin: int) -> Column:
+    """A number in (0, 1) from the digits of the key's MD5 from ``begin`` on."""
+    digits = F.conv(F.substring(F.md5(key.cast("binary")), begin, UNIFORM_DIGITS), 16, 10).cast("double")
+    return (digits + 0.5) / float(16**UNIFORM_DIGITS)
+
+
+def poisson_draw(n: Column, key: Column, steps: Column) -> Column:
+    """A count with mean ``n`` from a hash of ``key``; ``steps`` is the distribution function where ``n`` is small."""
+    u, v = uniform(key, 1), uniform(key, 1 + UNIFORM_DIGITS)
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    large = F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * normal + (normal * normal - 1) / 6 + 0.5))
+    return F.when(n <= SMALL_CELL, F.size(F.filter(steps, lambda c: c < u)).cast("double")).otherwise(large.cast("double"))
+
+
 def rca_bootstrap(df: DataFrame, row: str, column: str, replicates: int = 1000, least: int = 10, seed: int = 20260929) -> DataFrame:
     """95 % bounds of ``rca`` from resampled documents.
 
-    Drawing documents with replacement makes the cells' counts multinomial, so
-    replicates are drawn from the table of cells, whose size is checked: the
-    work does not grow with the documents. Replicates are spread over tasks,
-    each with a generator of its own.
+    Drawing each document a Poisson number of times makes the counts of the
+    cells independent Poisson numbers with the counts as means, so replicates
+    are drawn by cell: the work grows with the cells, not with the documents,
+    and stays on the executors. A draw is a hash of seed, replicate and cell,
+    so a rerun, or another engine, gives the same bounds.
     """
-    import numpy as np
-    import pandas as pd
-
     estimate = rca(df, row, column, least)
-    counted = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
-    cells = sorted(counted.limit(MAX_CELLS + 1).collect())
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of {row} and {column}")
-    if not cells:
-        return estimate.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "replicates": F.lit(0).cast("long")})
-    rows, columns = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
-    table = np.zeros((len(rows), len(columns)))
-    for r, c, n in cells:
-        table[rows.index(r), columns.index(c)] = n
-    total = int(table.sum())
-
-    def draw(batches):
-        for batch in batches:
-            for rep in batch["id"]:
-                drawn = np.random.default_rng([seed, int(rep)]).multinomial(total, (table / total).ravel()).reshape(table.shape).astype(float)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    share = (drawn / drawn.sum(axis=1, keepdims=True)) / (drawn.sum(axis=0) / total)
-                at = np.argwhere(np.isfinite(share))
-                yield pd.DataFrame({row: [rows[i] for i, _ in at], column: [columns[j] for _, j in at], "_share": share[at[:, 0], at[:, 1]]})
-
-    kinds = dict(df.dtypes)
-    each = df.sparkSession.range(replicates).mapInPandas(draw, f"`{row}` {kinds[row]}, `{column}` {kinds[column]}, _share double")
-    bounds = each.groupBy(row, column).agg(F.percentile("_share", 0.025).alias("low"), F.percentile("_share", 0.975).alias("high"), F.count(F.lit(1)).alias("replicates"))
+    counted = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
+    small = F.broadcast(df.sparkSession.createDataFrame([(n, poisson_steps(n)) for n in range(1, SMALL_CELL + 1)], "_n long, _steps array<double>"))  # SMALL_CELL rows
+    each = counted.join(small, "_n", "left").select(row, column, "_n", "_steps", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col(row).cast("string"), F.col(column).cast("string"))
+    drawn = each.select("_rep", row, column, poisson_draw(F.col("_n"), key, F.col("_steps")).alias("_k"))
+    of_row = drawn.groupBy("_rep", row).agg(F.sum("_k").alias("_r"))
+    of_column = drawn.groupBy("_rep", column).agg(F.sum("_k").alias("_c"))
+    total = of_row.groupBy("_rep").agg(F.sum("_r").alias("_t"))
+    whole = drawn.join(of_row, ["_rep", row]).join(of_column, ["_rep", column]).join(total, "_rep").filter("_r > 0 and _c > 0")
+    share = (F.col("_k") / F.col("_r")) / (F.col("_c") / F.col("_t"))
+    bounds = whole.groupBy(row, column).agg(F.percentile(share, 0.025).alias("low"), F.percentile(share, 0.975).alias("high"), F.count(F.lit(1)).alias("replicates"))
     return estimate.join(bounds, [row, column], "left")
 
 

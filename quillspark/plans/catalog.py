@@ -243,9 +243,21 @@ def rca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rca(_customers(spark, sf_dir), "n_name", "c_mktsegment").withColumn("rca", F.round("rca", 6))
 
 
-@query()
+def _uniform_sql(begin: int) -> str:
+    return f"((CAST('0x' || substr(md5(key), {begin}, {metrics.UNIFORM_DIGITS}) AS BIGINT)::DOUBLE + 0.5) / {float(16**metrics.UNIFORM_DIGITS)!r})"
+
+
+@query(f"""WITH {_RCA}, p(m, steps) AS (VALUES {", ".join(f"({m}, {metrics.poisson_steps(m)!r}::DOUBLE[])" for m in range(1, metrics.SMALL_CELL + 1))}),
+d AS (SELECT n_name, c_mktsegment, n, steps, rep, '20260929|' || rep || '|' || n_name || '|' || c_mktsegment AS key FROM n LEFT JOIN p ON m = n, (SELECT unnest(range(1000)) AS rep)),
+u AS (SELECT *, {_uniform_sql(1)} AS u, {_uniform_sql(1 + metrics.UNIFORM_DIGITS)} AS v FROM d), z AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM u),
+k AS (SELECT rep, n_name, c_mktsegment, CASE WHEN n <= {metrics.SMALL_CELL} THEN len(list_filter(steps, lambda c: c < u))::DOUBLE ELSE greatest(0.0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5)) END AS k FROM z),
+w AS (SELECT n_name, c_mktsegment, k, sum(k) OVER (PARTITION BY rep, n_name) AS r, sum(k) OVER (PARTITION BY rep, c_mktsegment) AS c, sum(k) OVER (PARTITION BY rep) AS t FROM k),
+b AS (SELECT n_name, c_mktsegment, quantile_cont((k / r) / (c / t), 0.025) AS low, quantile_cont((k / r) / (c / t), 0.975) AS high, count(*) AS replicates FROM w WHERE r > 0 AND c > 0 GROUP BY ALL)
+SELECT r.n_name, s.c_mktsegment, CAST(row_n AS BIGINT) AS row_n, coalesce(n.n, 0) AS n, round((coalesce(n.n, 0) / row_n) / (column_n / total), 6) AS rca, round(low, 6) AS low, round(high, 6) AS high, replicates
+FROM r CROSS JOIN s CROSS JOIN t LEFT JOIN n ON n.n_name = r.n_name AND n.c_mktsegment = s.c_mktsegment LEFT JOIN b ON b.n_name = r.n_name AND b.c_mktsegment = s.c_mktsegment""")
 def rca_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rca_bootstrap(_customers(spark, sf_dir), "n_name", "c_mktsegment")
+    bounds = metrics.rca_bootstrap(_customers(spark, sf_dir), "n_name", "c_mktsegment")
+    return bounds.withColumns({c: F.round(c, 6) for c in ("rca", "low", "high")})
 
 
 # Counts and shares
