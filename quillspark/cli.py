@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans import corpus, modules
 from quillspark.session import get_session
-from quillspark.sources import records, sinks
+from quillspark.sources import named, records, sinks
 
 
 def parse(args: list[str] | None = None) -> argparse.Namespace:
@@ -30,10 +30,7 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
 def write(tables: dict[str, modules.Table], folder: str) -> None:
     for name, table in tables.items():
         rows = table.rows.orderBy(*table.order) if table.order else table.rows
-        if not table.small:
-            rows.write.mode("overwrite").csv(f"{folder}/{name}", header=True)
-            continue
-        sinks.write_table(rows, f"{folder}/{name}")
+        named.write_named(rows, f"{folder}/{name}.csv")
         if table.markdown:
             sinks.write_text(rows.sparkSession, sinks.markdown(rows), f"{folder}/{name}.md")
 

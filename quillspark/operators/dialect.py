@@ -12,7 +12,7 @@ from quillspark.functions import lexicon as lx
 from quillspark.functions.entities import lookup
 from quillspark.functions.text import any_term, col, joined_lower, present, squeeze, strip, term_score
 
-from .metrics import top_k
+from .metrics import FULL, main_metrics, top_k
 
 # Results depend on each entry.
 
@@ -158,3 +158,22 @@ def collaboration(df: DataFrame, leader: str, n_countries: Column, category: str
     cells = [F.sum(((F.col(category) == c) & (F.col("_mcp") == (s == "MCP"))).cast("long")).alias(f"{c}_{s}") for c in categories for s in ("SCP", "MCP")]
     counted = known.groupBy(F.col(leader).alias("country")).agg(*cells, F.count(F.lit(1)).alias("total"))
     return top_k(counted, k, [F.desc("total"), F.asc("country")]).drop("rank").fillna(0)
+
+
+#: Header of the downloaded table, fixed values.
+DOWNLOAD_HEADER = ["Category", "N", "Total Citations", "H-index", "CAGR", "AC", "NCP", "%Cited", "CCP", "First Year", "Peak Year"]
+
+
+def download(df: DataFrame, category: str = "Tech_Category", cites: str = "Citations", categories: list[str] | None = None) -> DataFrame:
+    """The table of key metrics as it is downloaded, all text: a row for the corpus and one for each class that has records, in the classes' order."""
+    names = [FULL, *(CATEGORIES if categories is None else categories)]
+    found = main_metrics(df.withColumn(category, F.when(F.col(category).isin(names[1:]), F.col(category))), category, "Year", cites)
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    several = F.col("last_year") > F.col("first_year")
+    shown = {
+        "Category": F.col(category), "N": F.format_number("documents", 0), "Total Citations": F.format_number("tc", "#,##0.###"), "H-index": F.col("h_index").cast("string"),
+        "CAGR": F.when(several, F.concat(two("growth"), F.lit("%"))).otherwise("—"), "AC": two("ac"), "NCP": F.format_number("ncp", 0), "%Cited": F.concat(F.format_string("%.1f", F.col("pct_cited")), F.lit("%")),
+        "CCP": F.when(F.col("ncp") > 0, two("ccp")).otherwise("0"), "First Year": F.col("first_year").cast("string"), "Peak Year": F.col("peak_year").cast("string"),
+    }
+    at = F.array_position(F.array(*map(F.lit, names)), F.col(category))
+    return found.join(df.groupBy(category).agg(F.max("Year").alias("last_year")).unionByName(df.agg(F.lit(FULL).alias(category), F.max("Year").alias("last_year"))), category).orderBy(at).select(*[c.alias(n) for n, c in shown.items()])

@@ -18,6 +18,7 @@ from quillspark.operators import audit, classify, collab, dedup, dialect, graph,
 from quillspark.plans.export import EXPORT_SQL, records
 from quillspark.plans.fixture import COLUMNS, RECORD_NAMES
 from quillspark.session import table
+from quillspark.sources import named
 from quillspark.sources.records import canonical_columns, read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -815,6 +816,19 @@ def dashboard_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.with_removed(reduce(DataFrame.unionByName, counts))
 
 
+@query(rf"""WITH {_DASH}, x AS (SELECT category, TRY_CAST(regexp_extract(year, '^[+-]?[0-9]+') AS INT) AS y, coalesce(TRY_CAST(regexp_extract(cited_by, '^[+-]?[0-9]+(?:\.[0-9]+)?|^[+-]?\.[0-9]+') AS DOUBLE), 0) AS c FROM d8),
+g AS (SELECT '{metrics.FULL}' AS l, y, c FROM x UNION ALL SELECT category, y, c FROM x WHERE category IS NOT NULL), h AS (SELECT l, coalesce(max(i) FILTER (c >= i), 0) AS h FROM (SELECT l, c, row_number() OVER (PARTITION BY l ORDER BY c DESC) AS i FROM g) GROUP BY l),
+v AS (SELECT l, y, count(*) AS k FROM g GROUP BY ALL), w AS (SELECT l, min(y) AS a, max(y) AS z, arg_min(k, y) AS ka, arg_max(k, y) AS kz, arg_max(y, (k, -y)) AS p FROM v GROUP BY l),
+s AS (SELECT l, count(*) AS n, sum(c) AS tc, count(*) FILTER (c > 0) AS ncp FROM g GROUP BY l)
+SELECT l AS "Category", format('{{:,}}', n) AS "N", format('{{:,}}', tc::BIGINT) AS "Total Citations", h::VARCHAR AS "H-index", CASE WHEN z > a THEN printf('%.2f', (pow(kz::DOUBLE / ka, 1.0 / (z - a)) - 1) * 100) || '%' ELSE '—' END AS "CAGR", printf('%.2f', tc / n) AS "AC",
+format('{{:,}}', ncp) AS "NCP", printf('%.1f', 100.0 * ncp / n) || '%' AS "%Cited", CASE WHEN ncp > 0 THEN printf('%.2f', tc / ncp) ELSE '0' END AS "CCP", a::VARCHAR AS "First Year", p::VARCHAR AS "Peak Year" FROM s JOIN h USING (l) JOIN w USING (l)""")
+def dashboard_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The downloaded table, written as one named file and read back."""
+    path = graph.shared_path(spark) + "/bibliometric_table.csv"
+    named.write_named(dialect.download(dialect.stages(records(spark, sf_dir))[-1][1]), path, "all")
+    return spark.read.csv(path, header=True)
+
+
 # Order of rows
 
 

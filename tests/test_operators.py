@@ -160,7 +160,11 @@ def test_command_line_writes_every_table(spark, tmp_path):
         out.writerows(["" if v is None else v for v in r] for r in ROWS)
     cli.main(["--input", str(tmp_path / "in.csv"), "--results-dir", str(tmp_path / "out"), "--skip", "a8, A3"])
     written = {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
-    assert {"classified_corpus", "pipeline_report", "table_A0_pipeline_audit.md", "education_screen_methods.md", "table_A9_rca", "table_A11_algorithm_specification"} <= written
+    assert {"classified_corpus", "pipeline_report.csv", "table_A0_pipeline_audit.md", "education_screen_methods.md", "table_A9_rca.csv", "table_A11_algorithm_specification.csv"} <= written
+    assert not any(".parts-" in n for n in written) and all((tmp_path / "out" / n).is_file() for n in written if n.endswith(".csv"))
+    with (tmp_path / "out/table_A1_yearly_stats.csv").open(encoding="utf-8") as f:
+        table = list(csv.reader(f))
+    assert table[0] == ["Category", "Year", "N", "TC", "Impact"] and [r[:2] for r in table[1:3]] == [["VR", "1991"], ["VR", "1992"]] and len(table) == 1 + 5 * 35
     assert not any(n.startswith(("table_A8", "table_A3")) for n in written)
     assert spark.read.parquet(str(tmp_path / "out/classified_corpus")).count() == corpus.corpus(records(spark)).count()
     with pytest.raises(SystemExit):
