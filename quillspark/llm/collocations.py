@@ -23,6 +23,8 @@ LEAST_COUNT = 100
 TOP = 2000
 #: Words of pieces whose n-grams are summed together before they are shuffled.
 BLOCK_WORDS = 1 << 18
+#: Lengths that are counted one by one; longer ones share a last round, for which the filter of these leaves few phrases.
+SINGLE_ROUNDS = 3
 #: Memory of the engine that counts a bucket; beyond it, the bucket spills to the task's own scratch folder.
 BUCKET_MEMORY = "256MB"
 #: Bits a key of the filter of frequent shorter phrases, and its largest size (16 MiB): a fuller filter lets more through, counts stay exact.
@@ -66,8 +68,8 @@ def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (held(hashes & last) & held((hashes >> np.uint64(32)) & last)).astype(bool)
 
 
-def weighted_grams(block: pa.Table, level: int, filters: list[np.ndarray]) -> pa.RecordBatch:
-    """``(lang, phrase, h, n)``: phrases of ``level`` words of a block's pieces with their weights, each once.
+def weighted_grams(block: pa.Table, levels: tuple[int, ...], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``(lang, phrase, h, n)``: phrases of as many words as ``levels`` name of a block's pieces with their weights, each once.
 
     A phrase is left out only where a filter knows that one of its shorter
     parts, and so the phrase itself, is not frequent.
@@ -82,31 +84,34 @@ def weighted_grams(block: pa.Table, level: int, filters: list[np.ndarray]) -> pa
     found, first, code = np.unique(pair, return_index=True, return_inverse=True)
     hashes = mixed(digest(langs.dictionary)[found // len(vocabulary)], digest(vocabulary)[found % len(vocabulary)])
     at = np.arange(len(word))
-    for known in filters[: level - 1]:
-        may = passes(known, hashes)[code]
-        at, code = at[may], code[may]
-        left = np.nonzero((at[1:] == at[:-1] + 1) & (row[at[1:]] == row[at[:-1]]))[0]
-        pair = code[left] * len(hashes) + code[left + 1]
-        found, first, after = np.unique(pair, return_index=True, return_inverse=True)
-        hashes = mixed(hashes[found // len(hashes)], hashes[found % len(hashes)])
-        at, code = at[left], after
-    total = np.zeros(len(found), dtype=np.int64)
-    np.add.at(total, code, weight[row[at]])
-    start = at[first]
-    phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(word[start + j])) for j in range(level)], " ")
-    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[row[start]])), phrase, pa.array(hashes.view(np.int64)), pa.array(total)], ["lang", "phrase", "h", "n"])
-
-
-def _gram_batches(batches: Iterator[pa.RecordBatch], level: int, filters: list[np.ndarray], block_words: int) -> Iterator[pa.RecordBatch]:
+    for level in range(1, max(levels) + 1):
+        if level > 1:
+            if level - 2 < len(filters):
+                may = passes(filters[level - 2], hashes)[code]
+                at, code = at[may], code[may]
+            left = np.nonzero((at[1:] == at[:-1] + 1) & (row[at[1:]] == row[at[:-1]]))[0]
+            pair = code[left] * len(hashes) + code[left + 1]
+            found, first, after = np.unique(pair, return_index=True, return_inverse=True)
+            hashes = mixed(hashes[found // len(hashes)], hashes[found % len(hashes)])
+            at, code = at[left], after
+        if level in levels:
+            total = np.zeros(len(found), dtype=np.int64)
+            np.add.at(total, code, weight[row[at]])
+            start = at[first]
+            phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(word[start + j])) for j in range(level)], " ")
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[row[start]])), phrase, pa.array(hashes.view(np.int64)), pa.array(total)], ["lang", "phrase", "h", "n"])
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...], filters: list[np.ndarray], block_words: int) -> Iterator[pa.RecordBatch]:
     waiting, words = [], 0
     for batch in batches:
         waiting.append(batch)
         words += pc.sum(batch.column("words")).as_py() or 0
         if words >= block_words:
-            yield weighted_grams(pa.Table.from_batches(waiting), level, filters)
+            yield from weighted_grams(pa.Table.from_batches(waiting), levels, filters)
             waiting, words = [], 0
     if waiting:
-        yield weighted_grams(pa.Table.from_batches(waiting), level, filters)
+        yield from weighted_grams(pa.Table.from_batches(waiting), levels, filters)
 
 
 def _count_bucket(batches: Iterator[pa.RecordBatch], least: int, memory: str) -> Iterator[pa.RecordBatch]:
@@ -130,31 +135,33 @@ def _count_bucket(batches: Iterator[pa.RecordBatch], least: int, memory: str) ->
 def frequent_phrases(parted: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COUNT, memory: str = BUCKET_MEMORY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(lang, words, phrase, f)``, stored: every phrase of 1 to ``most_words`` words with its count, if that is ``least`` or more.
 
-    One round for each length, over the stored pieces: blocks of pieces give
-    their phrases with weights, summed in the block, so a hot phrase has a row a
-    block; rows are dealt out by the phrase's hash, and each bucket is summed
-    by an engine that spills. A phrase can be frequent only if all shorter ones
-    in it are, so a round looks at those that pass the filters of the rounds
-    before.
+    Rounds over the stored pieces, one for each of the first lengths and one
+    for all others: blocks of pieces give their phrases with weights, summed in
+    the block, so a hot phrase has a row a block; rows are dealt out by the
+    phrase's hash, and each bucket is summed by an engine that spills. A phrase
+    can be frequent only if all shorter ones in it are, so a round looks at
+    those that pass the filters of the rounds before.
     """
     spark = parted.sparkSession
-    levels: list[DataFrame] = []
+    rounds = [(n,) for n in range(1, min(SINGLE_ROUNDS, most_words) + 1)] + [tuple(range(SINGLE_ROUNDS + 1, most_words + 1))]
+    tables: list[DataFrame] = []
     filters: list[np.ndarray] = []
-    for level in range(1, most_words + 1):
+    for levels in filter(None, rounds):
         held = spark.sparkContext.broadcast(filters)
-        grams = map_batches(parted.select("lang", "piece", "words", "m"), lambda b, level=level, held=held: _gram_batches(b, level, held.value, block_words), "lang string, phrase string, h long, n long")
+        grams = map_batches(parted.select("lang", "piece", "words", "m"), lambda b, levels=levels, held=held: _gram_batches(b, levels, held.value, block_words), "lang string, phrase string, h long, n long")
         counted = grams.repartition("h").mapInArrow(lambda b: _count_bucket(b, least, memory), "lang string, phrase string, h long, f long")
-        levels.append(stored(counted.select("lang", F.lit(level).alias("words"), "phrase", "f", "h")))
+        tables.append(stored(counted))
         held.destroy()
-        n = levels[-1].count()
-        if not n or level == most_words:
+        n = tables[-1].count()
+        if not n or max(levels) == most_words:
             break
-        filters = [*filters, phrase_filter(levels[-1], n)]
-    whole = levels[0]
-    for more in levels[1:]:
+        filters = [*filters, phrase_filter(tables[-1], n)]
+    whole = tables[0]
+    for more in tables[1:]:
         whole = whole.unionByName(more)
-    out = stored(whole.select("lang", "words", "phrase", "f"))
-    discard(*levels)
+    words = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
+    out = stored(whole.select("lang", words.cast("int").alias("words"), "phrase", "f"))
+    discard(*tables)
     return out
 
 
