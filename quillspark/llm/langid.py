@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -16,7 +17,10 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from .common import free_prefix, held_out, map_batches, most_frequent, stored, table, without
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are word characters without being letters or decimal digits, such as superscripts and Roman numeral signs: found by rule.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters.
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 UNDETERMINED = "und"
 #: Words and n-grams that every worker holds: those with the highest counts over the whole training fold and as many again, in equal shares,
 #: with the highest of each language. The others are looked up by joins with the stored counts; the bounds change no result.
@@ -25,6 +29,8 @@ MAX_GRAMS = 40_000
 LONGEST_GRAM = 4
 #: The n-grams of longer words are looked up anew each time: bounds the cache's memory, changes no result.
 LONGEST_CACHED = 64
+#: Documents of a corpus whose language is less likely than this, so that no language has most of the posterior, are not told.
+LEAST_SCORE = 0.5
 #: Partial counts that a worker holds before it hands them on.
 FLUSH = 200_000
 #: Weight of a backed-off word against a known one.
@@ -309,8 +315,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identified(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language the model names; ``und`` ones (null, empty and letterless texts) go, repeated rows all or none. Columns stay as they are."""
-    columns = docs.columns
-    placed = _by_held(docs.select("*"), train(docs.filter(~held_out())))  # rarer words decide between languages, never on ``und``
-    return placed.filter(F.col("lang_pred") != UNDETERMINED).select(*columns)
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose language the model tells, with that language in ``lang``; all other columns stay as they are.
+
+    ``und`` ones (null, empty and letterless texts) go, and those whose
+    language is less than ``least`` likely by the model. What ``lang`` said
+    before only trains the model: the prediction replaces it, null ones too.
+    Repeated rows fare alike, equal scores go to the first language by name,
+    texts are read whole, whatever their length; an empty table gives none.
+    """
+    p = free_prefix(docs)
+    own = {c: f"{p}own{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score")}
+    placed = identify(docs.withColumnsRenamed(own), train(docs.filter(~held_out())))
+    told = placed.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return told.select(*[F.col("lang_pred").cast(docs.schema[c].dataType).alias(c) if c == "lang" else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import common, langid, pii, registry, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # of the given tables, which have no numbers that are word characters
 
 
 def documents(spark):
@@ -259,5 +259,5 @@ def test_pipeline_keeps_one_document_of_each_group_of_likeness_0_8(spark):
 
 
 def test_registered_queries_have_sql_or_a_plain_version():
-    plain = {"op1_sharding", "op2_toxicity", "op4_simhash", "op5_decontamination", "op7_pii", "op8_mixing", "op9_licenses", "op10_language_id", "pipeline"}
+    plain = {"op1_sharding", "op2_toxicity", "op4_simhash", "op5_decontamination", "op7_pii", "op8_mixing", "op9_licenses", "op10_language_id", "op12_whitening", "pipeline"}
     assert set(registry.queries()) == plain | set(registry.oracle_sql()) and prose("en", 3, 1)
