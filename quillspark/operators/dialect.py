@@ -171,7 +171,7 @@ def download(df: DataFrame, category: str = "Tech_Category", cites: str = "Citat
     two = lambda c: F.format_string("%.2f", F.col(c))
     several = F.col("last_year") > F.col("first_year")
     shown = {
-        "Category": F.col(category), "N": F.format_number("documents", 0), "Total Citations": F.format_number("tc", "#,##0.###"), "H-index": F.col("h_index").cast("string"),
+        "Category": F.col(category), "N": F.format_number("documents", 0), "Total Citations": F.call_function("format_number", "tc", F.lit("#,##0.###")), "H-index": F.col("h_index").cast("string"),
         "CAGR": F.when(several, F.concat(two("growth"), F.lit("%"))).otherwise("—"), "AC": two("ac"), "NCP": F.format_number("ncp", 0), "%Cited": F.concat(F.format_string("%.1f", F.col("pct_cited")), F.lit("%")),
         "CCP": F.when(F.col("ncp") > 0, two("ccp")).otherwise("0"), "First Year": F.col("first_year").cast("string"), "Peak Year": F.col("peak_year").cast("string"),
     }

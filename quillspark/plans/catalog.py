@@ -934,3 +934,26 @@ def keyword_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = keywords.top_keywords(rows, entities.mapped_keywords(entities.keywords("Author Keywords")))
     right = keywords.top_keywords(rows, F.transform(entities.keywords("Index Keywords"), lambda w: entities.lookup(lx.INDEX_KEYWORD_MAP, w)))
     return keywords.rank_aligned(left, right).toDF("rank", "author_keyword", "author_n", "index_keyword", "index_n")
+
+
+# Streams
+
+
+@query("""WITH k AS (SELECT event_id, user_id || '/' || event_type AS k, value FROM events)
+SELECT event_id, k, value FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY value DESC, event_id) = 1""")
+def stream_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The richest event of each user and type, kept by a stateful stream over the files of ``events``."""
+    from quillspark.streaming import survivors
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, so that the table may be a file or a folder
+    keyed = events.select("event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("k"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    path, store = graph.shared_path(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, survivors.STATE_STORE)
+    try:
+        kept = survivors.survivors(keyed, "k", F.col("value"), "event_id", "ts", delay="3650 days", idle="3650 days")
+        writing = kept.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        writing.awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return survivors.final(spark.read.parquet(f"{path}/rows"), "k", F.col("value"), "event_id").select("event_id", "k", "value")
