@@ -679,6 +679,12 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.louvain(_edges(spark, sf_dir))
 
 
+@query()
+def communities_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the co-citation graph by moves and contraction on the executors."""
+    return graph.communities(graph.checkpointed(cocitation_edges(spark, sf_dir)))
+
+
 def _fixed_partition(edges: DataFrame, by: int) -> DataFrame:
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return ids.select("id", (F.length("id") % by).cast("long").alias("cluster"))

@@ -131,3 +131,16 @@ def test_forest_cuts_are_components_of_every_threshold(spark):
         found.setdefault(r["config"], {})[r["id"]] = r["component"]
     assert found == {c: p for c, g, w in configs if (p := plain_components([(a, b) for (x, a, b), n in edges.items() if x == g and n >= w]))}
     assert graph.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_communities_on_executors_are_as_good_as_one_after_another(spark):
+    from quillspark.plans import catalog
+
+    cliques = [(f"{c}{i}", f"{c}{j}", 5) for c in "abc" for i in range(5) for j in range(i)]
+    edges = spark.createDataFrame([*cliques, ("a0", "b0", 1), ("b1", "c1", 1), ("a0", "a0", 2)], "src string, dst string, weight long")
+    assert {(r["id"], r["cluster"]) for r in graph.communities(edges).collect()} == {(f"{c}{i}", f"{c}0") for c in "abc" for i in range(5)}
+    assert graph.communities(edges.limit(0)).count() == 0
+    cited = catalog.cocitation_edges(spark, "/root/testdata/sf0.001").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    cited = graph.checkpointed(cited)
+    quality = [graph.modularity(cited, labels).first()[0] for labels in (graph.communities(cited), graph.louvain(cited))]
+    assert quality[0] > quality[1] - 0.02
