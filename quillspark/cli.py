@@ -8,8 +8,8 @@ import time
 import traceback
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from quillspark.operators import classify
 from quillspark.plans import corpus, modules
 from quillspark.session import get_session
 from quillspark.sources import named, records, sinks
@@ -35,10 +35,23 @@ def write(tables: dict[str, modules.Table], folder: str) -> None:
             sinks.write_text(rows.sparkSession, sinks.markdown(rows), f"{folder}/{name}.md")
 
 
-def class_counts(df: DataFrame) -> str:
-    """The report on the classes, a line for each."""
-    rows = df.groupBy("Tech_Category", "Orientation").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "Tech_Category", "Orientation").collect()  # a dozen rows
-    return "\n".join(f"  {r['Tech_Category'] or 'none'} / {r['Orientation'] or 'none'}: {r['n']:,}" for r in rows)
+def stage_report(audit: DataFrame) -> str:
+    """The audit as text: a line for each stage with its records, what it removed and what it keeps."""
+    lines = []
+    for r in audit.orderBy("stage_no").collect():  # a row for each stage
+        removed = f"  ({r['removed']:,} dropped)" if r["removed"] else ""
+        lines += [f"  {r['stage']:>34}  {r['records']:>9,} records{removed}", f"  {'':>34}  {corpus.CRITERIA[r['stage']]}"]
+    return "\n".join(lines)
+
+
+def class_report(df: DataFrame) -> str:
+    """The report on the classes as text, a line for each."""
+    lines, section = [], None
+    for r in classify.class_report(df).orderBy("place").collect():  # ten rows
+        lines += [f"  {r['section']}"] if r["section"] != section else []
+        section = r["section"]
+        lines.append(f"    {r['label']:<30}: {r['records']:>9,} ({r['percent']}%)")
+    return "\n".join(lines)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -51,7 +64,7 @@ def main(args: list[str] | None = None) -> None:
     audit = corpus.audited(raw, f"{folder}/screened_corpus")
     judged = spark.read.parquet(f"{folder}/screened_corpus")
     included = judged.filter("Education_Screen_Disposition = 'include_algorithm'")
-    print(class_counts(included))
+    print(stage_report(audit), class_report(included), sep="\n")
     write(modules.a11(judged), folder)
     sinks.write_text(spark, modules.methods_text(judged), f"{folder}/education_screen_methods.md")
     write(modules.a10(included), folder)

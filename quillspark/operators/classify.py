@@ -103,3 +103,15 @@ def classification_trace(df: DataFrame) -> DataFrame:
 
 def scope_signals(text: Column) -> dict[str, Column]:
     return {"Education_signal": any_term(text, lx.EDUCATION_SIGNALS), "Health_or_clinical_signal": any_term(text, lx.HEALTH_SIGNALS)}
+
+
+def class_report(df: DataFrame, category: str = "Tech_Category", orientation: str = "Orientation") -> DataFrame:
+    """``(place, section, label, records, percent)``: all records, those with and without a class, each class, and the orientations of classified ones; from one aggregate, zero where nothing is."""
+    has = F.col(category).isNotNull()
+    lines = [("records", "Total records", F.lit(True), "all"), ("records", "Classified", has, "all"), ("records", "Excluded/Unknown", ~has, "all")]
+    lines += [("technology", c, F.col(category) == c, "all") for c in lx.CATEGORIES]
+    lines += [("orientation", o, has & (F.col(orientation) == o), "classified") for o in ("Technical", "Pedagogical")]
+    counts = df.agg(*[F.count_if(F.coalesce(condition, F.lit(False))).alias(f"n{i}") for i, (_, _, condition, _) in enumerate(lines)])
+    of = {"all": F.col("n0"), "classified": F.col("n1")}
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(section).alias("section"), F.lit(label).alias("label"), F.col(f"n{i}").alias("records"), F.when(of[base] > 0, F.round(100.0 * F.col(f"n{i}") / of[base], 1)).otherwise(0.0).alias("percent")) for i, (section, label, _, base) in enumerate(lines)]
+    return counts.select(F.inline(F.array(*rows)))

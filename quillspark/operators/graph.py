@@ -45,6 +45,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
+def shown_labels(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """The k linked nodes ``(id, degree, freq)`` that a drawing names: by degree, then by frequency, then by id."""
+    return degrees(edges).join(nodes, "id").orderBy(F.desc("degree"), F.desc("freq"), "id").limit(k).select("id", "degree", "freq")
+
+
 def size_and_density(edges: DataFrame) -> DataFrame:
     """One row: linked nodes, edges, density."""
     plain = edges.filter("src <> dst")

@@ -356,6 +356,9 @@ _R = f"r AS ({EXPORT_SQL}),\nt AS (SELECT *, ' ' || lower(concat_ws(' ', title,
 _CLASS = f"CASE WHEN {_q(lx.MR_TERMS)} THEN 'MR' WHEN {_q(lx.XR_TERMS)} THEN 'XR' WHEN {_q(lx.VR_TERMS)} AND {_q(lx.AR_TERMS)} THEN 'Hybrid/Multi-technology' WHEN {_q(lx.AR_TERMS)} THEN 'AR' WHEN {_q(lx.VR_TERMS)} THEN 'VR' END"
 
 
+_ORIENTATION = f"""CASE WHEN {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END"""
+
+
 @query(f"""WITH {_R}, c AS (SELECT *, {_CLASS} AS category FROM t)
 SELECT row_id, category, CASE WHEN category IS NOT NULL THEN CASE WHEN {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.PEDAGOGICAL_TERMS)} >= {'+'.join(f"CAST(contains(s, '{_quoted(x)}') AS INT)" for x in lx.TECHNICAL_TERMS)} THEN 'Pedagogical' ELSE 'Technical' END END AS orientation FROM c""")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -835,6 +838,38 @@ def dashboard_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+# Reports
+
+
+_CLASSED = f"c AS (SELECT *, {_CLASS} AS category, CAST(TRY_CAST(trim(year) AS DOUBLE) AS INT) AS y FROM t), o AS (SELECT *, CASE WHEN category IS NOT NULL THEN {_ORIENTATION} END AS orientation FROM c)"
+_REPORT_LINES = [("records", "Total records", "true", "n"), ("records", "Classified", "category IS NOT NULL", "n"), ("records", "Excluded/Unknown", "category IS NULL", "n")]
+_REPORT_LINES += [("technology", c, f"category = '{c}'", "n") for c in lx.CATEGORIES] + [("orientation", o, f"orientation = '{o}'", "k") for o in ("Technical", "Pedagogical")]
+
+
+@query(f"WITH {_R}, {_CLASSED}, z AS (SELECT count(*) AS n, count(category) AS k FROM o) " + " UNION ALL ".join(f"SELECT {i} AS place, '{section}' AS section, '{label}' AS label, count(*) FILTER ({condition}) AS records, coalesce(round(100.0 * count(*) FILTER ({condition}) / nullif((SELECT {base} FROM z), 0), 1), 0.0) AS percent FROM o" for i, (section, label, condition, base) in enumerate(_REPORT_LINES)))
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The console's report on classes and orientations."""
+    return classify.class_report(classify.classified(records(spark, sf_dir)))
+
+
+@query(f"WITH {_R}, {_CLASSED} SELECT y AS year, category, orientation, count(*) AS n FROM o WHERE y IS NOT NULL AND category IS NOT NULL GROUP BY ALL")
+def orientation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by year, class and orientation."""
+    from quillspark.plans import modules
+
+    dated = classify.classified(records(spark, sf_dir)).withColumn("Year", tx.number("Year").cast("int"))
+    return modules.a2(dated)["table_A2_orientation_counts"].rows.toDF("year", "category", "orientation", "n")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS id FROM lineitem), f AS (SELECT id, count(*) AS freq FROM u GROUP BY 1 HAVING count(*) >= 15), v AS (SELECT u.* FROM u JOIN f USING (id)),
+e AS (SELECT x.id AS src, y.id AS dst FROM v x JOIN v y ON x.doc = y.doc AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2), n AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)
+SELECT id, degree, freq FROM n JOIN f USING (id) ORDER BY degree DESC, freq DESC, id LIMIT 8""")
+def network_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that a drawing of the co-citation graph names."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("cited"))
+    return graph.shown_labels(*graph.network(rows, "doc", "cited", 15, 2), 8)
+
+
 # Order of rows
 
 

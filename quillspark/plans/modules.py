@@ -71,6 +71,11 @@ def a1(df: DataFrame) -> dict[str, Table]:
     return {"table_A1_yearly_stats": Table(out, (_at(lx.CATEGORIES, "Category"), "Year"))}
 
 
+def a2(df: DataFrame) -> dict[str, Table]:
+    counts = df.filter("Year is not null and Tech_Category is not null and Orientation is not null").groupBy("Year", "Tech_Category", "Orientation").agg(F.count(F.lit(1)).alias("Count"))
+    return {"table_A2_orientation_counts": Table(counts, ("Year", "Tech_Category", "Orientation"))}
+
+
 def a2b(df: DataFrame) -> dict[str, Table]:
     """The data of the four panels; drawing is left to others."""
     counts = df.groupBy(F.col("Tech_Category").alias("Category"), F.col("Year").cast("long").alias("Year")).pivot("Orientation", ["Technical", "Pedagogical"]).count().fillna(0)
@@ -276,7 +281,7 @@ def a9(df: DataFrame) -> dict[str, Table]:
     }
 
 
-MODULES: dict[str, Module] = {"a1": a1, "a2b": a2b, "a3": a3, "a4": a4, "a4b": a4b, "a5": a5, "a5b": a5b, "a5c": a5c, "a6": a6, "a7": a7, "a8": a8, "a9": a9}
+MODULES: dict[str, Module] = {"a1": a1, "a2": a2, "a2b": a2b, "a3": a3, "a4": a4, "a4b": a4b, "a5": a5, "a5b": a5b, "a5c": a5c, "a6": a6, "a7": a7, "a8": a8, "a9": a9}
 
 
 # Audits, which always run
