@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -17,10 +16,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from .common import free_prefix, held_out, map_batches, most_frequent, stored, table, without
 
-#: Numbers that are word characters without being letters or decimal digits, such as superscripts and Roman numeral signs: found by rule.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Runs of letters.
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of word characters but decimal digits and underscores; those with superscripts, fractions or numeral signs in them are parted again.
+RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Words and n-grams that every worker holds: those with the highest counts over the whole training fold and as many again, in equal shares,
 #: with the highest of each language. The others are looked up by joins with the stored counts; the bounds change no result.
@@ -39,6 +36,16 @@ BACKOFF = 0.4
 STEPS = 1 << 24
 
 
+def count_words(text: str) -> Counter:
+    """The runs of letters of a text with their counts."""
+    found = Counter(RUN.findall(text))
+    for run in [r for r in found if not r.isalpha()]:
+        n = found.pop(run)
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            found[word] += n
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"_{word}_"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -56,7 +63,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counter = counts.setdefault(lang, Counter())
             before = len(counter)
-            counter.update(WORD.findall(text.lower()))
+            counter.update(count_words(text.lower()))
             held += len(counter) - before
         if held >= FLUSH:
             yield out()
@@ -113,7 +120,7 @@ class LanguageModel:
 
     def predict(self, text: str | None, cache: dict[str, list[int]]) -> tuple[str, float]:
         """Language and posterior: each known word counts its log frequency, each other one the mean of its n-grams', less."""
-        found = Counter(WORD.findall(text.lower())) if text else None
+        found = count_words(text.lower()) if text else None
         if not found or not self.languages:
             return UNDETERMINED, 0.0
         rows, times, gram_rows, gram_times = [], [], [], []
@@ -241,7 +248,7 @@ def _held_sums(docs: DataFrame, model: LanguageModel, columns: list[str], row: s
         for batch in batches:
             sums, others, counts = [], [], []
             for text in batch.column("text").to_pylist():
-                found = Counter(WORD.findall(text.lower())) if text else {}
+                found = count_words(text.lower()) if text else {}
                 held = [(known[w], n) for w, n in found.items() if w in known]
                 total = np.array([n for _, n in held], dtype=float) @ scores[np.array([r for r, _ in held], dtype=int)]
                 sums.append(total.tolist() if found else None)
@@ -321,11 +328,12 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     ``und`` ones (null, empty and letterless texts) go, and those whose
     language is less than ``least`` likely by the model. What ``lang`` said
     before only trains the model: the prediction replaces it, null ones too.
+    Held words and n-grams decide (``identify`` also looks the others up).
     Repeated rows fare alike, equal scores go to the first language by name,
     texts are read whole, whatever their length; an empty table gives none.
     """
     p = free_prefix(docs)
     own = {c: f"{p}own{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score")}
-    placed = identify(docs.withColumnsRenamed(own), train(docs.filter(~held_out())))
+    placed = _by_held(docs.withColumnsRenamed(own), train(docs.filter(~held_out())))
     told = placed.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return told.select(*[F.col("lang_pred").cast(docs.schema[c].dataType).alias(c) if c == "lang" else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
