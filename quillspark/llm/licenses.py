@@ -6,8 +6,9 @@ import bisect
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -77,17 +78,20 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(least + np.arange(n - window + 1))
 
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
-    """(matched words, first, last) of the best alignment of the whole template with a stretch of ``words[low:high]`` near ``diagonal``; last exclusive."""
+def align(template: list[str], words: list[str], diagonal: int, band: int = BAND, low: int = 0, high: int | None = None, reach: int = 0) -> tuple[int, int, int]:
+    """(matched words, first, last) of the best alignment of the whole template with a stretch of ``words[low:high]`` near ``diagonal``; last exclusive.
+
+    The band holds ``band`` diagonals on either side and ``reach`` further ones for words added to the text.
+    """
     high = len(words) if high is None else high
     cells: dict[int, tuple[int, int, int, int]] = {}  # offset from the diagonal -> matched, -edits, -first, last
     start = {}
-    for d in range(-band, band + 1):
+    for d in range(-band, band + reach + 1):
         start[d] = (0, 0, 0, 0)
     cells = start
     for i, word in enumerate(template):
         row = {}
-        for d in range(-band, band + 1):
+        for d in range(-band, band + reach + 1):
             j = diagonal + i + d
             best = None
             if d in cells:
@@ -125,6 +129,8 @@ class Index:
     names: list[str]
     words: list[list[str]]
     tables: dict[tuple[int, int], tuple[np.ndarray, list[list[tuple[int, int]]]]]
+    vocabulary: dict[str, int]
+    counts: list[tuple[np.ndarray, np.ndarray]]  # of each template: its words' numbers and how often each stands in it
 
     @classmethod
     def build(cls, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> Index:
@@ -136,7 +142,9 @@ class Index:
             hashes = gram_hashes(w, gram)
             for at in winnow(hashes, window):
                 places.setdefault((gram, window), {}).setdefault(int(hashes[at]), []).append((t, int(at)))
-        return cls(names, words, {s: (np.array(sorted(p), dtype=np.uint64), [p[k] for k in sorted(p)]) for s, p in places.items()})
+        vocabulary = {w: n for n, w in enumerate(sorted({x for ws in words for x in ws}))}
+        counts = [np.unique([vocabulary[x] for x in ws], return_counts=True) for ws in words]
+        return cls(names, words, {s: (np.array(sorted(p), dtype=np.uint64), [p[k] for k in sorted(p)]) for s, p in places.items()}, vocabulary, counts)
 
     def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(position, template, offset) of all shared fingerprints, by position."""
@@ -150,6 +158,25 @@ class Index:
                 out += [(position, t, offset) for position, k in zip(at[hit].tolist(), key[hit].tolist(), strict=True) for t, offset in places[k]]
         return sorted(out)
 
+    def _possible(self, t: int, ids: np.ndarray, diagonal: int, low: int, high: int, reach: int) -> int:
+        """No alignment in the band matches more words than the template shares with the band's stretch of the text, order aside."""
+        stretch = ids[max(low, diagonal - BAND) : max(0, min(high, diagonal + len(self.words[t]) + BAND + reach))]
+        own, often = self.counts[t]
+        return int(np.minimum(np.bincount(stretch, minlength=len(self.vocabulary) + 1)[own], often).sum())
+
+    def _place(self, t: int, words: list[str], ids: np.ndarray, diagonal: int, low: int, high: int, needed: float, reaches: Callable[[], int]) -> tuple[int, int, int] | None:
+        """The alignment near a diagonal that matches enough words: in the plain band or, if more match there, in one as wide as the later fingerprints have moved."""
+        template, best = self.words[t], None
+        if self._possible(t, ids, diagonal, low, high, 0) >= needed:
+            best = align(template, words, diagonal, low=low, high=high)
+        if best is None or best[0] < len(template):
+            enough, wide = best is not None and best[0] >= needed, reaches()
+            least = best[0] + 1 if enough else needed
+            if wide > (BAND if enough else 0) and self._possible(t, ids, diagonal, low, high, wide) >= least:
+                got = align(template, words, diagonal, low=low, high=high, reach=wide)
+                best = got if got[0] >= least else best
+        return best if best is not None and best[0] >= needed else None
+
     def scan(self, text: str | None, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, float, int, int]]:
         """(template, matched, words, coverage, start, end) of every place where a template is covered; a longer template's span hides those inside it."""
         if not text or not self.tables:
@@ -158,7 +185,26 @@ class Index:
         tried: set[tuple[int, int, int, int]] = set()
         spans: dict[int, list[tuple[int, int]]] = {}
         found = []
-        for position, t, offset in self.candidates(words):
+        hits = self.candidates(words)
+        ids = np.fromiter((self.vocabulary.get(w, len(self.vocabulary)) for w in words), dtype=np.int64, count=len(words)) if hits else np.zeros(0, dtype=np.int64)
+        places: dict[int, tuple[list[int], list[int]]] = {}
+        for position, t, offset in hits:
+            at, diagonals = places.setdefault(t, ([], []))
+            at.append(position)
+            diagonals.append(position - offset)
+        numbered = {t: (np.array(at), np.array(diagonals)) for t, (at, diagonals) in places.items()}
+
+        def reaches(t: int, position: int, diagonal: int) -> int:
+            """How far later fingerprints of the template have moved right, by half its length at most; a next copy is further off."""
+            at, diagonals = numbered[t]
+            length = len(self.words[t])
+            first, last = np.searchsorted(at, (position + 1, diagonal + length + length // 2))
+            moved = diagonals[first:last] - diagonal
+            # a fingerprint that stands further on in the text and in the template
+            moved = moved[(moved > 0) & (moved <= length // 2) & (at[first:last] - position > moved)]
+            return int(moved.max()) if len(moved) else 0
+
+        for position, t, offset in hits:
             own = spans.setdefault(t, [])  # sorted, none overlapping: copies on either side bound the place of a further one
             while True:
                 i = bisect.bisect_right(own, (position, len(words)))
@@ -168,9 +214,10 @@ class Index:
                 if (t, position - offset, low, high) in tried:
                     break
                 tried.add((t, position - offset, low, high))
-                matched, first, last = align(self.words[t], words, position - offset, low=low, high=high)
-                if matched < min_coverage * len(self.words[t]):
+                place = self._place(t, words, ids, position - offset, low, high, min_coverage * len(self.words[t]), partial(reaches, t, position, position - offset))
+                if place is None:
                     break
+                matched, first, last = place
                 bisect.insort(own, (first, last))
                 found.append((matched, -len(self.words[t]), -first, last, t))
         out, taken = [], []  # taken: sorted spans, none overlapping
@@ -189,7 +236,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     Spans are code points of the text, end exclusive; of overlapping matches
     the one with more matched words stays, then the shorter template. Null,
     empty and wordless texts have none; repeated rows give equal results;
-    blank templates match nothing; an existing ``licenses`` is replaced; rows
+    blank templates match nothing; words added to a notice are let pass up to
+    half its length; an existing ``licenses`` is replaced; rows
     with a null id are scanned like others; texts of any length are scanned
     whole, spans in sorted lists, so that work grows with the matches.
     """

@@ -112,3 +112,51 @@ def test_thousands_of_notices_in_one_text_take_little_time():
     began = time.time()
     assert len(index.scan("\n".join([line] * 8000))) == 8000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("added", (9, 12, 20, 30))
+def test_texts_with_added_words_are_found(added):
+    """Words added at random places of each long template, in prose: found in nine of ten cases or more."""
+    rng, index = random.Random(added), licenses.Index.build(licenses.TEMPLATES)
+    names = [n for n, t in licenses.TEMPLATES.items() if len(licenses.tokenize(t)[0]) >= 60]
+    hits = total = 0
+    for _ in range(8):
+        for name in names:
+            words = licenses.TEMPLATES[name].split()
+            for _ in range(added):
+                words.insert(rng.randrange(1, len(words)), f"extra{rng.randrange(999)}")
+            got = index.scan("some prose before it " + " ".join(words) + " and some after")
+            total += 1
+            hits += name in {g[0] for g in got}
+    assert hits >= 0.9 * total
+
+
+def test_a_block_of_added_words_widens_the_span():
+    words = licenses.TEMPLATES["mit-grant"].split()
+    text = " ".join([*words[:30], *["extra"] * 25, *words[30:]])
+    got = licenses.Index.build({"mit-grant": licenses.TEMPLATES["mit-grant"]}).scan("before " + text + " after")
+    assert [(g[0], g[3], g[4], g[5]) for g in got] == [("mit-grant", 1.0, 7, 7 + len(text.rstrip(":")))]
+
+
+def test_fewer_than_the_shared_words_bound_never_align():
+    """The bound that spares alignments is never under what an alignment in the same band matches."""
+    rng, index = random.Random(3), licenses.Index.build(licenses.TEMPLATES)
+    import numpy as np
+
+    pool = sorted(index.vocabulary)[:60] + ["other"]
+    for _ in range(200):
+        t = rng.randrange(len(index.names))
+        words = [rng.choice(pool if rng.random() < 0.5 else index.words[t]) for _ in range(rng.randrange(1, 120))]
+        ids = np.array([index.vocabulary.get(w, len(index.vocabulary)) for w in words])
+        diagonal, reach = rng.randrange(-40, len(words) + 5), rng.choice((0, 0, 7, 30))
+        low, high = sorted(rng.choices(range(len(words) + 1), k=2))
+        assert licenses.align(index.words[t], words, diagonal, low=low, high=high, reach=reach)[0] <= index._possible(t, ids, diagonal, low, high, reach)
+
+
+def test_a_long_text_of_shared_words_without_a_match_takes_little_time():
+    import time
+
+    index = licenses.Index.build(licenses.TEMPLATES)
+    began = time.time()
+    assert index.scan("without restriction including " * 20_000) == []
+    assert time.time() - began < 30
