@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .text import ColumnLike, any_term, col, items, squeeze, strip, strip_accents
+from .text import ColumnLike, any_term, capital, col, items, squeeze, strip, strip_accents
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -177,7 +177,7 @@ def cited_author(reference: ColumnLike) -> Column:
         (F.size(parts) >= 3) & F.length(surname).between(1, 45) & ~F.lower(surname).isin(*lx.NOT_AUTHORS)
         & F.rlike(surname, F.lit("[A-Za-zÀ-ž]")) & (F.length(given) <= 50) & F.size(tokens).between(1, 5)
     )
-    initials = F.array_join(F.transform(tokens, lambda t: F.upper(F.substring(t, 1, 1))), ".")
+    initials = F.array_join(F.transform(tokens, capital), ".")
     return F.when(person, squeeze(F.concat(surname, F.lit(", "), initials, F.lit("."))))
 
 

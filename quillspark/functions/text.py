@@ -54,6 +54,20 @@ def strip_accents(c: ColumnLike) -> Column:
     return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *_accents())).otherwise(text)
 
 
+@cache
+def _single_capitals() -> tuple[str, str]:
+    """Characters whose upper case is several, and the single capitals of those that have one."""
+    several = [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.upper()) > 1]
+    pairs = [("ß", "ẞ"), *((c, c.title()) for c in several if len(c.title()) == 1 and c.title() != c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def capital(c: ColumnLike) -> Column:
+    """The first character in upper case, always one: ``upper`` makes two letters of a sharp s."""
+    first = F.substring(col(c), 1, 1)
+    return F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(F.translate(first, *_single_capitals()))
+
+
 def joined_lower(fields: list[ColumnLike], padded: bool = False) -> Column:
     """The non-null fields joined by a blank, in lower case; ``padded`` adds a blank at both ends."""
     text = F.lower(F.concat_ws(" ", *[col(f) for f in fields]))

@@ -79,3 +79,10 @@ def test_keyword_length_cut_and_map(spark):
 def test_fixed_lists_have_their_sizes():
     assert [len(x) for x in (lx.VR_TERMS, lx.AR_TERMS, lx.MR_TERMS, lx.XR_TERMS, lx.TECHNICAL_TERMS, lx.PEDAGOGICAL_TERMS, lx.THEMATIC_TERMS)] == [19, 12, 6, 2, 25, 29, 16]
     assert (len(lx.EDUCATION_PATTERNS), len(lx.CLINICAL_PATTERNS), len(lx.NOT_AUTHORS)) == (28, 11, 23)
+
+
+def test_a_capital_is_one_letter(spark):
+    df = spark.createDataFrame([(c,) for c in ("ßa", "ŉ", "ᾀ", "éa", "x", "", None)], "s string")
+    assert [r["c"] for r in df.select(tx.capital("s").alias("c")).collect()] == ["ẞ", "ŉ", "ᾈ", "É", "X", "", None]
+    work = spark.createDataFrame([("Groß, ßa, T, 1999",)], "r string")
+    assert work.select(entities.cited_authors("r").alias("a")).first()["a"] == ["Groß, ẞ."]
