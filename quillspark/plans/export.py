@@ -1,12 +1,16 @@
 """A record export derived from the given tables: one record for each document, with authors, addresses and keywords from the others.
 
-The expressions below are read by Spark and by the SQL oracle alike, so both
-see the same export. What a record says follows from its text's length, so
-copies of a text are copies of a record but for the spelling of their DOI.
+The columns below are written once for Spark and the SQL oracle, so both see
+the same export; picking, splitting and upper case are each dialect's own. What
+a record says follows from its text's length, so copies of a text are copies of
+a record but for the spelling of their DOI.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +37,37 @@ COUNTRIES = [
 ]
 
 
-def _pick(number: str, values: list[str]) -> str:
-    return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+@dataclass(frozen=True)
+class Dialect:
+    """What Spark and the SQL oracle write differently: the value at a number's remainder, a word of the text, upper case of one character, a pattern that replaces all its matches."""
+
+    pick: Callable[[str, list[str]], str]
+    part: Callable[[int], str]
+    upper: Callable[[str], str]
+    every: str
 
 
-def _word(n: int, every: str) -> str:
-    """The letters of a word of the text."""
-    return f"regexp_replace(split_part(coalesce(text, ''), ' ', {n}), '[^A-Za-zÀ-ÖØ-öø-ž]', ''{every})"
+SQL = Dialect(
+    pick=lambda number, values: f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END",
+    part=lambda n: f"split_part(coalesce(text, ''), ' ', {n})",
+    upper=lambda c: f"upper({c})",
+    every=", 'g'",
+)
+#: A constant array for each list and one split of a text's beginning; ``upper`` would make two letters of these two.
+SPARK = Dialect(
+    pick=lambda number, values: f"get(array({', '.join(f"'{v}'" for v in values)}), cast(({number}) % {len(values)} AS int))",
+    part=lambda n: f"coalesce(get(words, {n - 1}), '')",
+    upper=lambda c: f"CASE {c} WHEN 'ß' THEN 'ẞ' WHEN 'ŉ' THEN 'ŉ' ELSE upper({c}) END",
+    every="",
+)
+#: Words of a text that records are made of.
+WORDS = 8
 
 
-def _columns(every: str) -> list[str]:
-    """``every``: what makes a pattern replace all its matches, in the dialect that needs it."""
-    w = {n: _word(n, every) for n in range(1, 9)}
-    initial = lambda n: f"upper(substring({w[n]}, 1, 1))"
+def _columns(dialect: Dialect) -> list[str]:
+    _pick = dialect.pick
+    w = {n: f"regexp_replace({dialect.part(n)}, '[^A-Za-zÀ-ÖØ-öø-ž]', ''{dialect.every})" for n in range(1, WORDS + 1)}
+    initial = lambda n: dialect.upper(f"substring({w[n]}, 1, 1)")
     place = lambda n: f"concat({_pick(f'q * {n} + {n}', PLACES)}, ', ', {_pick(f'nation{1 + n % 2}', COUNTRIES)})"
     return [
         "d AS row_id",
@@ -69,19 +91,22 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, customer, part, supplier = (table(spark, sf_dir, name) for name in ("documents", "customer", "part", "supplier"))
     orgs = supplier.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     sizes = customer.agg(F.count(F.lit(1)).alias("customers")).crossJoin(part.agg(F.count(F.lit(1)).alias("parts"))).crossJoin(supplier.agg(F.count(F.lit(1)).alias("suppliers")))
-    keyed = docs.select(F.col("doc_id").alias("d"), F.col("n_chars").alias("q"), "text").crossJoin(F.broadcast(sizes))  # one row
+    # all but the text follows from its length: texts are joined with one small row for each length that there is
+    lengths = docs.select(F.col("n_chars").alias("q")).distinct().crossJoin(F.broadcast(sizes))  # one row
     joined = (
-        keyed.join(customer.select("c_custkey", "c_name"), F.col("c_custkey") == F.col("q") % F.col("customers"), "left")
+        lengths.join(customer.select("c_custkey", "c_name"), F.col("c_custkey") == F.col("q") % F.col("customers"), "left")
         .join(part.select("p_partkey", "p_name", "p_brand", "p_type"), F.col("p_partkey") == F.col("q") % F.col("parts"), "left")
         .join(orgs.select(F.col("s_suppkey").alias("s1"), F.col("n_nationkey").alias("nation1")), F.col("s1") == F.col("q") % F.col("suppliers"), "left")
         .join(orgs.select(F.col("s_suppkey").alias("s2"), F.col("n_nationkey").alias("nation2")), F.col("s2") == F.col("q") * 7 % F.col("suppliers"), "left")
     )
     path = graph.shared_path(spark)
-    joined.selectExpr(*_columns("")).toDF("_row_id", *COLUMNS).write.parquet(path)
+    known = graph.checkpointed(joined.drop("customers", "parts", "suppliers", "p_partkey", "s1", "s2").filter("q is not null").withColumnRenamed("q", "q_"))
+    keyed = docs.select(F.col("doc_id").alias("d"), F.col("n_chars").alias("q"), "text", F.split("text", " ", WORDS + 1).alias("words"))
+    keyed.join(known, F.col("q") == F.col("q_"), "left").selectExpr(*_columns(SPARK)).toDF("_row_id", *COLUMNS).write.parquet(path)
     return spark.read.parquet(path)
 
 
-EXPORT_SQL = f"""SELECT {', '.join(_columns(", 'g'"))} FROM (SELECT doc_id AS d, n_chars AS q, text FROM documents) k
+EXPORT_SQL = f"""SELECT {', '.join(_columns(SQL))} FROM (SELECT doc_id AS d, n_chars AS q, text FROM documents) k
 LEFT JOIN customer ON c_custkey = q % (SELECT count(*) FROM customer) LEFT JOIN part ON p_partkey = q % (SELECT count(*) FROM part)
 LEFT JOIN (SELECT s_suppkey AS s1, n_nationkey AS nation1 FROM supplier JOIN nation ON s_nationkey = n_nationkey) x ON s1 = q % (SELECT count(*) FROM supplier)
 LEFT JOIN (SELECT s_suppkey AS s2, n_nationkey AS nation2 FROM supplier JOIN nation ON s_nationkey = n_nationkey) y ON s2 = q * 7 % (SELECT count(*) FROM supplier)"""

@@ -1,9 +1,12 @@
 import unicodedata
 
+import duckdb
+from helpers import SF
 from pyspark.sql import functions as F
 
 from quillspark.functions import entities, lexicon as lx, text as tx
 from quillspark.operators import classify
+from quillspark.plans import export
 
 
 def values(spark, builder, inputs):
@@ -86,3 +89,17 @@ def test_a_capital_is_one_letter(spark):
     assert [r["c"] for r in df.select(tx.capital("s").alias("c")).collect()] == ["ẞ", "ŉ", "ᾈ", "É", "X", "", None]
     work = spark.createDataFrame([("Groß, ßa, T, 1999",)], "r string")
     assert work.select(entities.cited_authors("r").alias("a")).first()["a"] == ["Groß, ẞ."]
+
+
+def test_export_of_a_sharp_s_matches_sql(spark, tmp_path):
+    """Names and cited works whose initials are letters of which Java's upper case makes two."""
+    rows = [(1, "der ßig ßa ŉun ße ßo die ßu", 27), (2, "a b ßc", 6), (3, None, 0), (5, "x  ßy", 5)]
+    copy = str(tmp_path)
+    for name in ("customer", "part", "supplier", "nation"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{copy}/{name}.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{copy}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "part", "supplier", "nation", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{copy}/{name}.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(export.EXPORT_SQL).fetchall()))
+    assert sorted(repr(tuple(r)) for r in export.records(spark, copy).collect()) == want
