@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ColumnLike, col
+from .text import ColumnLike, any_term, col
 
 
 #: Terms from which one pass by the trie is cheaper than a search for each: measured on 25 MB of texts, a pass takes as long as about this many searches, whatever the number of terms.
@@ -48,14 +48,17 @@ def trie_pattern(terms: tuple[str, ...]) -> str:
 def found_terms(text: ColumnLike, terms: Iterable[str]) -> Column:
     """The terms that occur anywhere in the text, in the list's order, also where they overlap or lie inside each other; null for a null text.
 
-    The pattern looks ahead at every position and gives the longest term that
-    begins there; shorter ones that begin there are its beginnings.
+    A list under ``LONG_LIST`` is searched for term by term. For a longer one the
+    pattern looks ahead at every position and gives the longest term that begins
+    there; shorter ones that begin there are its beginnings.
     """
     terms = tuple(terms)
     if not terms:
         return F.when(col(text).isNotNull(), F.array().cast("array<string>"))
     if "" in terms:
         raise ValueError("a term is empty")
+    if len(terms) < LONG_LIST:
+        return bound(col(text), lambda whole: F.when(whole.isNotNull(), F.array_compact(F.array(*[F.when(F.contains(whole, F.lit(term)), F.lit(term)) for term in terms]))))
     longest = F.array_distinct(F.regexp_extract_all(col(text), F.lit(f"(?=({trie_pattern(terms)}))"), F.lit(1)))
     listed = bound(longest, lambda hits: F.filter(F.array(*map(F.lit, terms)), lambda term: F.exists(hits, lambda hit: F.startswith(hit, term))))
     return F.when(col(text).isNotNull(), listed)
@@ -73,9 +76,27 @@ def has_any(found: Column, terms: Iterable[str]) -> Column:
 def any_of(text: ColumnLike, terms: Iterable[str]) -> Column:
     """Whether one of the terms occurs; null for a null text."""
     terms = tuple(terms)
+    if "" not in terms and 0 < len(terms) < LONG_LIST:
+        return bound(col(text), lambda whole: any_term(whole, list(terms)))
     return F.rlike(col(text), F.lit(trie_pattern(terms))) if terms else F.when(col(text).isNotNull(), F.lit(False))
 
 
+def certain_part(pattern: str) -> str:
+    """The longest run of plain characters that every match of the pattern holds; empty where the pattern is not made of such runs, ``\\b``, optional characters and groups ``(?:...)``."""
+    plain = re.sub(r"\(\?:[^()]*\)[?]?|.\?", "\0", pattern.replace(r"\b", "\0"))
+    return max(plain.split("\0"), key=len) if re.fullmatch(r"[a-z \0-]*", plain) else ""
+
+
+def found_patterns(text: ColumnLike, patterns: Iterable[str]) -> Column:
+    """Those of the patterns that match in the text, in the list's order; a pattern is tried only where its certain part occurs."""
+
+    def tried(whole: Column, pattern: str) -> Column:
+        part, met = certain_part(pattern), F.when(F.rlike(whole, F.lit(pattern)), F.lit(pattern))
+        return F.when(F.contains(whole, F.lit(part)), met) if part else met
+
+    return bound(col(text), lambda whole: F.array_compact(F.array(*[tried(whole, p) for p in patterns])))
+
+
 def cue_windows(text: ColumnLike, patterns: Iterable[str], words: int) -> Column:
     """The words from each place on at which one of the patterns matches, ``words`` at most, one place a line; one pass over the text.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
 from quillspark.functions import scan
-from quillspark.functions.text import any_term, joined_lower, matched_labels, matches, number, present, term_score
+from quillspark.functions.text import any_term, joined_lower, number, present, term_score
 
 
 def essential(df: DataFrame, fields: list[str] | None = None, year: str = "Year") -> DataFrame:
@@ -68,23 +68,24 @@ def screened(df: DataFrame, fields: list[str] = lx.SCREEN_FIELDS) -> DataFrame:
     A clinical cue is reported and never vetoes. Where a machine-learning
     phrase occurs, generic learning labels alone are no cue.
     """
-    substantive = {k: p for k, p in lx.EDUCATION_PATTERNS.items() if k not in lx.GENERIC_LEARNING_LABELS}
-    any_of = lambda patterns: matches("_screen", "|".join(f"(?:{p})" for p in patterns))
-    counts = any_of(substantive.values()) | (any_of(lx.EDUCATION_PATTERNS.values()) & ~any_of(lx.MACHINE_LEARNING_PATTERNS))
-    every = [*lx.EDUCATION_PATTERNS.values(), *lx.CLINICAL_PATTERNS.values(), *lx.MACHINE_LEARNING_PATTERNS]
-    windows = scan.cue_windows(joined_lower([f for f in fields if f in df.columns]), every, scan.pattern_words(every))
-    out = df.withColumn("_screen", windows).withColumn("Has_Education_Cue", counts)
+    substantive = [p for k, p in lx.EDUCATION_PATTERNS.items() if k not in lx.GENERIC_LEARNING_LABELS]
+    every = dict.fromkeys([*lx.EDUCATION_PATTERNS.values(), *lx.CLINICAL_PATTERNS.values(), *lx.MACHINE_LEARNING_PATTERNS])
+    found, text = F.col("_cues"), joined_lower([f for f in fields if f in df.columns])
+    any_of = lambda patterns: scan.has_any(found, patterns)
+    labels = lambda patterns: F.concat_ws("; ", *[F.when(F.array_contains(found, p), F.lit(label)) for label, p in patterns.items()])
+    counts = any_of(substantive) | (any_of(lx.EDUCATION_PATTERNS.values()) & ~any_of(lx.MACHINE_LEARNING_PATTERNS))
+    out = df.withColumn("_cues", scan.found_patterns(text, every)).withColumn("Has_Education_Cue", counts)
     cue = F.col("Has_Education_Cue")
     return out.withColumns(
         {
             "Has_Clinical_Use_Cue": any_of(lx.CLINICAL_PATTERNS.values()),
-            "Matched_Education_Cues": F.when(cue, matched_labels("_screen", lx.EDUCATION_PATTERNS)).otherwise(F.lit("")),
-            "Matched_Clinical_Use_Cues": matched_labels("_screen", lx.CLINICAL_PATTERNS),
+            "Matched_Education_Cues": F.when(cue, labels(lx.EDUCATION_PATTERNS)).otherwise(F.lit("")),
+            "Matched_Clinical_Use_Cues": labels(lx.CLINICAL_PATTERNS),
             "Education_Screen_Status": F.when(cue, lx.SCREEN_STATUS[True]).otherwise(lx.SCREEN_STATUS[False]),
             "Education_Screen_Disposition": F.when(cue, "include_algorithm").otherwise("exclude_algorithm"),
             "Education_Screen_Fields": F.lit(", ".join(fields)),
         }
-    ).drop("_screen")
+    ).drop("_cues")
 
 
 def classification_trace(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Row order, term scans, audits by observation, dedup with odd row numbers, spanning forests."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,15 @@ def test_communities_on_executors_are_as_good_as_one_after_another(spark):
     cited = graph.checkpointed(cited)
     quality = [graph.modularity(cited, labels).first()[0] for labels in (graph.communities(cited), graph.louvain(cited))]
     assert quality[0] > quality[1] - 0.02
+
+
+def test_short_lists_and_cues_are_searched_for_without_a_pass_of_patterns(spark):
+    """Long texts at positions without a match cost no pattern: the plans hold none but behind a plain search."""
+    every = [*lx.EDUCATION_PATTERNS.values(), *lx.CLINICAL_PATTERNS.values(), *lx.MACHINE_LEARNING_PATTERNS]
+    assert all(scan.certain_part(p) for p in every) and scan.certain_part(r"a|b") == "" and scan.certain_part(r"\btrain(?:ing)? the model\b") == " the model"
+    texts = ["students", "coeducation", "re-education for a trainee", "skill acquisition", "training the model", "train the model", "curricula", "", "the ſtudents", "school\nschooling", None]
+    want = [None if t is None else [p for p in every if re.search(p, t, re.ASCII)] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["f"] for r in df.select("i", scan.found_patterns("t", every).alias("f")).orderBy("i").collect()] == [[] if w is None else w for w in want]
+    plan = df.select(scan.found_terms("t", lx.VR_TERMS))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
