@@ -5,13 +5,17 @@ Its lists, keys and zones differ on purpose from those of the main analyses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import lexicon as lx
+from quillspark.functions import lexicon as lx, scan
 from quillspark.functions.entities import lookup
 from quillspark.functions.text import any_term, col, joined_lower, present, squeeze, strip, term_score
 
+from .graph import checkpointed
 from .metrics import FULL, main_metrics, top_k
 
 # Results depend on each entry.
@@ -95,36 +99,51 @@ def first_of_key(df: DataFrame, key: Column, row: str = "_row_id") -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_key", "_alone")
 
 
-def stages(df: DataFrame, row: str = "_row_id") -> list[tuple[str, DataFrame]]:
-    """The lazily built table after each step; ``df`` has string columns and ``row``.
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def stages(df: DataFrame, row: str = "_row_id", keep: Keep = lambda name, step: step) -> list[tuple[str, DataFrame]]:
+    """The lazily built table after each step; ``df`` has string columns and ``row``. The next step goes on from what ``keep`` makes of a table.
 
     Blank and missing values are one. A year is the integer at the start of
     its field, citations the number at the start of theirs, else 0. Where no
     record has a class, all stay (a corpus on another subject).
     """
-    out = [("s0", df)]
+    out: list[tuple[str, DataFrame]] = []
+
+    def add(name: str, step: DataFrame) -> None:
+        out.append((name, keep(name, step)))
+
+    add("s0", df)
     names = [c for c in df.columns if c != row]
     clean = df.select(row, *[F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names])
     for c in ("Title", "Abstract", "Author Keywords", "Index Keywords", "Year", "DOI", "Affiliations", "Source title", "Cited by"):
         if c not in names:
             clean = clean.withColumn(c, F.lit(""))
-    out.append(("s1", clean))
+    add("s1", clean)
     others = [c for c in clean.columns if c != row]
-    out.append(("s2", clean.groupBy(*others).agg(F.min(row).alias(row)).select(*clean.columns)))
-    out.append(("s3", first_of_key(out[-1][1], F.lower(F.col("DOI")), row)))
-    out.append(("s4", first_of_key(out[-1][1], title_key("Title"), row)))
-    out.append(("s5", out[-1][1].filter(present("Title") & present("Year") & present("Source title"))))
-    out.append(("s6", out[-1][1].withColumn("_screen", joined_lower(lx.SCREEN_FIELDS)).filter(any_term("_screen", THEMATIC_TERMS)).drop("_screen")))
+    add("s2", clean.groupBy(*others).agg(F.min(row).alias(row)).select(*clean.columns))
+    add("s3", first_of_key(out[-1][1], F.lower(F.col("DOI")), row))
+    add("s4", first_of_key(out[-1][1], title_key("Title"), row))
+    add("s5", out[-1][1].filter(present("Title") & present("Year") & present("Source title")))
+    add("s6", out[-1][1].filter(scan.any_of(joined_lower(lx.SCREEN_FIELDS), THEMATIC_TERMS)))
     year = F.regexp_extract("Year", r"^[+-]?[0-9]+", 0).try_cast("int")
     cites = F.regexp_extract("Cited by", r"^[+-]?[0-9]+(?:\.[0-9]+)?|^[+-]?\.[0-9]+", 0).try_cast("double")
-    out.append(("s7", out[-1][1].withColumn("Year", year).filter(F.col("Year").between(*lx.YEAR_RANGE))))
+    add("s7", out[-1][1].withColumn("Year", year).filter(F.col("Year").between(*lx.YEAR_RANGE)))
     texts = out[-1][1].withColumns({"_class": joined_lower(lx.CLASSIFICATION_FIELDS), "_screen": joined_lower(lx.SCREEN_FIELDS), "Citations": F.coalesce(cites, F.lit(0.0))})
     judged = texts.withColumns({"Tech_Category": technology(F.col("_class")), "Orientation": orientation(F.col("_screen"))}).drop("_class", "_screen")
     any_class = judged.agg(F.coalesce(F.bool_or(F.col("Tech_Category").isNotNull()), F.lit(False)).alias("_some"))  # one row
-    out.append(("s8", judged.crossJoin(F.broadcast(any_class)).filter("Tech_Category is not null or not _some").drop("_some")))
+    add("s8", judged.crossJoin(F.broadcast(any_class)).filter("Tech_Category is not null or not _some").drop("_some"))
     return out
 
 
+def stage_counts(df: DataFrame, row: str = "_row_id") -> DataFrame:
+    """``(stage_no, stage, records)``: two steps are written and read again, so that none before them is computed for each later count; the counts between read keys only."""
+    steps = stages(df, row, lambda name, step: checkpointed(step) if name in ("s2", "s6") else step)
+    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(steps)]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def cards(df: DataFrame, category: str = "Tech_Category", cites: str = "Citations", categories: list[str] | None = None) -> DataFrame:
     """One row for all records and one for each class, zero where it is absent: records, citations, share in percent."""
     categories = CATEGORIES if categories is None else categories

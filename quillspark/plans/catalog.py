@@ -821,8 +821,7 @@ n AS ({" UNION ALL ".join(f"SELECT {i} AS stage_no, 's{i}' AS stage, (SELECT cou
 
 @query(f"WITH {_DASH} SELECT *, coalesce(lag(records) OVER (ORDER BY stage_no), records) AS before, coalesce(lag(records) OVER (ORDER BY stage_no), records) - records AS removed FROM n")
 def dashboard_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), "records") for n, (name, t) in enumerate(dialect.stages(records(spark, sf_dir)))]
-    return audit.with_removed(reduce(DataFrame.unionByName, counts))
+    return audit.with_removed(dialect.stage_counts(records(spark, sf_dir)))
 
 
 @query(rf"""WITH {_DASH}, x AS (SELECT category, TRY_CAST(regexp_extract(year, '^[+-]?[0-9]+') AS INT) AS y, coalesce(TRY_CAST(regexp_extract(cited_by, '^[+-]?[0-9]+(?:\.[0-9]+)?|^[+-]?\.[0-9]+') AS DOUBLE), 0) AS c FROM d8),

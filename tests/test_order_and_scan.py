@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx, scan
 from quillspark.functions.text import matched_labels
-from quillspark.operators import dedup, graph, keywords, order
+from quillspark.operators import dedup, dialect, graph, keywords, order
 from quillspark.plans import corpus, fixture
 
 TERMS = ["he", "she", "hers", "a b", " b ", "sh", "x.y", "°", "here", "learning", "e-learning", "(a)"]
@@ -157,3 +157,10 @@ def test_short_lists_and_cues_are_searched_for_without_a_pass_of_patterns(spark)
     assert [r["f"] for r in df.select("i", scan.found_patterns("t", every).alias("f")).orderBy("i").collect()] == [[] if w is None else w for w in want]
     plan = df.select(scan.found_terms("t", lx.VR_TERMS))._jdf.queryExecution().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_dashboard_counts_compute_no_step_for_each_count(spark):
+    rows = fixture.records(spark)
+    counts = dialect.stage_counts(rows)
+    assert [r["records"] for r in counts.orderBy("stage_no").collect()] == [t.count() for _, t in dialect.stages(rows)]
+    assert counts._jdf.queryExecution().analyzed().toString().count("regexp_replace(Abstract") <= 1
