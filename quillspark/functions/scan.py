@@ -1,4 +1,4 @@
-"""Many terms in one pass over a text: a trie of all terms as one pattern, tried at every position."""
+"""Many terms of one text: searched for by workers where all that occur are wanted; whether one occurs is a search for each or, for long lists, a trie of all terms as one pattern."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,20 +49,21 @@ def trie_pattern(terms: tuple[str, ...]) -> str:
 def found_terms(text: ColumnLike, terms: Iterable[str]) -> Column:
     """The terms that occur anywhere in the text, in the list's order, also where they overlap or lie inside each other; null for a null text.
 
-    A list under ``LONG_LIST`` is searched for term by term. For a longer one the
-    pattern looks ahead at every position and gives the longest term that begins
-    there; shorter ones that begin there are its beginnings.
+    Workers search for each term: ``contains`` reads a text byte by byte for
+    every term, Python's search skips most of it.
     """
     terms = tuple(terms)
     if not terms:
         return F.when(col(text).isNotNull(), F.array().cast("array<string>"))
     if "" in terms:
         raise ValueError("a term is empty")
-    if len(terms) < LONG_LIST:
-        return bound(col(text), lambda whole: F.when(whole.isNotNull(), F.array_compact(F.array(*[F.when(F.contains(whole, F.lit(term)), F.lit(term)) for term in terms]))))
-    longest = F.array_distinct(F.regexp_extract_all(col(text), F.lit(f"(?=({trie_pattern(terms)}))"), F.lit(1)))
-    listed = bound(longest, lambda hits: F.filter(F.array(*map(F.lit, terms)), lambda term: F.exists(hits, lambda hit: F.startswith(hit, term))))
-    return F.when(col(text).isNotNull(), listed)
+
+    def held(texts: pa.Array) -> pa.Array:
+        found = ([term for term in terms if term in t] if (t := value.as_py()) is not None else None for value in texts)
+        return pa.array(found, pa.list_(pa.string()))
+
+    # called so, filters on what follows from the terms are not pushed below the search, which would run it again
+    return F.arrow_udf(held, "array<string>").asNondeterministic()(col(text))
 
 
 def among(found: Column, terms: Iterable[str]) -> Column:
@@ -89,12 +91,16 @@ def certain_part(pattern: str) -> str:
 
 def found_patterns(text: ColumnLike, patterns: Iterable[str]) -> Column:
     """Those of the patterns that match in the text, in the list's order; a pattern is tried only where its certain part occurs."""
+    patterns = tuple(patterns)
+    parts = {p: certain_part(p) for p in patterns}
 
-    def tried(whole: Column, pattern: str) -> Column:
-        part, met = certain_part(pattern), F.when(F.rlike(whole, F.lit(pattern)), F.lit(pattern))
-        return F.when(F.contains(whole, F.lit(part)), met) if part else met
+    def tried(read: Column) -> Column:
+        whole, found = read["whole"], read["found"]
+        met = {p: F.when(F.rlike(whole, F.lit(p)), F.lit(p)) for p in patterns}
+        return F.array_compact(F.array(*[F.when(F.array_contains(found, part), met[p]) if part else met[p] for p, part in parts.items()]))
 
-    return bound(col(text), lambda whole: F.array_compact(F.array(*[tried(whole, p) for p in patterns])))
+    found = found_terms(text, dict.fromkeys(part for part in parts.values() if part))
+    return bound(F.struct(col(text).alias("whole"), found.alias("found")), tried)
 
 
 def cue_windows(text: ColumnLike, patterns: Iterable[str], words: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx, scan
 from quillspark.functions.text import matched_labels
-from quillspark.operators import dedup, dialect, graph, keywords, order
+from quillspark.operators import classify, dedup, dialect, graph, keywords, order
 from quillspark.plans import corpus, fixture
 
 TERMS = ["he", "she", "hers", "a b", " b ", "sh", "x.y", "°", "here", "learning", "e-learning", "(a)"]
@@ -164,3 +164,18 @@ def test_dashboard_counts_compute_no_step_for_each_count(spark):
     counts = dialect.stage_counts(rows)
     assert [r["records"] for r in counts.orderBy("stage_no").collect()] == [t.count() for _, t in dialect.stages(rows)]
     assert counts._jdf.queryExecution().analyzed().toString().count("regexp_replace(Abstract") <= 1
+
+
+def test_long_texts_are_read_by_searches_that_skip(spark):
+    """The plans hold no byte-by-byte ``contains`` for each term."""
+    df = spark.createDataFrame([("students learn",), (None,)], "t string")
+    searched = df.select(scan.found_terms("t", lx.VR_TERMS), scan.found_patterns("t", [r"\bstudents?\b"]))
+    assert "contains(t" not in searched._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [[list(x or []) for x in r] for r in searched.collect()] == [[[], [r"\bstudents?\b"]], [[], []]]
+
+
+def test_filters_on_found_terms_search_once(spark):
+    rows = spark.createDataFrame([("students of virtual reality",), ("x",)], "Title string")
+    kept = classify.classified(rows).filter("Tech_Category is not null")
+    assert [r["Tech_Category"] for r in kept.collect()] == ["VR"]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [held(concat") == 1
