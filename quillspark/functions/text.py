@@ -22,8 +22,8 @@ def strip(c: ColumnLike) -> Column:
 
 
 def present(c: ColumnLike) -> Column:
-    """True where a value is neither null nor blank."""
-    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
+    """True where a value is neither null nor blank: it is read up to the first character that is no white space."""
+    return F.coalesce(F.rlike(col(c), F.lit(r"(?U)\S")), F.lit(False))
 
 
 def squeeze(c: ColumnLike) -> Column:

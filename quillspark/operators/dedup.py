@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import present
+from quillspark.operators import graph
 
 
 def completeness(fields: list[str]) -> Column:
@@ -57,7 +58,8 @@ def guarded(df: DataFrame, keys: list[str], doi: str, quality: Column, order: st
     Two levels keep a key with a large share of all rows out of one task: the
     best row of each key, DOI and salt goes on to the best of each key and DOI;
     whether a key names several DOIs follows from the least and the greatest
-    one, which the second level carries along.
+    one, which the second level carries along. Its rows are written to the
+    shared folder, since they are read for that and again to be chosen from.
     """
     complete = reduce(lambda a, b: a & b, [present(F.col(k).cast("string")) for k in keys])
     best = [F.desc("_quality"), F.asc(order)]
@@ -65,7 +67,7 @@ def guarded(df: DataFrame, keys: list[str], doi: str, quality: Column, order: st
     named = F.when(F.col(doi) != "", F.col(doi))
     salted = whole.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
     # one of each key, DOI and salt; then one of each key and DOI: at most as many rows a key as it names DOIs
-    each = survivors(survivors(salted, [*keys, "_alone", doi, "_salt"], best).drop("_salt"), [*keys, "_alone", doi], best)
+    each = graph.checkpointed(survivors(survivors(salted, [*keys, "_alone", doi, "_salt"], best).drop("_salt"), [*keys, "_alone", doi], best))
     # a key's DOIs are counted by least and greatest; the group is now one row a DOI, so the range is a mergeable aggregate
     span = each.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_alone").alias("_a")).agg((F.min(named) < F.max(named)).alias("_several"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_alone").eqNullSafe(F.col("_a")))

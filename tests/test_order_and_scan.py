@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx, scan
-from quillspark.functions.text import matched_labels
+from quillspark.functions.text import matched_labels, present
 from quillspark.operators import classify, dedup, dialect, graph, keywords, order
 from quillspark.plans import corpus, fixture
 
@@ -179,3 +179,23 @@ def test_filters_on_found_terms_search_once(spark):
     kept = classify.classified(rows).filter("Tech_Category is not null")
     assert [r["Tech_Category"] for r in kept.collect()] == ["VR"]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [held(concat") == 1
+
+
+def test_a_text_is_read_up_to_its_first_sign_to_see_whether_it_is_blank(spark):
+    df = spark.createDataFrame([("students learn", None), (" \u2003\n", ""), ("\u00a0x ", " ")], "t string, u string")
+    blank = df.select(present("t").alias("t"), present("u").alias("u"))
+    assert [tuple(r) for r in blank.collect()] == [(True, False), (False, False), (True, False)]
+    assert "regexp_replace" not in blank._jdf.queryExecution().analyzed().toString()
+
+
+def test_guarded_dedup_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "a", "", 3), (4, "b", "", 1), (5, "b", "", 2)], "_row_id long, t string, d string, q int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = dedup.guarded(df.mapInArrow(passed, df.schema), ["t"], "d", F.col("q"))
+    assert {r["_row_id"] for r in found.collect()} == {1, 2, 3, 5} and seen.value == 5
