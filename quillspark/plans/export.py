@@ -62,6 +62,8 @@ SPARK = Dialect(
 )
 #: Words of a text that records are made of.
 WORDS = 8
+#: Files that the export has for each core.
+PARTS_A_CORE = 3
 
 
 def _columns(dialect: Dialect) -> list[str]:
@@ -101,7 +103,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = graph.shared_path(spark)
     known = graph.checkpointed(joined.drop("customers", "parts", "suppliers", "p_partkey", "s1", "s2").filter("q is not null").withColumnRenamed("q", "q_"))
-    keyed = docs.select(F.col("doc_id").alias("d"), F.col("n_chars").alias("q"), "text", F.split("text", " ", WORDS + 1).alias("words"))
+    # a row group is read by one task, whatever its size: rows are dealt out, so that all cores make and read the export
+    dealt = docs.select("doc_id", "n_chars", "text").repartition(PARTS_A_CORE * spark.sparkContext.defaultParallelism, "doc_id", "n_chars")
+    keyed = dealt.select(F.col("doc_id").alias("d"), F.col("n_chars").alias("q"), "text", F.split("text", " ", WORDS + 1).alias("words"))
     keyed.join(known, F.col("q") == F.col("q_"), "left").selectExpr(*_columns(SPARK)).toDF("_row_id", *COLUMNS).write.parquet(path)
     return spark.read.parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as lx, scan
 from quillspark.functions.text import matched_labels, present
 from quillspark.operators import classify, dedup, dialect, graph, keywords, order
-from quillspark.plans import corpus, fixture
+from quillspark.plans import corpus, export, fixture
 
 TERMS = ["he", "she", "hers", "a b", " b ", "sh", "x.y", "°", "here", "learning", "e-learning", "(a)"]
 
@@ -199,3 +199,8 @@ def test_guarded_dedup_reads_its_rows_once(spark):
 
     found = dedup.guarded(df.mapInArrow(passed, df.schema), ["t"], "d", F.col("q"))
     assert {r["_row_id"] for r in found.collect()} == {1, 2, 3, 5} and seen.value == 5
+
+
+def test_an_export_of_one_row_group_is_made_and_read_by_several_tasks(spark):
+    rows = export.records(spark, "/root/testdata/sf0.001")
+    assert len({r[0].rsplit("/", 1)[1] for r in rows.select(F.input_file_name()).distinct().collect()}) >= spark.sparkContext.defaultParallelism
